@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import lm, quality, simhash, spm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": spm.op1,
+    "op6_lm_scores": lm.op6,
     "op8_quality_rules": quality.op8,
     "op10_simhash": simhash.op10,
 }
