@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, quality, simhash, spm
+from . import lm, mixing, pii, quality, simhash, spm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": spm.op1,
+    "op3_mixing": mixing.op3,
+    "op5_pii": pii.op5,
     "op6_lm_scores": lm.op6,
     "op8_quality_rules": quality.op8,
     "op10_simhash": simhash.op10,
