@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, mixing, pii, quality, simhash, spm
+from . import chat, licenses, lm, mixing, pii, quality, simhash, spm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": spm.op1,
+    "op2_chat": chat.op2,
+    "op4_licenses": licenses.op4,
     "op3_mixing": mixing.op3,
     "op5_pii": pii.op5,
     "op6_lm_scores": lm.op6,
     "op8_quality_rules": quality.op8,
     "op10_simhash": simhash.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE}
