@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, lm, mixing, pii, quality, simhash, spm, urls
+from . import chat, licenses, lm, mixing, neighbours, pii, quality, simhash, spm, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": spm.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3,
     "op5_pii": pii.op5,
     "op6_lm_scores": lm.op6,
+    "op7_neighbours": neighbours.op7,
     "op8_quality_rules": quality.op8,
     "op9_urls": urls.op9,
     "op10_simhash": simhash.op10,
