@@ -121,3 +121,16 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+    """docs' rows as often as their words are taken, to the nearest whole number: a source's words differ from its target by a document at most.
+
+    Rows of equal id, source and size are taken alike often, by the rounded mean.
+    """
+    times = taken(docs, id_col, text_col, source_col, block).where("size > 0").groupBy(id_col, "source", "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    times = saved(times.where("_times > 0").select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times"))
+    keyed = docs.withColumn("_words", n_words(text_or_empty(text_col)))
+    same = keyed[id_col].eqNullSafe(times["_id"]) & keyed[source_col].eqNullSafe(times["_source"]) & (keyed["_words"] == times["_size"])
+    met = keyed.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return met.drop("_id", "_source", "_size", "_times", "_words", "_copy")

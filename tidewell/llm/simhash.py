@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -143,3 +143,96 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: near_dedup(): bits that fingerprints of similar texts may differ in, sampled-bit tables and bits of a key, and the keys that may be broadcast.
+NEAR_BITS, NEAR_TABLES, NEAR_KEY, SMALL = 13, 80, 20, 500_000
+NEAR_BUDGET = [length * NEAR_BITS // SEGMENTS for length in range(1, SEGMENTS + 1)]
+
+
+def _masks() -> list[int]:
+    """NEAR_TABLES sets of NEAR_KEY of the 64 bits, the same on every run."""
+    rng = np.random.default_rng(17)
+    chosen = [rng.choice(64, NEAR_KEY, replace=False) for _ in range(NEAR_TABLES)]
+    return [int(np.bitwise_or.reduce(np.uint64(1) << c.astype(np.uint64)).astype(np.int64)) for c in chosen]
+
+
+def _within(x, budget: list[int]):
+    """The chain test and then the full Hamming check on an XOR of fingerprints."""
+    diffs = [F.bit_count(x.bitwiseAND(F.lit(_segment_mask(s)).cast("long"))) for s in range(SEGMENTS)]
+    any_start = F.lit(False)
+    for start in range(SEGMENTS):
+        ok, total = F.lit(True), F.lit(0)
+        for length in range(SEGMENTS - 1):
+            total = total + diffs[(start + length) % SEGMENTS]
+            ok = ok & (total <= budget[length])
+        any_start = any_start | ok
+    return any_start & (F.bit_count(x) <= budget[-1])
+
+
+def shingle_hashes(col, words_per_shingle: int):
+    """array<long>: the distinct hashes of a text's shingles."""
+
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for t in batch:
+                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                n = max(1, len(words) - words_per_shingle + 1) if words else 0
+                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + words_per_shingle])) for k in range(n)), dtype="<u8", count=n).view("<i8")))
+            offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else [], pa.int64()))
+
+    return run(col)
+
+
+def _filtered(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined on _k with a table of keys; it is broadcast if it is small, which is counted first."""
+    return docs.join(F.broadcast(keys) if keys.count() <= SMALL else keys, "_k", how)
+
+
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, other) candidates from (node, fp, n): for each node at most two nodes before it by (n falling, fp, node), the nearest and the one with most copies.
+
+    Fingerprints with the same sampled bits form a bucket. There each is held against the bucket's first and the one before it only, so that a
+    large group of near copies gives links in proportion to its size; over all tables these still hold the group together.
+    """
+    keyed = nodes.select("*", F.posexplode(F.transform(F.array(*[F.lit(m).cast("long") for m in _masks()]), lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
+    w = Window.partitionBy("t", "key").orderBy(F.desc("n"), "fp", "node")
+    me = F.struct(F.col("n"), F.col("fp"), F.col("node"))
+    met = keyed.select("node", "fp", F.first(me).over(w).alias("first"), F.lag(me).over(w).alias("before")).where("before is not null")
+    each = met.select("node", "fp", F.explode(F.array("first", "before")).alias("o"))
+    near = each.withColumn("x", F.col("fp").bitwiseXOR(F.col("o.fp"))).where(_within(F.col("x"), NEAR_BUDGET))
+    near = near.select("node", F.bit_count("x").alias("d"), (-F.col("o.n")).alias("rank"), F.col("o.node").alias("other"))
+    best = near.groupBy("node").agg(F.min(F.struct("d", "rank", "other")).alias("p"), F.min(F.struct("rank", "d", "other")).alias("q"))
+    return best.select("node", F.explode(F.array_distinct(F.array("p.other", "q.other"))).alias("other"))
+
+
+def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of copies: the one of smallest id, null ids last.
+
+    Copies are equal texts, and texts whose sets of shingles have a Jaccard similarity of at least `similarity`, checked exactly on the
+    candidates that SimHash gives; groups are what such links connect. Null and empty texts are copies of each other. Of equal rows one stays. No rows: no rows.
+    """
+    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = saved(keyed.select("_k", F.col(id_col).alias("id"), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), F.length(text).alias("h3")).alias("copy"), fingerprint_col(F.col(text_col), words_per_shingle).alias("fp")))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("_k"))
+    nodes = saved(rows.groupBy("copy").agg(F.min(order).alias("o"), F.count("*").alias("n"), F.min("fp").alias("fp")).select(F.col("o._k").alias("node"), "o", "n", "fp"))
+    pairs = saved(near_pairs(nodes.select("node", "fp", "n")))
+    wanted = saved(pairs.select(F.col("node").alias("_k")).union(pairs.select("other")).distinct())
+    sets = saved(_filtered(keyed.select("_k", text_col), wanted, "inner").dropDuplicates(["_k"]).select(F.col("_k").alias("of"), shingle_hashes(F.col(text_col), words_per_shingle).alias("s")))
+    a, b = sets.select(F.col("of").alias("node"), F.col("s").alias("sa")), sets.select(F.col("of").alias("other"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    checked = pairs.join(a, "node").join(b, "other").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
+    roots = components(checked.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    grouped = saved(nodes.select("node", "o").join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root")))
+    stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._k").alias("_k")))
+    times = rows.groupBy("_k").agg(F.count("*").alias("times"))
+    gone = saved(rows.select("_k").distinct().join(stay, "_k", "left_anti"))
+    often = saved(times.where("times > 1").select("_k").join(stay, "_k", "left_semi"))
+    out = _filtered(keyed, gone, "left_anti")
+    if not often.isEmpty():
+        out = _filtered(out, often, "left_anti").unionByName(_filtered(keyed, often, "left_semi").dropDuplicates(["_k"]))
+    return out.drop("_k")
