@@ -27,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units kept with their ids in a Python worker, and characters taken on at a time.
-CACHED, CHUNK, CELLS, LONG = 200_000, 400_000, 60_000, 48
+CACHED, CHUNK, CELLS, LONG = 400_000, 3_000_000, 60_000, 48
 
 
 class Pieces:
@@ -192,8 +192,8 @@ class Pieces:
                 start = k
         yield unit[start:]
 
-    def best(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each of some words of equal length."""
+    def best(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of some words of equal length."""
         if not self.merging:
             return self.viterbi(words)
         runs = [len(w) - len(w.lstrip(" ")) for w in words]
@@ -203,7 +203,7 @@ class Pieces:
         blanks = {len(t): i for i in self.normal.tolist() if not (t := self.bytes[i].decode()).strip(" ")}
         out = []
         for w, run in zip(words, runs):
-            own = self.viterbi([w[run - 1 :]])[0] if run else self.viterbi([w])[0]
+            own = self.viterbi([w[max(run - 1, 0) :]])[0]
             if run:
                 alone = blanks.get(1) == own[0]
                 run, own = (run, own[1:]) if alone else (run - 1, own)
@@ -214,10 +214,10 @@ class Pieces:
                     run -= step
                 own = np.concatenate([lead, own]).astype(np.int32)
             out.append(own)
-        return out
+        return np.concatenate(out), np.array([len(o) for o in out])
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of the best segmentation of each of some words of equal length; of equal ones, that with the longest last pieces."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of the best segmentations of some words of equal length; of equal ones, that with the longest last pieces."""
         codes = self.codes(words)
         n, size = codes.shape
         found = self.probe(codes)
@@ -253,16 +253,21 @@ class Pieces:
                 mine = length == k
                 ids[mine] = found[int(k)][rows[mine], at[mine]]
             steps.append((ids, at.copy()))
-        out = []
         ids = np.stack([s[0] for s in reversed(steps)], axis=1)
-        starts = np.stack([s[1] for s in reversed(steps)], axis=1)
-        for r in range(n):
-            own = ids[r][ids[r] > -2]
-            if (own < 0).any():
-                places = starts[r][ids[r] > -2]
-                own = np.concatenate([[i] if i >= 0 else self.byte_id[list(words[r][p].encode("utf-8", "surrogatepass"))] for i, p in zip(own, places)]).astype(np.int32)
-            out.append(own)
-        return out
+        real = ids > -2
+        flat, sizes = ids[real], real.sum(axis=1)
+        if (flat < 0).any():  # characters without a piece become bytes
+            places = np.stack([s[1] for s in reversed(steps)], axis=1)[real]
+            row = np.repeat(rows, sizes)
+            unknown = np.flatnonzero(flat < 0)
+            spelled = [self.byte_id[list(words[row[u]][places[u]].encode("utf-8", "surrogatepass"))] for u in unknown]
+            more = np.array([len(b) for b in spelled])
+            np.add.at(sizes, row[unknown], more - 1)
+            times = np.ones(len(flat), dtype=np.int64)
+            times[unknown] = more
+            flat = np.repeat(flat, times)
+            flat[flat < 0] = np.concatenate(spelled)
+        return flat, sizes
 
 
 @lru_cache(maxsize=2)
@@ -283,36 +288,50 @@ def by_length(words: list[str]) -> Iterator[list[int]]:
 
 
 class Encoder:
-    """Encodes texts in a Python worker; keeps the ids of the units it has met, CACHED of them at most."""
+    """Encodes texts in a Python worker. Keeps the ids of the units it has met; beyond CACHED of them only the more used half stays."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.start = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.flat, self.start, self.uses = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        got: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(words)
+        flat, sizes = [self.flat], []
         for lot in by_length(words):
-            for k, ids in zip(lot, self.pieces.best([words[k] for k in lot])):
-                got[k] = ids
-        for w in words:
-            self.known[w] = len(self.known)
-        self.flat = np.concatenate([self.flat, *got])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(g) for g in got])])
+            own = [words[k] for k in lot]
+            for w in own:
+                self.known[w] = len(self.known)
+            ids, n = self.pieces.best(own)
+            flat.append(ids)
+            sizes.append(n)
+        self.flat = np.concatenate(flat)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+
+    def _forget(self) -> None:
+        keep = self.uses > np.median(self.uses)
+        if keep.sum() < CACHED // 8:
+            keep = self.uses >= np.median(self.uses)
+            keep[np.flatnonzero(keep)[: CACHED // 2]] = False
+        words, sizes = list(self.known), np.diff(self.start)
+        self.flat = self.flat[np.repeat(keep, sizes)]
+        self.start = np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.known = {words[k]: n for n, k in enumerate(np.flatnonzero(keep))}
+        self.uses = self.uses[keep] // 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of some texts."""
         if len(self.known) > CACHED:
-            self._clear()
+            self._forget()
         units = [self.pieces.units(t) for t in texts]
         counts = np.cumsum([0, *map(len, units)])
         words = list(chain.from_iterable(units))
+        del units
         if new := [w for w in dict.fromkeys(words) if w not in self.known]:
             self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        del words
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.start[at + 1] - self.start[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -320,6 +339,12 @@ class Encoder:
         return np.concatenate(([0], ends))[counts], ids
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: bytes) -> Encoder:
+    """A worker keeps what it has learned from task to task."""
+    return Encoder(pieces_of(model))
+
+
 def chunks(batch: pa.Array) -> Iterator[list[str]]:
     """The texts of a batch, some CHUNK characters at a time; null: empty."""
     own, size = [], 0
@@ -341,19 +366,26 @@ def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _decoded(ids: np.ndarray, spelled) -> str:
+    text = b"".join(map(spelled, ids.tolist())).decode("utf-8", "replace")
+    return text[1:] if text[:1] == " " else text
+
+
 def encode(col: Column, model: bytes) -> Column:
-    """array<int> of piece ids. Null and empty texts: an empty array."""
+    """struct<ids: array<int>, round_trip: boolean>: piece ids, and whether decoding them gives the text back. Null and empty texts: an empty array."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids: array<int>, round_trip: boolean>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(pieces_of(model))
+        encoder, spelled = encoder_of(model), pieces_of(model).bytes.__getitem__
         for batch in batches:
-            offsets, ids = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+            offsets, ids, same = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], []
             for texts in chunks(batch):
                 o, i = encoder.encode(texts)
+                same += [_decoded(i[o[k] : o[k + 1]], spelled) == t for k, t in enumerate(texts)]
                 offsets.append(o[1:] + offsets[-1][-1])
                 ids.append(i)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
     return run(col)
 
@@ -365,20 +397,15 @@ def decode(col: Column, model: bytes) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spelled = pieces_of(model).bytes.__getitem__
         for batch in batches:
-            out = []
-            for value in batch:
-                text = b"".join(map(spelled, value.values.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace") if value.is_valid else None
-                out.append(text[1:] if text and text[0] == " " else text)
-            yield pa.array(out, pa.string())
+            yield pa.array([_decoded(v.values.to_numpy(zero_copy_only=False), spelled) if v.is_valid else None for v in batch], pa.string())
 
     return run(col)
 
 
 def encoded(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """docs with ids, n_tokens and round_trip (decoding gives the text back); columns of those names are replaced."""
-    out = docs.withColumn("ids", encode(F.col(text_col), model))
-    out = out.withColumn("n_tokens", F.size("ids").cast("long"))
-    return out.withColumn("round_trip", decode(F.col("ids"), model) == F.coalesce(F.col(text_col), F.lit("")))
+    out = docs.withColumn("_e", encode(F.col(text_col), model)).withColumns({"ids": F.col("_e.ids"), "round_trip": F.col("_e.round_trip")})
+    return out.withColumn("n_tokens", F.size("ids").cast("long")).drop("_e")
 
 
 def op1(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
