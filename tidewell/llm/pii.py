@@ -63,7 +63,8 @@ def _luhn(c: Column) -> Column:
 
 
 def _octets_ok(c: Column) -> Column:
-    return F.forall(F.split(c, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.lpad(F.ltrim(F.lit("0"), p), 3, "0"), F.lit("000")) <= "255"))
+    """Every part is at most 255, however many zeros lead it."""
+    return F.forall(F.split(c, r"\."), lambda p: F.lpad(F.ltrim(p, F.lit("0")), 3, "0").between("000", "255") & (F.length(F.ltrim(p, F.lit("0"))) <= 3))
 
 
 def valid(kind: str, c: Column) -> Column:

@@ -59,7 +59,7 @@ def measure(text: str | None) -> tuple[int, ...]:
             dup += line in lines
             lines.add(line)
     word_chars = len(text) - sum(map(text.count, SPACES))
-    return (n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated, len(seen), sum(map(str.isupper, text)) if word_chars < 1000 else _upper(text))
+    return (n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated, len(seen), _upper(text))
 
 
 def _upper(text: str) -> int:
