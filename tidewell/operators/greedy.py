@@ -254,6 +254,11 @@ def refined(clusters: DataFrame, articles: DataFrame, p: Params = Params()) -> D
     return _apply(clusters, articles, step)
 
 
+def settled(clusters: DataFrame, articles: DataFrame, p: Params = Params()) -> DataFrame:
+    """The last split and merge by title."""
+    return _apply(clusters, articles, lambda c, r: by_title(split_all(c, r, p), p.cluster_title_merge))
+
+
 def chunked(clusters: list, rows: list[dict], p: Params) -> list:
     """What a refiner that changes nothing makes of the seeds: each as it is; long ones in overlapping chunks, in the articles' order, with the seed's title."""
     place = {r["id"]: k for k, r in enumerate(rows)}

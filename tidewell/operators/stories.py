@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.entities import cluster_text, entities
 from ..functions.text import doc_text
 from ..functions.times import hours_between
+from ..sources.scratch import saved
 from . import tfidf
 
 
@@ -84,9 +85,9 @@ def referenced(members: DataFrame, articles: DataFrame) -> DataFrame:
 
 def related(clusters: DataFrame, members: DataFrame, articles: DataFrame, shared: int = 2, length: int = 4, coherence: float = 0.03, most: int = 5) -> DataFrame:
     """(cluster_key, related_key, sim, rank): links in both directions, the `most` nearest of each cluster."""
-    pairs = sharing(cluster_entities(clusters, members, articles, length), "entity", shared)
+    pairs = saved(sharing(cluster_entities(clusters, members, articles, length), "entity", shared))
     own = referenced(members, articles)
-    postings = tfidf.weights(own, "id", doc_text(F.col("title"), F.col("description"), F.col("content")))
+    postings = saved(tfidf.weights(own, "id", doc_text(F.col("title"), F.col("description"), F.col("content"))))
     near = cross_similarity(pairs, members, postings).where(F.col("sim") >= coherence)
     both = near.select(F.col("a").alias("cluster_key"), F.col("b").alias("related_key"), "sim").unionAll(near.select("b", "a", "sim"))
     rank = F.row_number().over(Window.partitionBy("cluster_key").orderBy(F.desc(F.round("sim", 9)), F.least("cluster_key", "related_key"), F.greatest("cluster_key", "related_key")))

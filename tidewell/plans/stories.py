@@ -9,6 +9,7 @@ from ..functions.hashing import set_id
 from ..functions.text import doc_text, headlines
 from ..operators import enrich, greedy, ranking, stories, tfidf
 from ..params import Params
+from ..sources.scratch import saved
 
 
 def _keyed(clusters: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def raw_clusters(articles: DataFrame, p: Params = Params(), refine: bool = True)
     seeds = greedy.preclustered(timed, p)
     if not refine:
         return seeds
-    wide = expanded(greedy.refined(seeds, timed, p), timed.withColumn("published_at", F.col("at")).drop("at"), p)
-    return greedy.merged_by_title(greedy.coherent(wide, timed, p), timed, p.cluster_title_merge)
+    wide = saved(expanded(saved(greedy.refined(seeds, timed, p)), timed.withColumn("published_at", F.col("at")).drop("at"), p))
+    return greedy.settled(wide, timed, p)
 
 
 def ranked_stories(articles: DataFrame, meta: DataFrame, as_of: Column, p: Params = Params()) -> DataFrame:
@@ -43,14 +44,14 @@ def ranked_stories(articles: DataFrame, meta: DataFrame, as_of: Column, p: Param
 
     articles: id, title, description, content, url, source_name, source_url, category, published_at, ord, url_to_image, image_width, image_height, edition.
     """
-    clusters = _keyed(raw_clusters(articles, p))
+    clusters = _keyed(saved(raw_clusters(articles, p)))
     members = clusters.select("edition", "cluster_key", F.posexplode("article_ids").alias("pos", "id"))
     full = stories.lookup(members.drop("edition"), articles)
-    once = enrich.deduped(enrich.valid(full))
-    shown = enrich.valid(enrich.diverse(once, p.cluster_per_domain_max, p.cluster_display_cap))
-    pictures = enrich.images(shown, once, p)
+    once = saved(enrich.deduped(enrich.valid(full)))
+    shown = saved(enrich.valid(enrich.diverse(once, p.cluster_per_domain_max, p.cluster_display_cap)))
+    pictures = saved(enrich.images(shown, once, p))
     scores = ranking.scored(shown.withColumn("pos", F.col("shown")), pictures, meta, as_of, p)
-    links = stories.related(clusters, members.drop("edition"), articles, p.related_min_shared, p.related_min_length, p.related_min_coherence, p.related_max)
+    links = saved(stories.related(clusters, members.drop("edition"), articles, p.related_min_shared, p.related_min_length, p.related_min_coherence, p.related_max))
     named = clusters.withColumn("id", set_id(F.col("article_ids")))
     near = links.join(named.select(F.col("cluster_key").alias("related_key"), F.col("id").alias("related_id")), "related_key")
     near = near.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "related_id"))), lambda x: x["related_id"]).alias("related_ids"))
