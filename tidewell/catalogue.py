@@ -262,11 +262,16 @@ def cluster_id(spark, sf_dir):
 
 TF_SQL = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('substring(text, 1, 500)')}) AS term FROM documents) GROUP BY ALL)"
 W_SQL = f"{TF_SQL}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w AS (SELECT doc_id, tf.term, tf, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / (1.0 + df)) AS w FROM tf JOIN df USING (term)), nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)"
-BEGIN = F.substring("text", 1, 500)
+
+
+def begin() -> Column:
+    """What documents are compared by."""
+    return F.substring("text", 1, 500)
+
 
 
 def postings(spark, sf_dir):
-    return tfidf.weights(table(spark, sf_dir, "documents"), "doc_id", BEGIN)
+    return tfidf.weights(table(spark, sf_dir, "documents"), "doc_id", begin())
 
 
 @query("tokenize", f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents")
@@ -281,12 +286,12 @@ def title_tokens(spark, sf_dir):
 
 @query("term_freq", f"WITH {TF_SQL} SELECT * FROM tf")
 def term_freq(spark, sf_dir):
-    return tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", BEGIN)
+    return tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", begin())
 
 
 @query("doc_freq", f"WITH {TF_SQL} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def doc_freq(spark, sf_dir):
-    return tfidf.doc_freq(tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", BEGIN))
+    return tfidf.doc_freq(tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", begin()))
 
 
 @query("tfidf_weights", f"WITH {W_SQL} SELECT doc_id, term, tf, round(w, 4) AS w FROM w")
