@@ -759,3 +759,80 @@ def _streams() -> None:
 
 
 _streams()
+
+
+# --- the page ---------------------------------------------------------------------------------------------------------------------
+
+
+def _page() -> None:
+    from .operators import page
+
+    @query("hero_image", of_articles("SELECT cluster_key, arg_min(url_to_image, pos) AS hero FROM members WHERE url_to_image <> '' AND NOT contains(url_to_image, 'placehold.co') AND image_width >= 320 GROUP BY cluster_key"))
+    def hero_image(spark, sf_dir):
+        return page.hero(members(spark, sf_dir), expanded=True)
+
+    @query("image_lookup", of_articles("SELECT cluster_key, url_to_image, arg_max(id, pos) AS id FROM members WHERE url_to_image <> '' AND NOT contains(url_to_image, 'placehold.co') GROUP BY ALL"))
+    def image_lookup(spark, sf_dir):
+        return page.last_by_image(members(spark, sf_dir)).select("cluster_key", "url_to_image", "id")
+
+    @query("collage", of_articles(""", u AS (SELECT cluster_key, url_to_image, min(pos) AS place, arg_max(image_width, pos) AS w FROM members WHERE url_to_image <> '' AND NOT contains(url_to_image, 'placehold.co') GROUP BY ALL)
+SELECT cluster_key, array_to_string((list(url_to_image ORDER BY place))[1:4], ' ') AS urls FROM u WHERE w >= 320 GROUP BY cluster_key"""))
+    def collage(spark, sf_dir):
+        m = members(spark, sf_dir)
+        once = m.where(images.is_useful(F.col("url_to_image"))).groupBy("cluster_key", "url_to_image").agg(F.min("pos").alias("at"))
+        pictures = once.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url_to_image"))), lambda x: x["url_to_image"]).alias("image_urls"))
+        return page.collage(pictures, m).select("cluster_key", F.array_join("urls", " ").alias("urls"))
+
+    @query("image_grid", "SELECT c, i, r, CASE WHEN c = 1 THEN '2x2' WHEN c = 2 THEN CASE WHEN r = 1 THEN '2x1' ELSE '1x2' END WHEN c = 3 THEN CASE WHEN r > 0 THEN CASE WHEN i = 0 THEN '2x1' ELSE '1x1' END WHEN i = 0 THEN '1x2' ELSE '1x1' END ELSE '1x1' END AS cell FROM range(1, 6) a(c), range(0, 5) b(i), range(0, 2) d(r) WHERE i < c")
+    def image_grid(spark, sf_dir):
+        cells = [(c, i, r) for c in range(1, 6) for i in range(c) for r in range(2)]
+        ratio = F.when(F.col("r") == 1, 1.5).otherwise(1.0)
+        return values(spark, cells, "c long, i long, r long").withColumn("cell", page.grid_cell(F.col("c"), F.col("i"), ratio, ratio))
+
+    @query("related_lookup", "SELECT k AS cluster_key, k + 1 AS related_key, doc_n AS related_size FROM (SELECT unnest(range(0, 40)) AS k) JOIN (SELECT doc_id % 37 AS g, count(*) AS doc_n FROM documents GROUP BY ALL) ON g = k + 1")
+    def related_lookup(spark, sf_dir):
+        links = spark.range(40).select(F.col("id").alias("cluster_key"), (F.col("id") + 1).alias("related_key"))
+        return page.related_titles(links, clusters(members(spark, sf_dir))).select("cluster_key", "related_key", long(F.col("related_size")).alias("related_size"))
+
+    @query("summary_hydration", "WITH e AS (SELECT user_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'own' ELSE '' END AS s, event_id FROM events) SELECT event_id, CASE WHEN s <> '' THEN s WHEN event_type = 'view' THEN 'cached' END AS summary FROM e")
+    def summary_hydration(spark, sf_dir):
+        rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 == 0, "own").otherwise("").alias("summary"))
+        cached = values(spark, [("Summary-v2-cluster-view", "cached")], "key string, value string")
+        return page.hydrated(rows, cached, digest.summary_key("cluster", F.col("event_type"))).select("event_id", "summary")
+
+    @query("summary_wanted", "SELECT conv_id, turn, length(text) > 30 AS manual, length(text) > 100 AS auto, length(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) >= 160 AS server FROM conversations")
+    def summary_wanted(spark, sf_dir):
+        c = F.col("text")
+        return table(spark, sf_dir, "conversations").select("conv_id", "turn", page.wants_summary(c, True).alias("manual"), page.wants_summary(c, False).alias("auto"), page.has_server_summary(c).alias("server"))
+
+    errors = [(1, "Error 429: slow down", None, None, True), (2, "Spend Limit hit", None, None, True), (3, "x", "rate_limit_exceeded", None, True), (4, "x", None, 429, True), (5, "invalid api key", None, 403, False), (6, None, None, None, False)]
+
+    @query("rate_limit_errors", "SELECT k, limited FROM " + sql_values([(r[0], r[4]) for r in errors], "k, limited"))
+    def rate_limit_errors(spark, sf_dir):
+        rows = values(spark, [r[:4] for r in errors], "k int, message string, code string, status int")
+        return rows.select("k", page.is_rate_limit(F.col("message"), F.col("code"), F.col("status")).alias("limited"))
+
+    @query("llm_valid_clusters", "SELECT k, ok FROM (VALUES (1, true), (2, false), (3, false), (4, false)) v(k, ok)")
+    def llm_valid_clusters(spark, sf_dir):
+        rows = values(spark, [(1, "t", ["a", "b"]), (2, "", ["a", "b"]), (3, "t", ["a"]), (4, None, None)], "k int, title string, ids array<string>")
+        return rows.select("k", page.is_valid_cluster(F.col("title"), F.col("ids")).alias("ok"))
+
+    @query("feed_lookups", f"SELECT source_key, bool_or(lower(category) = 'technology') AS has_tech, bool_or(category = 'World') AS has_world FROM {FLAT_SQL} GROUP BY source_key")
+    def feed_lookups(spark, sf_dir):
+        return feeds(spark).groupBy("source_key").agg(F.bool_or(F.lower("category") == "technology").alias("has_tech"), F.bool_or(F.col("category") == "World").alias("has_world"))
+
+    @query("published_labels", "SELECT event_id, strftime(ts, '%b %-d, %-I:%M %p') AS label, CASE WHEN (epoch_us(TIMESTAMP '2024-01-31') // 1000 - epoch_us(ts) // 1000) / 3.6e6 < 1 THEN 'new' ELSE CAST(floor((epoch_us(TIMESTAMP '2024-01-31') // 1000 - epoch_us(ts) // 1000) / 3.6e6) AS BIGINT) || 'h' END AS age FROM events")
+    def published_labels(spark, sf_dir):
+        age = times.age_label(F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+        return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "MMM d, h:mm a").alias("label"), F.when(F.endswith(age, F.lit("m")), "new").otherwise(age).alias("age"))
+
+    @query("category_payload", of_articles(""", m AS (SELECT cluster_key, count(*) AS n, list(title ORDER BY pos) AS titles FROM members GROUP BY ALL ORDER BY cluster_key LIMIT 4)
+SELECT 'Topic: World' || chr(10) || chr(10) || 'Top clusters (use these to infer the dominant day-level themes, not to restate each headline):' || chr(10) || string_agg((cluster_key + 1) || '. ' || titles[1] || chr(10) || 'Articles: ' || n || chr(10) || 'Cue: ' || CASE WHEN length(titles[1] || ' | ' || titles[2]) <= 200 THEN titles[1] || ' | ' || titles[2] ELSE substring(titles[1] || ' | ' || titles[2], 1, 197) || '...' END, chr(10) || chr(10) ORDER BY cluster_key) AS content, CAST(8 AS BIGINT) AS article_count FROM m"""))
+    def category_payload(spark, sf_dir):
+        m = members(spark, sf_dir).groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "title"))).alias("m"))
+        rows = m.select(F.col("cluster_key").alias("ord"), F.col("m")[0]["title"].alias("title"), F.lit("").alias("summary"), F.lit("Other").alias("label"), F.transform("m", lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"))).alias("articles"))
+        loose = articles(spark, sf_dir).select("ord", "id", "title", "source_name", "description")
+        return page.category_payload(rows, loose, "World", 4, 2, 0).select("content", "article_count")
+
+
+_page()
