@@ -19,6 +19,8 @@ BLOCK, PART_ROWS, SLOT_PART = 1024, 10_000, 1 << 14
 #: Points of the schedule lie on a grid of LINE cells; GOLDEN is LINE over the golden ratio, made odd.
 LINE, GOLDEN, CELLS = 1 << 31, 1_327_217_885, 4096
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+#: So many sources are broadcast at most.
+MANY = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -91,10 +93,17 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def laid_out(sizes: DataFrame, goals: DataFrame, id_col: str) -> DataFrame:
     """sizes' rows with words, in a shuffled order within their source, with `start`: the words of the source before them."""
-    parts = goals.select(F.col("source").alias("_g"), F.greatest(F.lit(1), F.ceil(F.col("docs") / PART_ROWS)).cast("long").alias("_parts"), "source_size", "target")
+    parts = goals.select(F.col("source").alias("_g"), "docs", "source_size", "target")
     out = sizes.join(parts, sizes["source"].eqNullSafe(parts["_g"])).drop("_g")
-    shuffled = F.xxhash64(F.col(id_col), F.lit("shuffle"))
-    return _running(out, "source", F.pmod(shuffled, F.col("_parts")), [shuffled, F.col(id_col), F.col("size")], F.col("size"), "start").drop("_parts")
+    place = _place(F.col(id_col), F.col("docs"), F.col("size"))
+    return _running(out, "source", place["part"], [place], F.col("size"), "start").drop("docs")
+
+
+def _place(ident: Column, docs: Column, size: Column) -> Column:
+    """Where a document stands in the shuffled order of its source, which is cut into parts of about PART_ROWS; null ids stand first."""
+    shuffled = F.xxhash64(ident, F.lit("shuffle"))
+    parts = F.greatest(F.lit(1), F.ceil(docs / PART_ROWS)).cast("long")
+    return F.struct(F.pmod(shuffled, parts).alias("part"), shuffled.alias("at"), F.coalesce(ident.cast("string"), F.lit("")).alias("id"), size.alias("size"))
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
@@ -126,11 +135,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """docs' rows as often as their words are taken, to the nearest whole number: a source's words differ from its target by a document at most.
 
-    Rows of equal id, source and size are taken alike often, by the rounded mean.
+    The blocks taken in the last pass over a source are the first in its shuffled order, so one place in that order for each source tells all of its
+    documents' numbers, and rows need not be joined one by one. Rows of equal id, source and size are taken alike often.
     """
-    times = taken(docs, id_col, text_col, source_col, block).where("size > 0").groupBy(id_col, "source", "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times = saved(times.where("_times > 0").select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times"))
-    keyed = docs.withColumn("_words", n_words(text_or_empty(text_col)))
-    same = keyed[id_col].eqNullSafe(times["_id"]) & keyed[source_col].eqNullSafe(times["_source"]) & (keyed["_words"] == times["_size"])
-    met = keyed.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return met.drop("_id", "_source", "_size", "_times", "_words", "_copy")
+    used = taken(docs, id_col, text_col, source_col, block)
+    parts = used.groupBy("source").agg(F.count("*").alias("_docs"))
+    used = used.where("size > 0").join(parts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    whole = F.floor(F.col("target") / F.col("source_size")).cast("int")
+    last = F.max(F.when(times > whole, _place(F.col(id_col), F.col("_docs"), F.col("size"))))
+    ends = saved(used.groupBy("source").agg(F.max("_docs").alias("_docs"), F.max(whole).alias("_whole"), last.alias("_last")).withColumnRenamed("source", "_source"))
+    keyed = docs.withColumn("_words", n_words(text_or_empty(text_col))).where("_words > 0")
+    met = keyed.join(F.broadcast(ends) if ends.count() <= MANY else ends, keyed[source_col].eqNullSafe(ends["_source"]))
+    copies = F.col("_whole") + F.coalesce(_place(F.col(id_col), F.col("_docs"), F.col("_words")) <= F.col("_last"), F.lit(False)).cast("int")
+    return met.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_words", "_source", "_docs", "_whole", "_last", "_copies", "_copy")

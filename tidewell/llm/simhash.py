@@ -171,18 +171,18 @@ def _within(x, budget: list[int]):
 
 
 def shingle_hashes(col, words_per_shingle: int):
-    """array<long>: the distinct hashes of a text's shingles."""
+    """array<int>: the distinct 32-bit hashes of a text's shingles; two texts of a thousand words share one by chance once in four thousand times."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
             for t in batch:
                 words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 n = max(1, len(words) - words_per_shingle + 1) if words else 0
-                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + words_per_shingle])) for k in range(n)), dtype="<u8", count=n).view("<i8")))
+                out.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[k : k + words_per_shingle])) for k in range(n)), dtype="<u4", count=n).view("<i4")))
             offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else [], pa.int64()))
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else [], pa.int32()))
 
     return run(col)
 
@@ -193,7 +193,8 @@ def _filtered(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
-    """(node, other) candidates from (node, fp, n): for each node at most two nodes before it by (n falling, fp, node), the nearest and the one with most copies.
+    """(node, other) candidates from (node, fp, n): for each node at most two nodes before it by (n falling, fp, node), the nearest and the first in that order, which
+    the members of a group have in common.
 
     Fingerprints with the same sampled bits form a bucket. There each is held against the bucket's first and the one before it only, so that a
     large group of near copies gives links in proportion to its size; over all tables these still hold the group together.
@@ -202,10 +203,11 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("t", "key").orderBy(F.desc("n"), "fp", "node")
     me = F.struct(F.col("n"), F.col("fp"), F.col("node"))
     met = keyed.select("node", "fp", F.first(me).over(w).alias("first"), F.lag(me).over(w).alias("before")).where("before is not null")
-    each = met.select("node", "fp", F.explode(F.array("first", "before")).alias("o"))
-    near = each.withColumn("x", F.col("fp").bitwiseXOR(F.col("o.fp"))).where(_within(F.col("x"), NEAR_BUDGET))
-    near = near.select("node", F.bit_count("x").alias("d"), (-F.col("o.n")).alias("rank"), F.col("o.node").alias("other"))
-    best = near.groupBy("node").agg(F.min(F.struct("d", "rank", "other")).alias("p"), F.min(F.struct("rank", "d", "other")).alias("q"))
+    close = [F.when(_within(F.col("fp").bitwiseXOR(F.col(f"{o}.fp")), NEAR_BUDGET), F.col(o)) for o in ("first", "before")]
+    each = met.select("node", "fp", F.explode(F.array_compact(F.array(*close))).alias("o"))
+    near = each.withColumn("x", F.col("fp").bitwiseXOR(F.col("o.fp")))
+    near = near.select("node", F.bit_count("x").alias("d"), F.struct((-F.col("o.n")).alias("n"), F.col("o.fp").alias("fp")).alias("rank"), F.col("o.node").alias("other"))
+    best = near.groupBy("node").agg(F.min(F.struct("d", "rank", "other")).alias("p"), F.min(F.struct("rank", "other")).alias("q"))
     return best.select("node", F.explode(F.array_distinct(F.array("p.other", "q.other"))).alias("other"))
 
 
@@ -222,16 +224,19 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     nodes = saved(rows.groupBy("copy").agg(F.min(order).alias("o"), F.count("*").alias("n"), F.min("fp").alias("fp")).select(F.col("o._k").alias("node"), "o", "n", "fp"))
     pairs = saved(near_pairs(nodes.select("node", "fp", "n")))
     wanted = saved(pairs.select(F.col("node").alias("_k")).union(pairs.select("other")).distinct())
-    sets = saved(_filtered(keyed.select("_k", text_col), wanted, "inner").dropDuplicates(["_k"]).select(F.col("_k").alias("of"), shingle_hashes(F.col(text_col), words_per_shingle).alias("s")))
+    times = saved(rows.groupBy("_k").agg(F.count("*").alias("times")).where("times > 1"))
+    texts = _filtered(keyed.select("_k", text_col), wanted, "inner")
+    if not times.isEmpty():  # equal rows
+        texts = _filtered(texts, times.select("_k"), "left_anti").unionByName(_filtered(texts, times.select("_k"), "left_semi").dropDuplicates(["_k"]))
+    sets = saved(texts.select(F.col("_k").alias("of"), shingle_hashes(F.col(text_col), words_per_shingle).alias("s")))
     a, b = sets.select(F.col("of").alias("node"), F.col("s").alias("sa")), sets.select(F.col("of").alias("other"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     checked = pairs.join(a, "node").join(b, "other").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
     roots = components(checked.select(F.col("node").alias("a"), F.col("other").alias("b")))
     grouped = saved(nodes.select("node", "o").join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root")))
     stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._k").alias("_k")))
-    times = rows.groupBy("_k").agg(F.count("*").alias("times"))
     gone = saved(rows.select("_k").distinct().join(stay, "_k", "left_anti"))
-    often = saved(times.where("times > 1").select("_k").join(stay, "_k", "left_semi"))
+    often = saved(times.select("_k").join(stay, "_k", "left_semi"))
     out = _filtered(keyed, gone, "left_anti")
     if not often.isEmpty():
         out = _filtered(out, often, "left_anti").unionByName(_filtered(keyed, often, "left_semi").dropDuplicates(["_k"]))
