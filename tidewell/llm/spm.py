@@ -26,8 +26,9 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Units kept with their ids in a Python worker, and characters taken on at a time.
-CACHED, CHUNK, CELLS, LONG = 400_000, 3_000_000, 60_000, 48
+#: Units kept with their ids in a Python worker and their characters, characters and cells of a table taken on at a time, and the length from which units are cut.
+CACHED, CHARS, CHUNK, CELLS, LONG = 400_000, 16_000_000, 2_000_000, 60_000, 48
+UNIT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
 
 class Pieces:
@@ -62,11 +63,8 @@ class Pieces:
             keys = self.hashes(codes)[:, -1]
             order = np.argsort(keys)
             self.tables[length] = (keys[order], np.array(ids, dtype=np.int32)[order], codes[order])
-        apart = "".join(c for c in "\n\t\r" if not any(c in t for t in texts.values()))
-        if any(" " in t.lstrip(" ") for t in texts.values()):
-            self.unit = re.compile(r".+", re.S)  # pieces that span words: whole texts are units
-        else:
-            self.unit = re.compile((f"[{re.escape(apart)}]|" if apart else "") + f" +[^ {re.escape(apart)}]*|[^ {re.escape(apart)}]+")
+        if any(" " in t.lstrip(" ") or "\n" in t for t in texts.values()):
+            raise ValueError("pieces that hold a line end, or a blank after something else, are not supported")
         from sentencepiece import sentencepiece_model_pb2
 
         spec = sentencepiece_model_pb2.ModelProto()
@@ -177,13 +175,18 @@ class Pieces:
             found[length] = out
         return found
 
-    def units(self, text: str) -> list[str]:
-        """text, led by a blank, cut where no piece can cross."""
-        out = self.unit.findall(" " + text) if text else []
-        if len(text) > LONG and max(map(len, out)) > LONG:
-            out = list(chain.from_iterable([u] if len(u) <= LONG else self._cut(u) for u in out))
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """The units of a text led by a blank: each begins with a line end or with blanks, of which the key leaves out the first. No piece crosses units."""
+        out = text.replace("\n", " \n").split(" ")
+        if "" in out:
+            out = [u[1:] if u[0] == " " else u for u in UNIT.findall(" " + text)] if text else []
         return out
 
+    @staticmethod
+    def unit(key: str) -> str:
+        return key if key[:1] == "\n" else " " + key
+
     def _cut(self, unit: str) -> Iterator[str]:
         start = 0
         for k in range(1, len(unit)):
@@ -287,56 +290,95 @@ def by_length(words: list[str]) -> Iterator[list[int]]:
             yield own[at : at + step]
 
 
+class _Known(dict):
+    """Numbers for keys; those of new keys are given on the way, and the keys noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = at = len(self)
+        return at
+
+
 class Encoder:
-    """Encodes texts in a Python worker. Keeps the ids of the units it has met; beyond CACHED of them only the more used half stays."""
+    """Encodes texts in a Python worker. Keeps the ids of the units it has met; beyond CACHED of them, or CHARS characters, only the more used stay."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.uses = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        flat, sizes = [self.flat], []
-        for lot in by_length(words):
-            own = [words[k] for k in lot]
-            for w in own:
-                self.known[w] = len(self.known)
-            ids, n = self.pieces.best(own)
+        self.known = _Known()
+        self.flat = np.zeros(0, dtype=np.int32)
+        #: by unit: where its ids begin and how many they are, its characters, whether its ids spell it, and how often it was used
+        self.start, self.size, self.chars, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(4))
+        self.spelled = np.zeros(0, dtype=bool)
+
+    def _learn(self, keys: list[str]) -> None:
+        units = list(map(self.pieces.unit, keys))
+        size, start, at = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64), len(self.flat)
+        flat, short = [self.flat], [k for k, u in enumerate(units) if len(u) <= LONG]
+        for lot in by_length([units[k] for k in short]):
+            own = np.array(short)[lot]
+            ids, n = self.pieces.best([units[k] for k in own])
+            size[own], start[own] = n, at + np.cumsum(n) - n
             flat.append(ids)
-            sizes.append(n)
+            at += len(ids)
+        for k, u in enumerate(units):
+            if len(u) > LONG:
+                parts = list(self.pieces._cut(u))
+                got: list = [None] * len(parts)
+                for lot in by_length(parts):
+                    ids, n = self.pieces.best([parts[j] for j in lot])
+                    for j, own in zip(lot, np.split(ids, np.cumsum(n)[:-1])):
+                        got[j] = own
+                flat.append(np.concatenate(got))
+                size[k], start[k] = len(flat[-1]), at
+                at += len(flat[-1])
         self.flat = np.concatenate(flat)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+        spelled = self._spelled(units, start, size)
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        self.chars = np.concatenate([self.chars, np.array([len(u) for u in units], dtype=np.int64)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), dtype=np.int64)])
+        self.spelled = np.concatenate([self.spelled, spelled])
+
+    def _spelled(self, units: list[str], start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether decoding a unit's ids gives the unit."""
+        piece = self.pieces.bytes
+        return np.array([b"".join([piece[i] for i in self.flat[a : a + n].tolist()]) == u.encode("utf-8", "surrogatepass") for u, a, n in zip(units, start.tolist(), size.tolist())], dtype=bool)
 
     def _forget(self) -> None:
-        keep = self.uses > np.median(self.uses)
-        if keep.sum() < CACHED // 8:
-            keep = self.uses >= np.median(self.uses)
-            keep[np.flatnonzero(keep)[: CACHED // 2]] = False
-        words, sizes = list(self.known), np.diff(self.start)
-        self.flat = self.flat[np.repeat(keep, sizes)]
-        self.start = np.concatenate([[0], np.cumsum(sizes[keep])])
-        self.known = {words[k]: n for n, k in enumerate(np.flatnonzero(keep))}
-        self.uses = self.uses[keep] // 2
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of some texts."""
-        if len(self.known) > CACHED:
+        order = np.lexsort((self.chars, -self.uses))
+        keep = np.sort(order[: CACHED // 2])
+        keep = keep[np.cumsum(self.chars[keep]) <= CHARS // 2]
+        keys = list(self.known)
+        self.known = _Known()
+        self.known.update((keys[k], n) for n, k in enumerate(keep.tolist()))
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[keep] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.start, self.size, self.chars, self.spelled, self.uses = ends - size, size, self.chars[keep], self.spelled[keep], self.uses[keep] // 2
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, ids, whether decoding gives the text back) of some texts.
+
+        A text's units follow one another, so it is given back if each unit is and their characters are as many as the text's and the leading blank.
+        """
+        if len(self.known) > CACHED or self.chars.sum() > CHARS:
             self._forget()
-        units = [self.pieces.units(t) for t in texts]
-        counts = np.cumsum([0, *map(len, units)])
-        words = list(chain.from_iterable(units))
-        del units
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+        keys = [self.pieces.keys(t) for t in texts]
+        counts = np.cumsum([0, *map(len, keys)])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(keys)), dtype=np.int64, count=counts[-1])
+        del keys
+        if self.known.new:
+            new, self.known.new = self.known.new, []
             self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        del words
         self.uses += np.bincount(at, minlength=len(self.uses))
-        sizes = self.start[at + 1] - self.start[at]
+        total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[counts])
+        sizes = self.size[at]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
-        return np.concatenate(([0], ends))[counts], ids
+        ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        lengths = np.array([len(t) + (t != "") for t in texts], dtype=np.int64)
+        return np.concatenate(([0], ends))[counts], ids, (total(self.spelled[at]) == np.diff(counts)) & (total(self.chars[at]) == lengths)
 
 
 @lru_cache(maxsize=1)
@@ -376,12 +418,12 @@ def encode(col: Column, model: bytes) -> Column:
 
     @F.arrow_udf("struct<ids: array<int>, round_trip: boolean>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, spelled = encoder_of(model), pieces_of(model).bytes.__getitem__
+        encoder = encoder_of(model)
         for batch in batches:
             offsets, ids, same = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], []
             for texts in chunks(batch):
-                o, i = encoder.encode(texts)
-                same += [_decoded(i[o[k] : o[k + 1]], spelled) == t for k, t in enumerate(texts)]
+                o, i, same_as = encoder.encode(texts)
+                same += same_as.tolist()
                 offsets.append(o[1:] + offsets[-1][-1])
                 ids.append(i)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
