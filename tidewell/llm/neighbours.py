@@ -73,9 +73,9 @@ def _search(k: int, longest: float, enough: int):
             vectors = np.array(rows["v"].tolist(), dtype=np.float64)
             ids, own = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
             forest = Forest(vectors, longest)
-            asked = np.array(queries["v"].tolist(), dtype=np.float64)
+            asked = np.array(queries["query_v"].tolist(), dtype=np.float64)
             low, high = forest.ranges(asked, enough)
-            for i, (q, query) in enumerate(zip(queries["row"], queries["vec_id"])):
+            for i, (q, query) in enumerate(zip(queries["query_row"], queries["query_id"])):
                 near = forest.candidates(low[i], high[i])
                 near = near[own[near] != q]
                 score = vectors[near] @ asked[i]
@@ -93,11 +93,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     """(query_id, rank, vec_id, score): the k nearest found for each row where is_query holds, among all other rows.
 
     Rows take no part whose vector is null, zero or empty, holds nulls or non-finite numbers, or is not of the most frequent length (of equal ones, the
-    shorter). Ties go to the smaller id. Rows with equal ids are each a candidate, and each a query. Null ids are never queries. No rows: no rows.
+    shorter). Ties go to the smaller id. Nor do rows with a null id, which no result could name. Rows with equal ids are each a candidate, and each a query. No rows: no rows.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), v.alias("v"), is_query.alias("ask")).where(F.col("v").isNotNull() & fine)
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), v.alias("v"), is_query.alias("ask")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
     rows = saved(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("ask").alias("asks"), F.max("norm").alias("norm")).orderBy(F.desc("n"), "d").first()
     dim, n, asks, longest = sizes or (0, 0, 0, 0.0)
@@ -106,7 +106,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     to = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = rows.select(to(shards).alias("shard"), every(blocks).alias("block"), "row", "vec_id", "v")
-    right = rows.where("ask").select(every(shards).alias("shard"), to(blocks).alias("block"), "row", "vec_id", "v")
+    right = rows.where("ask").select(every(shards).alias("shard"), to(blocks).alias("block"), F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("query_v"))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search(k, float(longest), enough), "q long, query_id long, vec_id long, row long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
