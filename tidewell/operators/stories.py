@@ -36,11 +36,14 @@ def dominant(rows: DataFrame, group: list[str], value: str, pos: str) -> DataFra
     return counts.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("n"), "first", F.col(value).alias("v"))).alias("b")).select(*group, F.col("b.v").alias(value))
 
 
-def cluster_entities(clusters: DataFrame, members: DataFrame, articles: DataFrame, least: int = 4) -> DataFrame:
-    """(cluster_key, entity), each once: names in the title and the first ten members' titles, of a least length."""
+def cluster_entities(clusters: DataFrame, members: DataFrame, articles: DataFrame, least: int = 4, scope: str | None = None) -> DataFrame:
+    """(cluster_key, entity), each once: names in the title and the first ten members' titles, of a least length.
+
+    With scope, a column of clusters, its value stands before the names, so that only clusters of one scope have names in common.
+    """
     titles = members.where("pos < 10").join(articles.select("id", "title"), "id").groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]).alias("titles"))
     text = cluster_text(F.col("cluster_title"), F.coalesce("titles", F.array().cast("array<string>")))
-    return clusters.join(titles, "cluster_key", "left").select("cluster_key", F.explode(F.filter(entities(text), lambda e: F.length(e) >= least)).alias("entity"))
+    return clusters.join(titles, "cluster_key", "left").select("cluster_key", *([scope] if scope else []), F.explode(F.filter(entities(text), lambda e: F.length(e) >= least)).alias("entity")).select("cluster_key", (F.concat_ws(":", scope, "entity") if scope else F.col("entity")).alias("entity"))
 
 
 def sharing(sets: DataFrame, value: str, least: int = 1) -> DataFrame:
@@ -83,11 +86,14 @@ def referenced(members: DataFrame, articles: DataFrame) -> DataFrame:
     return articles.join(members.select("id").distinct(), "id", "left_semi")
 
 
-def related(clusters: DataFrame, members: DataFrame, articles: DataFrame, shared: int = 2, length: int = 4, coherence: float = 0.03, most: int = 5) -> DataFrame:
-    """(cluster_key, related_key, sim, rank): links in both directions, the `most` nearest of each cluster."""
-    pairs = saved(sharing(cluster_entities(clusters, members, articles, length), "entity", shared))
+def related(clusters: DataFrame, members: DataFrame, articles: DataFrame, shared: int = 2, length: int = 4, coherence: float = 0.03, most: int = 5, scope: str | None = None) -> DataFrame:
+    """(cluster_key, related_key, sim, rank): links in both directions, the `most` nearest of each cluster.
+
+    With scope, a column of clusters and articles, links stay within it, and so do the weights of terms.
+    """
+    pairs = saved(sharing(cluster_entities(clusters, members, articles, length, scope), "entity", shared))
     own = referenced(members, articles)
-    postings = saved(tfidf.weights(own, "id", doc_text(F.col("title"), F.col("description"), F.col("content"))))
+    postings = saved(tfidf.weights(own, "id", doc_text(F.col("title"), F.col("description"), F.col("content")), within=[scope] if scope else None))
     near = cross_similarity(pairs, members, postings).where(F.col("sim") >= coherence)
     both = near.select(F.col("a").alias("cluster_key"), F.col("b").alias("related_key"), "sim").unionAll(near.select("b", "a", "sim"))
     rank = F.row_number().over(Window.partitionBy("cluster_key").orderBy(F.desc(F.round("sim", 9)), F.least("cluster_key", "related_key"), F.greatest("cluster_key", "related_key")))

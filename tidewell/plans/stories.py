@@ -22,9 +22,9 @@ def expanded(clusters: DataFrame, articles: DataFrame, p: Params) -> DataFrame:
     keyed = _keyed(clusters)
     members = keyed.select("edition", "cluster_key", F.posexplode("article_ids").alias("pos", "id"))
     postings = tfidf.weights(articles, "id", doc_text(F.col("title"), F.col("description"), F.col("content")), within=["edition"])
-    more = stories.expanded(members.drop("edition"), articles, postings.drop("edition"), p.cluster_expand_sim, p.cluster_expand_max_add, p.cluster_expand_time_hours, p.cluster_expand_category_strict)
-    added = more.join(articles.select("id", F.col("edition").alias("_e")), "id").where(F.col("_e") == F.floor(F.col("cluster_key") / greedy.MOST))
-    lists = added.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("added"))
+    postings = postings.withColumn("term", F.concat_ws(":", "edition", "term")).drop("edition")  # articles meet the clusters of their edition only
+    more = stories.expanded(members.drop("edition"), articles, postings, p.cluster_expand_sim, p.cluster_expand_max_add, p.cluster_expand_time_hours, p.cluster_expand_category_strict)
+    lists = more.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("added"))
     out = keyed.join(lists, "cluster_key", "left").withColumn("article_ids", F.array_union("article_ids", F.coalesce("added", F.array().cast("array<string>"))))
     return out.select("edition", F.col("local_key").alias("cluster_key"), "cluster_title", "article_ids")
 
@@ -51,7 +51,7 @@ def ranked_stories(articles: DataFrame, meta: DataFrame, as_of: Column, p: Param
     shown = saved(enrich.valid(enrich.diverse(once, p.cluster_per_domain_max, p.cluster_display_cap)))
     pictures = saved(enrich.images(shown, once, p))
     scores = ranking.scored(shown.withColumn("pos", F.col("shown")), pictures, meta, as_of, p)
-    links = saved(stories.related(clusters, members.drop("edition"), articles, p.related_min_shared, p.related_min_length, p.related_min_coherence, p.related_max))
+    links = saved(stories.related(clusters, members.drop("edition"), articles, p.related_min_shared, p.related_min_length, p.related_min_coherence, p.related_max, scope="edition"))
     named = clusters.withColumn("id", set_id(F.col("article_ids")))
     near = links.join(named.select(F.col("cluster_key").alias("related_key"), F.col("id").alias("related_id")), "related_key")
     near = near.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "related_id"))), lambda x: x["related_id"]).alias("related_ids"))
