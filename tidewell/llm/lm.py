@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .spm import LONG, MODEL, Pieces, by_length, pieces_of, read_model
 
-#: Most frequent words that are broadcast, their greatest length, and the words that a worker counts before it hands them on.
+#: Most frequent words that are broadcast at most, their greatest length, and the words that a worker counts before it hands them on.
 HEAVY, HEAVY_CHARS, FLUSH = 100_000, 64, 250_000
 ROUNDS, PRIOR = 1, 10_000.0
 KEPT = 200_000
@@ -141,6 +141,23 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame) -> dict[bytes, int]:
+    """The most frequent words with their counts, HEAVY of them at most: all from a step of counts on.
+
+    A histogram of the counts' magnitudes, a few hundred rows, tells the step first, so that no more than the words themselves reach the driver.
+    """
+    step = F.floor(F.log2("c") * 8)
+    short = counts.where(F.length("word") <= HEAVY_CHARS)
+    least, total = None, 0
+    for row in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > HEAVY:
+            break
+        least = row["step"]
+    top = short.where(step >= least).collect() if least is not None else []
+    return {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in top}
+
+
 def reestimate(counts: DataFrame, ends: int, model: bytes, probability: np.ndarray) -> np.ndarray:
     """One round of expectation-maximisation over the distinct training words. The driver gets a number for each piece at most."""
 
@@ -225,8 +242,7 @@ def scored(docs: DataFrame, model: bytes, held_out: Column, id_col: str = "doc_i
     probability = prior_of(pieces)
     for _ in range(rounds):
         probability = reestimate(counts, ends, model, probability)
-    top = counts.where(F.length("word") <= HEAVY_CHARS).orderBy(F.desc("c"), "word").limit(HEAVY).toPandas()
-    heavy = {w.encode("utf-8", "surrogatepass"): int(c) for w, c in zip(top["word"], top["c"])}
+    heavy = frequent(counts)
 
     seen = saved(own.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", _by_heavy(F.col("text"), heavy, model, probability).alias("m")).select("row", "id", "held_out", "m.*"))
     rare = seen.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("w"), F.col("r.n").alias("k"))
