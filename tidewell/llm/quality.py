@@ -175,7 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     That bound holds for what is broadcast and for what reaches the driver: a few numbers a row.
     """
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q2"))
-    rows = rows.where("quality = q2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(F.col("doc_id").alias("label_id"), "quality")
+    place, known = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), labels.count()
+    if known > 2 * max_labelled:  # leaves about 1.5 times as many, so that the sort is of a bounded number
+        rows = rows.where(place < int(1.5 * (1 << 40) * max_labelled / known))
+    rows = rows.where("quality = q2").orderBy(place, "doc_id").limit(max_labelled).select(F.col("doc_id").alias("label_id"), "quality")
     some = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))
     some = some.select("doc_id", "quality", measures(F.col("text")).alias("m")).select("doc_id", "quality", "m.*")
     got = some.select("doc_id", "quality", *[F.expr(e).alias(f"f_{k}") for k, e in FEATURES.items()]).limit(2 * max_labelled).toPandas()
