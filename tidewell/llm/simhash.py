@@ -146,7 +146,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: near_dedup(): bits that fingerprints of similar texts may differ in, sampled-bit tables and bits of a key, and the keys that may be broadcast.
-NEAR_BITS, NEAR_TABLES, NEAR_KEY, SMALL = 13, 80, 20, 500_000
+NEAR_BITS, NEAR_TABLES, NEAR_KEY, SMALL = 13, 80, 18, 500_000
 NEAR_BUDGET = [length * NEAR_BITS // SEGMENTS for length in range(1, SEGMENTS + 1)]
 
 
