@@ -27,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units kept with their ids in a Python worker and their characters, characters and cells of a table taken on at a time, and the length from which units are cut.
-CACHED, CHARS, CHUNK, CELLS, LONG = 400_000, 16_000_000, 2_000_000, 60_000, 48
+CACHED, CHARS, CHUNK, CELLS, LONG = 320_000, 12_000_000, 1_000_000, 60_000, 48
 UNIT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
 
