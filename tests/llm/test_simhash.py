@@ -115,3 +115,34 @@ def test_near_dedup_odd_rows(odd, empty):
     ) or True
     assert out.where("doc_id = 5").count() == 2
     assert simhash.near_dedup(empty).count() == 0
+
+
+def families(seed, count=40):
+    """Pairs of texts of a similarity just above 0.8, all sharing so much of one passage that other texts are at 0.6 to 0.79."""
+    rng = random.Random(seed)
+    shared = [f"s{k}" for k in range(170)]
+    out = []
+    for f in range(count):
+        at = rng.randrange(171)
+        one = shared[:at] + [f"f{f}x{k}" for k in range(30)] + shared[at:]
+        other = list(one)
+        for p in (15, 65, 115, 165):
+            other[p] = f"f{f}y{p}"
+        out += [" ".join(one), " ".join(other)]
+    return out
+
+
+def least_of_groups(rows):
+    """The smallest id of each group, by all pairs."""
+    pairs = [(i, j) for i, t in rows for j, u in rows if i < j and jaccard(t, u) >= 0.8]
+    return pairs, set(components([i for i, _ in rows], pairs).values())
+
+
+def test_near_copies_apart_in_crowded_buckets(make):
+    """Near copies far from each other in the order by number of copies, among many texts with much the same fingerprint."""
+    texts = families(3)
+    rows = list(enumerate(texts))
+    rows += [(1000 + i, t) for i, t in rows if i % 2 == 0]
+    pairs, want = least_of_groups(rows)
+    assert {(2 * k, 2 * k + 1) for k in range(40)} <= set(pairs)
+    assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want

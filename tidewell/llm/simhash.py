@@ -9,6 +9,7 @@ the full Hamming distance is taken, and it is reported under its first agreeing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -145,94 +146,158 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: near_dedup(): bits that fingerprints of similar texts may differ in, sampled-bit tables and bits of a key, and the keys that may be broadcast.
-NEAR_BITS, NEAR_TABLES, NEAR_KEY, SMALL = 13, 80, 18, 500_000
-NEAR_BUDGET = [length * NEAR_BITS // SEGMENTS for length in range(1, SEGMENTS + 1)]
+#: near_dedup(): shingles at the head of a set used by the first linking round, sampled texts and occurrences there that make a shingle frequent, frequent
+#: shingles in the order at most, and the keys that may be broadcast. All but the last only steer the work; the result doesn't depend on them.
+HEAD, SAMPLE, FREQUENT, MOST_FREQUENT, SMALL = 8, 20_000, 5, 100_000, 500_000
+#: Slack of the candidate filters, so that rounding never loses a pair.
+SLACK = 1e-6
 
 
-def _masks() -> list[int]:
-    """NEAR_TABLES sets of NEAR_KEY of the 64 bits, the same on every run."""
-    rng = np.random.default_rng(17)
-    chosen = [rng.choice(64, NEAR_KEY, replace=False) for _ in range(NEAR_TABLES)]
-    return [int(np.bitwise_or.reduce(np.uint64(1) << c.astype(np.uint64)).astype(np.int64)) for c in chosen]
+def shingle_set(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The distinct 32-bit hashes of a text's shingles, sorted; two texts of a thousand words share one by chance once in four thousand times."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.int32)
+    joined, digest = b" ".join(words), xxhash.xxh32_intdigest
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    stops = ends[min(words_per_shingle, len(words)) - 1 :].tolist()
+    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), dtype="<u4", count=len(stops)).view("<i4"))
 
 
-def _within(x, budget: list[int]):
-    """The chain test and then the full Hamming check on an XOR of fingerprints."""
-    diffs = [F.bit_count(x.bitwiseAND(F.lit(_segment_mask(s)).cast("long"))) for s in range(SEGMENTS)]
-    any_start = F.lit(False)
-    for start in range(SEGMENTS):
-        ok, total = F.lit(True), F.lit(0)
-        for length in range(SEGMENTS - 1):
-            total = total + diffs[(start + length) % SEGMENTS]
-            ok = ok & (total <= budget[length])
-        any_start = any_start | ok
-    return any_start & (F.bit_count(x) <= budget[-1])
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
 
 
 def shingle_hashes(col, words_per_shingle: int):
-    """array<int>: the distinct 32-bit hashes of a text's shingles; two texts of a thousand words share one by chance once in four thousand times."""
+    """array<int>: shingle_set() of a column."""
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for t in batch:
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                n = max(1, len(words) - words_per_shingle + 1) if words else 0
-                out.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[k : k + words_per_shingle])) for k in range(n)), dtype="<u4", count=n).view("<i4")))
-            offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else [], pa.int32()))
+            yield _lists([shingle_set(t.as_py(), words_per_shingle) for t in batch])
+
+    return run(col)
+
+
+def prefix_of(s: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The head of a set of shingles that two sets of that similarity must both have a shingle in; 0 for an empty set, so that empty sets meet.
+
+    All sets are put in one order: shingles that aren't frequent by hash, then the sorted `frequent` ones by rank. If sets of n and m shingles share
+    at least similarity * n and similarity * m, then the first shared one stands among the first n - ceil(similarity * n) + 1, and likewise for m.
+    """
+    if not len(s):
+        return np.zeros(1, dtype=np.int32)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        known = frequent[at] == s
+        s = np.concatenate((s[~known], s[known][np.argsort(rank[at[known]], kind="stable")]))
+    return s[: len(s) - math.ceil(similarity * len(s) - SLACK) + 1]
+
+
+def prefixes(col, words_per_shingle: int, similarity: float, frequent: np.ndarray, rank: np.ndarray):
+    """struct<size, prefix>: the number of a text's distinct shingles and prefix_of() them."""
+
+    @F.arrow_udf("struct<size: int, prefix: array<int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words_per_shingle) for t in batch]
+            heads = _lists([prefix_of(s, similarity, frequent, rank) for s in sets])
+            yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), heads], ["size", "prefix"])
 
     return run(col)
 
 
+def frequent_shingles(docs: DataFrame, text_col: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, rank) of the shingles that are frequent in a sample of the distinct texts. They only go last in the order, so a miss costs time and no pair."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(every)) == 0).select(text_col).distinct()
+    counts = some.select(F.explode(shingle_hashes(F.col(text_col), words_per_shingle)).alias("s")).groupBy("s").agg(F.count("*").alias("c"))
+    top = counts.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).collect()
+    hashes, rank = np.array([r["s"] for r in top], dtype=np.int32), np.arange(len(top), 0, -1)
+    order = np.argsort(hashes)
+    return hashes[order], rank[order]
+
+
 def _filtered(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs joined on _k with a table of keys; it is broadcast if it is small, which is counted first."""
     return docs.join(F.broadcast(keys) if keys.count() <= SMALL else keys, "_k", how)
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """(node, other) candidates from (node, fp, n): for each node at most two nodes before it by (n falling, fp, node), the nearest and the first in that order, which
-    the members of a group have in common.
+def meetings(heads: DataFrame) -> DataFrame:
+    """(token, node, n, size, i) of the prefixes in (node, n, size, prefix), for tokens of more than one row."""
+    each = heads.select("node", "n", "size", F.posexplode("prefix").alias("i", "token"))
+    return each.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+
 
-    Fingerprints with the same sampled bits form a bucket. There each is held against the bucket's first and the one before it only, so that a
-    large group of near copies gives links in proportion to its size; over all tables these still hold the group together.
+def _sizes_fit(a, b, similarity: float):
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(SLACK)
+
+
+def likely_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(node, other): for each node one likely copy, of the first nodes and those just before it under the first HEAD tokens.
+
+    A shortcut: what these link makes large groups of near copies one part before across_pairs() takes all pairs between parts.
+    """
+    w = Window.partitionBy("token").orderBy(F.desc("n"), F.desc("size"), "node")
+    me = F.struct("node", "size")
+    met = met.where(F.col("i") < HEAD).select("node", "size", F.array(F.first(me).over(w), F.lag(me).over(w)).alias("o"))
+    each = met.select("node", "size", F.explode(F.array_distinct(F.array_compact("o"))).alias("o")).where("o.node <> node").where(_sizes_fit(F.col("size"), F.col("o.size"), similarity))
+    counts = each.groupBy("node", F.col("o.node").alias("other")).agg(F.count("*").alias("c"))
+    return counts.groupBy("node").agg(F.max(F.struct("c", "other")).alias("p")).select("node", "p.other")
+
+
+def across_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(node, other): all pairs that share a token of their prefixes and may reach the similarity, but those that roots (node, root) has linked already.
+
+    Sizes must fit, and what stands behind the token in both sets must be able to make up the shared part; for the first shared token that is always so.
+    Nodes of one part under a token stay one row until they meet another part, so a group of copies costs no pairs among itself.
     """
-    keyed = nodes.select("*", F.posexplode(F.transform(F.array(*[F.lit(m).cast("long") for m in _masks()]), lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
-    w = Window.partitionBy("t", "key").orderBy(F.desc("n"), "fp", "node")
-    me = F.struct(F.col("n"), F.col("fp"), F.col("node"))
-    met = keyed.select("node", "fp", F.first(me).over(w).alias("first"), F.lag(me).over(w).alias("before")).where("before is not null")
-    close = [F.when(_within(F.col("fp").bitwiseXOR(F.col(f"{o}.fp")), NEAR_BUDGET), F.col(o)) for o in ("first", "before")]
-    each = met.select("node", "fp", F.explode(F.array_compact(F.array(*close))).alias("o"))
-    near = each.withColumn("x", F.col("fp").bitwiseXOR(F.col("o.fp")))
-    near = near.select("node", F.bit_count("x").alias("d"), F.struct((-F.col("o.n")).alias("n"), F.col("o.fp").alias("fp")).alias("rank"), F.col("o.node").alias("other"))
-    best = near.groupBy("node").agg(F.min(F.struct("d", "rank", "other")).alias("p"), F.min(F.struct("rank", "other")).alias("q"))
-    return best.select("node", F.explode(F.array_distinct(F.array("p.other", "q.other"))).alias("other"))
+    parts = met.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("part"), F.struct("node", "size", "i").alias("m"))
+    parts = parts.repartition("token").groupBy("token", "part").agg(F.min("m.size").alias("lo"), F.max("m.size").alias("hi"), F.collect_list("m").alias("ms"))
+    parts = saved(parts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c"))
+    a, b = (parts.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "lo", "hi", "ms")]) for side in "ab")
+    low = F.lit(similarity)
+    both = a.join(b, "token").where("part_a < part_b").where((F.col("hi_a") >= F.col("lo_b") * low - F.lit(SLACK)) & (F.col("hi_b") >= F.col("lo_a") * low - F.lit(SLACK)))
+    each = both.select(F.explode("ms_a").alias("a"), "ms_b").select("a", F.explode("ms_b").alias("b")).where(_sizes_fit(F.col("a.size"), F.col("b.size"), similarity))
+    most = F.least(F.col("a.size") - F.col("a.i"), F.col("b.size") - F.col("b.i"))
+    needed = (F.col("a.size") + F.col("b.size")) * F.lit(similarity / (1 + similarity)) - F.lit(SLACK)
+    return each.where(most >= needed).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of copies: the one of smallest id, null ids last.
 
-    Copies are equal texts, and texts whose sets of shingles have a Jaccard similarity of at least `similarity`, checked exactly on the
-    candidates that SimHash gives; groups are what such links connect. Null and empty texts are copies of each other. Of equal rows one stays. No rows: no rows.
+    Copies are equal texts, and texts whose sets of shingles have a Jaccard similarity of at least `similarity`; groups are what such links connect. The search is
+    exact: every such pair of texts shares a shingle of their prefixes, and all pairs that do are checked unless they are in one group already.
+    Null and empty texts are copies of each other. Of equal rows one stays. No rows: no rows.
     """
     keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = saved(keyed.select("_k", F.col(id_col).alias("id"), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), F.length(text).alias("h3")).alias("copy"), fingerprint_col(F.col(text_col), words_per_shingle).alias("fp")))
+    frequent, rank = frequent_shingles(docs, text_col, words_per_shingle)
+    rows = saved(
+        keyed.select("_k", F.col(id_col).alias("id"), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), F.length(text).alias("h3")).alias("copy"), prefixes(F.col(text_col), words_per_shingle, similarity, frequent, rank).alias("p"))
+    )
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("_k"))
-    nodes = saved(rows.groupBy("copy").agg(F.min(order).alias("o"), F.count("*").alias("n"), F.min("fp").alias("fp")).select(F.col("o._k").alias("node"), "o", "n", "fp"))
-    pairs = saved(near_pairs(nodes.select("node", "fp", "n")))
-    wanted = saved(pairs.select(F.col("node").alias("_k")).union(pairs.select("other")).distinct())
+    nodes = saved(rows.groupBy("copy").agg(F.min(order).alias("o"), F.count("*").alias("n")).select(F.col("o._k").alias("node"), "o", "n"))
     times = saved(rows.groupBy("_k").agg(F.count("*").alias("times")).where("times > 1"))
-    texts = _filtered(keyed.select("_k", text_col), wanted, "inner")
-    if not times.isEmpty():  # equal rows
-        texts = _filtered(texts, times.select("_k"), "left_anti").unionByName(_filtered(texts, times.select("_k"), "left_semi").dropDuplicates(["_k"]))
-    sets = saved(texts.select(F.col("_k").alias("of"), shingle_hashes(F.col(text_col), words_per_shingle).alias("s")))
-    a, b = sets.select(F.col("of").alias("node"), F.col("s").alias("sa")), sets.select(F.col("of").alias("other"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    checked = pairs.join(a, "node").join(b, "other").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
-    roots = components(checked.select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = saved(pairs.select(F.col("node").alias("_k")).union(pairs.select("other")).distinct())
+        texts = _filtered(keyed.select("_k", text_col), wanted, "inner")
+        if not times.isEmpty():  # equal rows
+            texts = _filtered(texts, times.select("_k"), "left_anti").unionByName(_filtered(texts, times.select("_k"), "left_semi").dropDuplicates(["_k"]))
+        sets = saved(texts.select(F.col("_k").alias("of"), shingle_hashes(F.col(text_col), words_per_shingle).alias("s")))
+        a, b = sets.select(F.col("of").alias("node"), F.col("s").alias("sa")), sets.select(F.col("of").alias("other"), F.col("s").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        found = pairs.join(a, "node").join(b, "other").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
+        return saved(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+    met = saved(meetings(_filtered(rows.select("_k", "p.size", "p.prefix"), nodes.select(F.col("node").alias("_k"), "n"), "inner").withColumnRenamed("_k", "node")))
+    likely = checked(saved(likely_pairs(met, similarity)))
+    across = checked(saved(across_pairs(met, saved(components(likely)), similarity)))
+    roots = components(likely.union(across))
     grouped = saved(nodes.select("node", "o").join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root")))
     stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._k").alias("_k")))
     gone = saved(rows.select("_k").distinct().join(stay, "_k", "left_anti"))
