@@ -146,3 +146,11 @@ def test_near_copies_apart_in_crowded_buckets(make):
     pairs, want = least_of_groups(rows)
     assert {(2 * k, 2 * k + 1) for k in range(40)} <= set(pairs)
     assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want
+
+
+def test_all_candidates_are_checked(make):
+    """The true partner is one of many candidates, most of them below the similarity."""
+    rows = list(enumerate(families(4)))
+    pairs, want = least_of_groups(rows)
+    assert {(2 * k, 2 * k + 1) for k in range(40)} <= set(pairs)
+    assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want
