@@ -154,3 +154,27 @@ def test_all_candidates_are_checked(make):
     pairs, want = least_of_groups(rows)
     assert {(2 * k, 2 * k + 1) for k in range(40)} <= set(pairs)
     assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want
+
+
+def test_pairs_around_the_similarity(make):
+    """Pairs without a third copy, from below the similarity to well above it, and texts too short for a shingle."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    rows = [(5000, "one two"), (5001, "One  two"), (5002, " "), (5003, "\t\n")]
+    for i in range(200):
+        one = rng.choices(words, k=rng.randint(60, 300))
+        other = list(one)
+        for p in rng.sample(range(len(one)), max(1, len(one) * rng.randint(10, 28) // 1000)):
+            other[p] = f"e{i}"
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    pairs, want = least_of_groups([r for r in rows if r[0] < 5000])
+    assert 60 < len(pairs) < 190
+    assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want | {5000, 5002}
+
+
+def test_frequent_shingles_go_last_and_lose_no_pair(make, monkeypatch):
+    """Most shingles of these texts are frequent, so most prefixes hold some."""
+    monkeypatch.setattr(simhash, "FREQUENT", 2)
+    rows = list(enumerate(families(6, 15)))
+    _, want = least_of_groups(rows)
+    assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want
