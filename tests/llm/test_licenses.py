@@ -37,6 +37,14 @@ def test_tags_are_evaluated():
     assert labels("This is under the MIT License and CC BY-NC 4.0") == "cc-by,cc-by-nc,mit"
 
 
+def test_long_expressions_are_read_whole():
+    labels = lambda t: licenses.scan(t)[5]
+    many = " AND ".join(["MIT"] * 400)
+    assert labels(f"SPDX-License-Identifier: {many} AND MPL-2.0\nAND GPL-2.0") == "mit,mpl"
+    assert labels(f"SPDX-License-Identifier: ({many} AND GPL-2.0) more words") == "gpl,mit"
+    assert labels("SPDX-License-Identifier:" + " " * 1500 + "MIT") == "mit"
+
+
 def test_odd_rows(odd, empty):
     rows = licenses.scanned(odd).collect()
     assert len(rows) == 9 and all(0 <= r["score"] <= 1 and r["n_words"] == slow(r["text"])[0] for r in rows)

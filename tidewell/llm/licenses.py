@@ -49,12 +49,12 @@ TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(text: str) -> list[str] | None:
-    """The longest license expression that text begins with, in postfix order; None if there is none."""
+def parse(text: str, at: int = 0) -> list[str] | None:
+    """The longest license expression at that place of text, in postfix order; None if there is none. It ends with its line or at the first word that can't go on."""
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] | None = None
-    operand, at = True, 0
+    best: tuple[int, list[str]] | None = None  # the length of out and what was stacked
+    operand = True
     while (m := TOKEN.match(text, at)) is not None:
         word = m.group()
         low = word.lower()
@@ -64,7 +64,7 @@ def parse(text: str) -> list[str] | None:
             out.append(low)
             operand = False
             if "(" not in stack:
-                best = out + stack[::-1]
+                best = len(out), stack[::-1]
         elif not operand and low in BINDS:
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[low]:
                 out.append(stack.pop())
@@ -74,13 +74,13 @@ def parse(text: str) -> list[str] | None:
             while (top := stack.pop()) != "(":
                 out.append(top)
             if "(" not in stack:
-                best = out + stack[::-1]
+                best = len(out), stack[::-1]
         else:
             break
         at = m.end()
         while at < len(text) and text[at] in " \t":
             at += 1
-    return best
+    return best and out[: best[0]] + best[1]
 
 
 def family(identifier: str) -> str:
@@ -147,8 +147,10 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     if ":" in text:
         low = text.translate(UPPER)
         for end, _ in tags.iter(low):
-            rest = text[end + 1 : end + 1 + 1000].split("\n", 1)[0].lstrip(" \t")
-            if (postfix := parse(rest)) is not None:
+            at = end + 1
+            while at < len(text) and text[at] in " \t":
+                at += 1
+            if (postfix := parse(text, at)) is not None:
                 found, openness = evaluate(postfix)
                 labels |= found
                 score = min(score, openness)
