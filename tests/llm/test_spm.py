@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -56,6 +57,25 @@ def test_forgetting_changes_nothing(model, monkeypatch):
     assert [x for p in parts for x in ids_of(small, p)] == ids_of(large, rows)
 
 
+def test_words_that_nothing_cuts(model, monkeypatch):
+    """Alone and in lots a long word gives the library's ids; a megabyte takes seconds."""
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(4)
+    rows = ["a" * 9001, "".join(rng.choices("abcdefghilmnoprst", k=6000)), "日" * 5000 + "😀", "na" * 4000]
+    assert ids_of(spm.Encoder(spm.Pieces(model)), rows) == [sp.encode(r) for r in rows]
+    monkeypatch.setattr(spm, "ALONE", 1 << 30)
+    assert ids_of(spm.Encoder(spm.Pieces(model)), [r[:700] for r in rows]) == [sp.encode(r[:700]) for r in rows]
+    monkeypatch.undo()
+    began = time.monotonic()
+    assert ids_of(spm.Encoder(spm.Pieces(model)), ["a" * 1_000_000])
+    assert time.monotonic() - began < 60
+
+
+def test_columns_that_clash(odd, model):
+    clash = odd.select("*", *[F.lit("mine").alias(c) for c in ("ids", "N_tokens", "round_trip", "encoded", "_e")])
+    assert spm.encoded(clash, model).columns == [*odd.columns, "encoded", "_e", "ids", "n_tokens", "round_trip"]
+
+
 def test_round_trip_of_odd_texts(spark, odd, empty, model):
     out = spm.encoded(odd.withColumn("ids", F.lit("clash")), model)
     rows = out.collect()

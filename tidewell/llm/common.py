@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
@@ -17,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary folder, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, *keys: str) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lost executors never repeat what came before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
@@ -33,6 +36,38 @@ def saved(df: DataFrame, *keys: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved() tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tidewell-" not in folder:
+                raise ValueError(f"{folder} is not a saved table")
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, names: Iterable[str]) -> list[Column]:
+    """df's columns but for those names, whatever characters they hold."""
+    gone = {n.lower() for n in names}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -7,6 +7,8 @@ For a unigram model the maximum is over the sums of scores. For a BPE model it i
 a sequence of pieces is what merging makes of its text if and only if every two neighbours stay apart when they are merged
 alone, so the best path to a place ends in the one piece that is compatible with the best path before it. A character without a
 piece becomes its UTF-8 bytes, so that every text survives a round trip.
+
+Texts of any length are encoded whole: units are short, but for words that no border cuts, which take a step for each character and piece.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, others, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units kept with their ids in a Python worker and their characters, characters and cells of a table taken on at a time, and the length from which units are cut.
 CACHED, CHARS, CHUNK, CELLS, LONG = 320_000, 12_000_000, 1_000_000, 60_000, 48
+#: Words longer than this are segmented one by one; lots of them would be too few to share the steps.
+ALONE = 4096
 UNIT = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
 
@@ -50,6 +54,7 @@ class Pieces:
             if sp.is_byte(i):
                 b = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_id[b], self.bytes[i] = i, bytes([b])
+        self.n_bytes = np.array(list(map(len, self.bytes)), dtype=np.int64)
         self.normal = np.array(normal, dtype=np.int32)
         self.unknown_score = float(self.scores[normal].min()) - UNKNOWN
         by_len: dict[int, list[int]] = {}
@@ -88,6 +93,7 @@ class Pieces:
         self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.longest + 1)], dtype=np.uint64)
         self.memo, self.memo_said = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
         rank = self.rank.tolist()
+        self.texts, self.rank_of = texts, {t: rank[i] for i, t in texts.items()}
         for i, t in texts.items():
             if len(t) == 1:
                 self.left[i] = self.right[i] = i
@@ -158,21 +164,26 @@ class Pieces:
             out[:, k + 1] = out[:, k] * BASE + codes[:, k] + np.uint64(1)
         return out
 
-    def probe(self, codes: np.ndarray) -> dict[int, np.ndarray]:
-        """By length, the piece that starts at each place of each row, or -1. Hash hits are compared with the piece."""
-        n, size = codes.shape
-        prefix, found = self.hashes(codes), {}
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length, (rows, places, pieces) of the pieces that start there. Hash hits are compared with the piece."""
+        size, prefix = codes.shape[1], self.hashes(codes)
         for length, (keys, ids, spelled) in self.tables.items():
             if length > size:
                 continue
             part = prefix[:, length:] - prefix[:, :-length] * self.power[length]
             at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-            hit = keys[at] == part
-            rows, cols = np.nonzero(hit)
-            same = (codes[rows[:, None], cols[:, None] + np.arange(length)] == spelled[at[rows, cols]]).all(axis=1)
-            out = np.full(part.shape, -1, dtype=np.int32)
-            out[rows[same], cols[same]] = ids[at[rows[same], cols[same]]]
-            found[length] = out
+            rows, cols = np.nonzero(keys[at] == part)
+            own = at[rows, cols]
+            same = np.ones(len(rows), dtype=bool)
+            for k in range(length):
+                same &= codes[rows, cols + k] == spelled[own, k]
+            yield length, rows[same], cols[same], ids[own[same]]
+
+    def probe(self, codes: np.ndarray) -> dict[int, np.ndarray]:
+        """By length, the piece that starts at each place of each row, or -1."""
+        found = {length: np.full((codes.shape[0], codes.shape[1] - length + 1), -1, dtype=np.int32) for length in self.tables if length <= codes.shape[1]}
+        for length, rows, cols, ids in self.hits(codes):
+            found[length][rows, cols] = ids
         return found
 
     @staticmethod
@@ -199,9 +210,9 @@ class Pieces:
         """(ids, numbers of ids) of some words of equal length."""
         if not self.merging:
             return self.viterbi(words)
-        runs = [len(w) - len(w.lstrip(" ")) for w in words]
-        if max(runs) < 2:
+        if not any(w[:2] == "  " for w in words):
             return self.viterbi(words)
+        runs = [len(w) - len(w.lstrip(" ")) for w in words]
         # Blanks join last, from the left, each time as many as the longest run among the pieces; the last may have joined the word.
         blanks = {len(t): i for i in self.normal.tolist() if not (t := self.bytes[i].decode()).strip(" ")}
         out = []
@@ -222,48 +233,118 @@ class Pieces:
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, numbers of ids) of the best segmentations of some words of equal length; of equal ones, that with the longest last pieces."""
         codes = self.codes(words)
-        n, size = codes.shape
-        found = self.probe(codes)
+        if not self.merging:
+            last, back = self._scored(codes)
+        elif codes.shape[1] > ALONE:
+            last, back = (np.stack(x) for x in zip(*[self._merged_alone(codes[k : k + 1]) for k in range(len(words))]))
+        else:
+            last, back = self._merged(codes)
+        return self._traced(words, last, back)
+
+    def _scored(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last piece or -1, its length) at each end, for the greatest sum of scores."""
+        (n, size), found = codes.shape, self.probe(codes)
         score = {length: np.where(ids >= 0, self.scores[ids], -np.inf) for length, ids in found.items()}
         if 1 not in score:
             score[1], found[1] = np.full((n, size), -np.inf), np.full((n, size), -1, dtype=np.int32)
         score[1] = np.where(found[1] >= 0, score[1], self.unknown_score)
-        lengths = sorted(score, reverse=True)
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
-        back = np.zeros((n, size + 1), dtype=np.int32)
-        last = np.full((n, size + 1), -1, dtype=np.int32)
+        last, back = np.full((n, size + 1), -1, dtype=np.int32), np.zeros((n, size + 1), dtype=np.int32)
         for j in range(1, size + 1):
-            top, by = best[:, j], back[:, j]
-            for length in lengths:
-                if length <= j and self.merging:
-                    own, before = found[length][:, j - length], last[:, j - length]
-                    can = ((own >= 0) & (self.left[own] >= 0)) if length > 1 else np.ones(n, dtype=bool)
-                    can &= (by == 0) & (best[:, j - length] == 0)
-                    if len(rows := np.flatnonzero(can & (own >= 0) & (before >= 0))):
-                        can[rows] = self.compatible(before[rows], own[rows])
-                    top[can], by[can], last[can, j] = 0, length, own[can]
-                elif length <= j:
-                    cand = best[:, j - length] + score[length][:, j - length]
-                    more = cand > top
-                    top[more], by[more] = cand[more], length
-        steps, at, rows = [], np.full(n, size), np.arange(n)
-        while (at > 0).any():
-            length = np.where(at > 0, back[rows, at], 0)
-            at = at - length
-            ids = np.full(n, -2, dtype=np.int32)  # -2: the row has ended
-            for k in np.unique(length[length > 0]):
-                mine = length == k
-                ids[mine] = found[int(k)][rows[mine], at[mine]]
-            steps.append((ids, at.copy()))
-        ids = np.stack([s[0] for s in reversed(steps)], axis=1)
-        real = ids > -2
-        flat, sizes = ids[real], real.sum(axis=1)
+            for length in sorted((k for k in score if k <= j), reverse=True):
+                sums = best[:, j - length] + score[length][:, j - length]
+                more = sums > best[:, j]
+                best[more, j], back[more, j], last[more, j] = sums[more], length, found[length][more, j - length]
+        return last, back
+
+    def _merged_hits(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, end, length, piece) of all pieces that merging can make and, as -1, of characters without one, by end and then length."""
+        n, size = codes.shape
+        bare = np.ones((n, size), dtype=bool)
+        parts = []
+        for length, rows, cols, ids in self.hits(codes):
+            if length == 1:
+                bare[rows, cols] = False
+            else:
+                made = self.left[ids] >= 0
+                rows, cols, ids = rows[made], cols[made], ids[made]
+            parts.append((rows, cols + length, np.full(len(rows), length), ids))
+        rows, cols = np.nonzero(bare)
+        parts.append((rows, cols + 1, np.ones(len(rows), dtype=np.int64), np.full(len(rows), -1, dtype=np.int32)))
+        row, end, length, piece = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(end * (self.longest + 1) + length, kind="stable")
+        return row[order], end[order], length[order], piece[order]
+
+    def _merged(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last piece or -1, its length) at each end, for the segmentation whose neighbours all stay apart. All rows take a step together."""
+        n, size = codes.shape
+        row, end, length, piece = self._merged_hits(codes)
+        last, back = np.full((n, size + 1), -1, dtype=np.int32), np.zeros((n, size + 1), dtype=np.int32)
+        bounds = np.searchsorted(end, np.arange(1, size + 2))
+        for j, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), 1):
+            rows, sizes, own = row[a:b], length[a:b], piece[a:b]
+            before = last[rows, j - sizes]
+            ask = np.flatnonzero((before >= 0) & (own >= 0))
+            can = np.ones(len(rows), dtype=bool)
+            can[ask] = self.compatible(before[ask], own[ask])
+            rows, sizes, own = rows[can], sizes[can], own[can]
+            back[rows, j], last[rows, j] = sizes, own  # of several for a row the longest, which comes last
+        return last, back
+
+    def _merged_alone(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_merged() for a single row too long for steps in numpy: the same recursion over plain numbers."""
+        _, end, length, piece = self._merged_hits(codes)
+        size = codes.shape[1]
+        last, back, known = [-1] * (size + 1), [0] * (size + 1), {}
+        for j, k, own in zip(end.tolist(), length.tolist(), piece.tolist()):
+            before = last[j - k]
+            if own >= 0 and before >= 0:
+                can = known.get((before, own))
+                if can is None:
+                    can = known[before, own] = self._apart_alone(before, own)
+                if not can:
+                    continue
+            last[j], back[j] = own, k
+        return np.array(last, dtype=np.int32), np.array(back, dtype=np.int32)
+
+    def _apart_alone(self, a: int, b: int) -> bool:
+        """_apart() for one pair."""
+        until = 1 << 30
+        while True:
+            if self.rank_of.get(self.texts[a] + self.texts[b], 1 << 30) < until:
+                return False
+            ra, rb = (self.rank_of[self.texts[x]] if len(self.texts[x]) > 1 else -1 for x in (a, b))
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                until, a = ra, int(self.right[a])
+            else:
+                until, b = rb + 1, int(self.left[b])
+
+    def _traced(self, words: list[str], last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) along the back-pointers from the ends of the words."""
+        n, size = len(words), len(words[0])
+        used = np.zeros((n, size + 1), dtype=bool)
+        used[:, size] = True
+        if size > ALONE:
+            for row, steps in zip(used, back):
+                at, steps = size, steps.tolist()
+                while at:
+                    row[at] = True
+                    at -= steps[at]
+        else:
+            rows, at = np.arange(n), np.full(n, size)
+            while len(rows):
+                used[rows, at] = True
+                at = at - back[rows, at]
+                rows, at = rows[at > 0], at[at > 0]
+        used[:, 0] = False
+        row, end = np.nonzero(used)
+        flat, sizes = last[row, end], used.sum(axis=1)
         if (flat < 0).any():  # characters without a piece become bytes
-            places = np.stack([s[1] for s in reversed(steps)], axis=1)[real]
-            row = np.repeat(rows, sizes)
             unknown = np.flatnonzero(flat < 0)
-            spelled = [self.byte_id[list(words[row[u]][places[u]].encode("utf-8", "surrogatepass"))] for u in unknown]
+            spelled = [self.byte_id[list(words[r][e - 1].encode("utf-8", "surrogatepass"))] for r, e in zip(row[unknown].tolist(), end[unknown].tolist())]
             more = np.array([len(b) for b in spelled])
             np.add.at(sizes, row[unknown], more - 1)
             times = np.ones(len(flat), dtype=np.int64)
@@ -315,36 +396,41 @@ class Encoder:
 
     def _learn(self, keys: list[str]) -> None:
         units = list(map(self.pieces.unit, keys))
+        chars = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         size, start, at = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64), len(self.flat)
-        flat, short = [self.flat], [k for k, u in enumerate(units) if len(u) <= LONG]
+        flat, short = [self.flat], np.flatnonzero(chars <= LONG)
         for lot in by_length([units[k] for k in short]):
-            own = np.array(short)[lot]
+            own = short[lot]
             ids, n = self.pieces.best([units[k] for k in own])
             size[own], start[own] = n, at + np.cumsum(n) - n
             flat.append(ids)
             at += len(ids)
-        for k, u in enumerate(units):
-            if len(u) > LONG:
-                parts = list(self.pieces._cut(u))
-                got: list = [None] * len(parts)
-                for lot in by_length(parts):
-                    ids, n = self.pieces.best([parts[j] for j in lot])
-                    for j, own in zip(lot, np.split(ids, np.cumsum(n)[:-1])):
-                        got[j] = own
-                flat.append(np.concatenate(got))
-                size[k], start[k] = len(flat[-1]), at
-                at += len(flat[-1])
+        for k in np.flatnonzero(chars > LONG).tolist():
+            parts = list(self.pieces._cut(units[k]))
+            got: list = [None] * len(parts)
+            for lot in by_length(parts):
+                ids, n = self.pieces.best([parts[j] for j in lot])
+                for j, own in zip(lot, np.split(ids, np.cumsum(n)[:-1])):
+                    got[j] = own
+            flat.append(np.concatenate(got))
+            size[k], start[k] = len(flat[-1]), at
+            at += len(flat[-1])
         self.flat = np.concatenate(flat)
         spelled = self._spelled(units, start, size)
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        self.chars = np.concatenate([self.chars, np.array([len(u) for u in units], dtype=np.int64)])
+        self.chars = np.concatenate([self.chars, chars])
         self.uses = np.concatenate([self.uses, np.zeros(len(units), dtype=np.int64)])
         self.spelled = np.concatenate([self.spelled, spelled])
 
     def _spelled(self, units: list[str], start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether decoding a unit's ids gives the unit."""
-        piece = self.pieces.bytes
-        return np.array([b"".join([piece[i] for i in self.flat[a : a + n].tolist()]) == u.encode("utf-8", "surrogatepass") for u, a, n in zip(units, start.tolist(), size.tolist())], dtype=bool)
+        piece, first = self.pieces.bytes.__getitem__, int(start.min())
+        whole, new, begin, end = [u.encode("utf-8", "surrogatepass") for u in units], self.flat[first:], start - first, start + size - first
+        if b"".join(map(piece, new.tolist())) == b"".join([whole[k] for k in np.argsort(start, kind="stable").tolist()]):
+            upto = np.concatenate(([0], np.cumsum(self.pieces.n_bytes[new])))
+            if (upto[end] - upto[begin] == np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))).all():
+                return np.ones(len(units), dtype=bool)
+        return np.array([b"".join(map(piece, new[a:b].tolist())) == u for u, a, b in zip(whole, begin.tolist(), end.tolist())], dtype=bool)
 
     def _forget(self) -> None:
         order = np.lexsort((self.chars, -self.uses))
@@ -444,10 +530,15 @@ def decode(col: Column, model: bytes) -> Column:
     return run(col)
 
 
+RESULTS = ["ids", "n_tokens", "round_trip"]
+
+
 def encoded(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """docs with ids, n_tokens and round_trip (decoding gives the text back); columns of those names are replaced."""
-    out = docs.withColumn("_e", encode(F.col(text_col), model)).withColumns({"ids": F.col("_e.ids"), "round_trip": F.col("_e.round_trip")})
-    return out.withColumn("n_tokens", F.size("ids").cast("long")).drop("_e")
+    """docs with ids, n_tokens and round_trip (decoding gives the text back); columns of those names are replaced. Rows are encoded one by one, so repeated rows
+    are alike; no rows: no rows."""
+    (own,) = fresh(docs, "encoded")
+    out, e = docs.withColumn(own, encode(F.col(text_col), model)), F.col(own)
+    return out.select(*others(docs, RESULTS), e["ids"].alias("ids"), F.size(e["ids"]).cast("long").alias("n_tokens"), e["round_trip"].alias("round_trip"))
 
 
 def op1(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
