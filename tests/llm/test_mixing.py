@@ -47,7 +47,43 @@ def test_targets_and_words_taken(make, monkeypatch, block):
         assert all(r["size"] == words(text[r["doc_id"]]) and 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sums[s] for r in own)
         assert own[0]["target"] == pytest.approx(want[s], rel=1e-12)
         assert abs(sum(r["taken"] for r in own) - want[s]) <= 1
-    assert [tuple(r) for r in sorted(got)] == [tuple(r) for r in sorted(mixing.taken(make(data[::-1]), block=block).collect())] if all(r["source"] for r in got) else True
+    plain = lambda rows: sorted(tuple((x is None, x) for x in r) for r in rows)
+    assert plain(got) == plain(mixing.taken(make(data[::-1]).repartition(5), block=block).collect())
+
+
+def test_words_follow_the_schedule(make):
+    """Each document's words and position, from the schedule's slots one by one."""
+    data, block = rows(), 16
+    got = {r["id"]: r for r in mixing.placed(make(data), block=block).collect()}
+    size = {i: words(t) for i, t, _ in data}
+    line: dict = {}
+    for r in sorted(got.values(), key=lambda r: r["start"]):
+        if r["size"]:
+            line.setdefault(r["source"], []).extend([r["id"]] * r["size"])
+    assert all(line[got[i]["source"]].index(i) == got[i]["start"] for i in got if size[i])
+    sizes = make(data).select("source", mixing.n_words(F.col("text")).alias("size"))
+    count, first = dict.fromkeys(got, 0), {}
+    for s in mixing.schedule(mixing.targets(sizes), block).orderBy("slot").collect():
+        for i in line[s["source"]][s["block"] * block : s["block"] * block + s["to_word"]]:
+            count[i] += 1
+            first.setdefault(i, s["slot"])
+    assert {i: r["taken"] for i, r in got.items()} == count
+    assert {i: r["position"] for i, r in ((r["doc_id"], r) for r in mixing.taken(make(data), block=block).collect())} == {i: first.get(i) for i in got}
+
+
+def test_points_decide_the_order(make, monkeypatch):
+    order = lambda: [r["position"] for r in sorted(mixing.taken(make(rows()), block=16).collect(), key=lambda r: r["doc_id"])]
+    golden = order()
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    assert order() != golden
+
+
+def test_mix_is_written_in_the_order_of_the_schedule(make):
+    docs = make(rows())
+    at = {r["doc_id"]: r["position"] for r in mixing.taken(docs, block=64).collect()}
+    out = [r["doc_id"] for r in mixing.mixed(docs, block=64).collect()]
+    firsts = [at[i] for i in dict.fromkeys(out)]
+    assert firsts == sorted(firsts) and len(set(firsts)) > 50
 
 
 def test_schedule_spreads_sources(make):
@@ -66,6 +102,8 @@ def test_mixed_repeats_whole_documents(make):
 def test_odd_rows(odd, empty, make):
     got = mixing.taken(odd).collect()
     assert len(got) == 9 and all(r["taken"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
-    assert mixing.mixed(odd.withColumn("size", F.lit("clash"))).columns == [*odd.columns, "size"]
+    clash = odd.select("*", *[F.lit("mine").alias(c) for c in ("size", "copy", "slot", "copies", "copy_key", "start_word", "taken", "target", "_part", "a.b")])
+    out = mixing.mixed(clash)
+    assert out.columns == clash.columns and {tuple(r[5:]) for r in out.collect()} == {("mine",) * 10}
     assert mixing.taken(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert [r["taken"] for r in mixing.taken(make([(1, None), (2, "")])).collect()] == [0, 0]
