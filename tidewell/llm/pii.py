@@ -1,9 +1,13 @@
 """Personal data: spans by weak supervision.
 
-Strict patterns give the base spans. Looser patterns give more candidates. Labelers (pattern, gazetteer, context, shape) vote on
-every candidate; expectation-maximisation estimates each labeler's reliability from how the votes agree over the whole corpus, and a
-final classifier, trained on the posteriors, decides on the candidates that are not base spans. Only DataFrame functions see rows; the driver
-sees the numbers of vote patterns, of which there are at most 4 * 3**4 * 9.
+Strict patterns give the base spans. What they match without passing their tests (a card number with a wrong check digit, a part above 255, too few
+digits) and the matches of looser patterns are further candidates. Labelers (pattern, gazetteer, context, shape) vote on every candidate;
+expectation-maximisation estimates each labeler's reliability from how the votes agree over the whole corpus, and a final classifier, trained on the posteriors,
+decides on the candidates that are not base spans. Only DataFrame functions see rows; the driver sees the numbers of vote patterns, of which there are at
+most 4 * 3**4 * 9.
+
+Texts are read whole, however long. A null or empty text has no spans. Repeated rows and ids each count and are each judged alike. Of candidates of one kind that
+overlap, base spans win, then near misses, then the looser patterns in order. Votes look at the 40 characters before a candidate on its own line and at the next one after it.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_or_empty
+from .common import fresh, others, saved, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 MARK = "\x01"
@@ -29,15 +33,21 @@ BASE = {
 }
 #: A cheap test that a text may hold a match.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": ""}
+#: Looser patterns: addresses with words or brackets for their signs or without a dot; long and shortened IPv6, and bracketed dots; card numbers with dots,
+#: slashes or wide gaps; national phone numbers and those with 00 for the plus. A run of characters that can begin a match is tried at its start alone.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)| at (?=[A-Za-z0-9-]{1,63}+ dot )|@(?![A-Za-z0-9-]++\.[A-Za-z0-9-])) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63}+){0,8}+",
+    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:{1,2}+){2,7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])|(?<![0-9])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9])",
+    "card": r"(?<![0-9./-])[0-9]{4,6}+(?:[ ./-]{1,3}+[0-9]{2,7}+){2,4}+(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+(./-])(?!(?:[0-9]++\.){3})(?:00[1-9][0-9]{0,2}+[ /-]|0[1-9][0-9]{1,4}+[ /-]|\([0-9]{3,5}\) ?|[0-9]{3}[-. ])[0-9]{2,4}+(?:[-. ][0-9]{2,4}+){1,3}+(?![0-9])",
 }
-LOOSE_NEEDS = {"email": "(at)|[at]", "ip": ":", "phone": ""}
+#: Cheap tests that a text may hold a match, any of them; those of phones are the separators between digits.
+LOOSE_NEEDS = {"email": "(at)|[at]|@| dot ", "ip": ":|[.]", "card": r"~[0-9]{4}[ ./-]{1,3}[0-9]{2}", "phone": r"~[0-9][-. )/]"}
+#: What the text of a loose match must be to be a candidate at all.
+LOOSE_DIGITS = {"card": (13, 19), "phone": (8, 15)}
 GAZETTEER = {
     "email": r"(?i)(?:\.|dot[\])] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0\.|127\.|10\.|192\.168\.|255\.)",
+    "ip": r"^(?:(?!0\.|127\.|10\.|192\.168\.|255\.)[0-9]++(?:\.|\[)|[23][0-9A-Fa-f]{3}:|[Ff][DdEe][0-9A-Fa-f]{2}:)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9][0-9]{2})",
 }
@@ -47,7 +57,7 @@ CONTEXT = {
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|pan|payment)\b[^\n]{0,12}$",
     "phone": r"(?i)\b(?:tel|phone|call|mobile|cell|fax|contact|dial)\b[^\n]{0,12}$",
 }
-AGAINST = r"(?i)\b(?:version|release|isbn|issn|order|invoice|serial|part|section|ref|sku|id)\b[^\n]{0,8}$"
+AGAINST = r"(?i)\b(?:version|release|isbn|issn|order|invoice|serial|part|section|ref|sku|id|date|at|doi|no)\b[^\n]{0,8}$"
 VOTES = ["pattern", "gazetteer", "context", "shape"]
 FEATURES = ["before", "after"]
 
@@ -79,32 +89,29 @@ def valid(kind: str, c: Column) -> Column:
 
 def _matches(text: Column, pattern: str, need: str) -> Column:
     """array<struct<start, end, hit, before, after>> of a pattern's leftmost matches, in code points, end exclusive."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    step = lambda acc, at: F.struct(
-        (acc["pos"] + F.length(parts[at - 1]) + F.length(parts[at])).alias("pos"),
-        F.concat(
-            acc["found"],
-            F.array(
-                F.struct(
-                    (acc["pos"] + F.length(parts[at - 1])).alias("start"),
-                    (acc["pos"] + F.length(parts[at - 1]) + F.length(parts[at])).alias("end"),
-                    parts[at].alias("hit"),
-                    F.right(parts[at - 1], F.lit(40)).alias("before"),
-                    F.left(parts[at + 1], F.lit(1)).alias("after"),
-                )
-            ),
-        ).alias("found"),
-    )
     kind = "array<struct<start: int, end: int, hit: string, before: string, after: string>>"
     none = F.array().cast(kind)
-    start = F.struct(F.lit(0).alias("pos"), none.alias("found"))
-    fold = F.aggregate(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), start, step, lambda acc: acc["found"])
-    may = F.lit(True)
-    if need:
-        may = F.lit(False)
-        for n in need.split("|"):
-            may = may | F.contains(text, F.lit(n))
-    return F.when(may & F.regexp_like(text, F.lit(pattern)), fold).otherwise(none)
+
+    def fold(parts: Column) -> Column:
+        """Over the numbers of the parts that are matches."""
+
+        def step(acc: Column, at: Column) -> Column:
+            start = acc["pos"] + F.length(parts[at - 1])
+            end = start + F.length(parts[at])
+            hit = F.struct(start.alias("start"), end.alias("end"), parts[at].alias("hit"), F.right(parts[at - 1], F.lit(40)).alias("before"), F.left(parts[at + 1], F.lit(1)).alias("after"))
+            return F.struct(end.alias("pos"), F.concat(acc["found"], F.array(hit)).alias("found"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), F.struct(F.lit(0).alias("pos"), none.alias("found")), step, lambda acc: acc["found"])
+
+    # through an array of one, as a lambda's variable is computed once and an expression inside a lambda for each element
+    split = F.array(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1))
+    found = F.transform(split, fold)[0]
+    may = F.lit(not need)
+    for n in need.split("|") if need[:1] != "~" else []:
+        may = may | F.contains(text, F.lit(n))
+    if need[:1] == "~":
+        may = F.regexp_like(text, F.lit(need[1:]))
+    return F.when(may & F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
 
 
 def _keep(found: Column, good: Callable[[Column], Column]) -> Column:
@@ -116,34 +123,46 @@ def _free(found: Column, taken: Column) -> Column:
     return F.filter(found, lambda m: ~F.exists(taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
 
-def _votes(found: Column, kind: str, number: int, base: bool) -> Column:
-    return F.transform(found, lambda m: _vote(m, kind, number, base))
+def _votes(found: Column, kind: str, number: int, base: bool, loose: bool = False) -> Column:
+    return F.transform(found, lambda m: _vote(m, kind, number, base, loose))
 
 
 def _of(spans: Column, kind: int) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `spans`: array<struct<kind int, start, end, base, votes..., features...>>, by kind, then base first, then start."""
-    out = docs.withColumn("_t", F.replace(text_or_empty(text_col), F.lit(MARK), F.lit("\x02")))
+def _long_enough(kind: str, c: Column) -> Column:
+    return F.length(_digits(c)).between(*LOOSE_DIGITS[kind])
+
+
+def candidates(docs: DataFrame, out: str, text_col: str = "text") -> DataFrame:
+    """docs with a column `out`: array<struct<kind int, start, end, base, votes..., features...>>, by kind, then base, near misses and loose ones."""
+    (text, *own) = fresh(docs, "text_read", *[f"{k}_matches" for k in KINDS])
+    read = docs.withColumn(text, F.replace(text_or_empty(text_col), F.lit(MARK), F.lit("\x02")))
     lists = []
     for number, kind in enumerate(KINDS):
-        own = f"_b{number}"
-        out = out.withColumn(own, _keep(_matches(F.col("_t"), BASE[kind], NEEDS[kind]), partial(valid, kind)))
-        lists.append(_votes(F.col(own), kind, number, True))
-        if kind in LOOSE:
-            loose = _matches(F.col("_t"), LOOSE[kind], LOOSE_NEEDS[kind])
-            lists.append(_votes(_free(loose, F.col(own)), kind, number, False))
-    return out.withColumn("spans", F.concat(*lists)).drop("_t", *[f"_b{n}" for n in range(len(KINDS))])
+        read = read.withColumn(own[number], _matches(F.col(text), BASE[kind], NEEDS[kind]))
+        found, good = F.col(own[number]), partial(valid, kind)
+        loose = _matches(F.col(text), LOOSE[kind], LOOSE_NEEDS[kind])
+        if kind in LOOSE_DIGITS:
+            loose = _keep(loose, partial(_long_enough, kind))
+        lists += [_votes(_keep(found, good), kind, number, True), _votes(_keep(found, lambda c, good=good: ~good(c)), kind, number, False), _votes(_free(loose, found), kind, number, False, loose=True)]
+    return read.withColumn(out, F.concat(*lists)).drop(text, *own)
 
 
-def _vote(m: Column, kind: str, number: int, base: bool) -> Column:
-    """Votes: 1 for, -1 against, 0 abstains."""
+def _vote(m: Column, kind: str, number: int, base: bool, loose: bool) -> Column:
+    """Votes: 1 for, -1 against, 0 abstains. A near miss of a strict pattern is against; of the loose matches only card numbers have a test to pass."""
     digits = F.length(_digits(m["hit"]))
+    pattern = F.lit(1 if base else 0 if loose else -1)
+    if loose and kind == "card":
+        pattern = F.when(_luhn(m["hit"]), 1).otherwise(-1)
+    if loose and kind == "email":  # a lone @ without a dot behind it is no address
+        pattern = F.when(F.rlike(m["hit"], F.lit(r"@[^.]*$")), -1).otherwise(0)
+    if loose and kind == "ip":  # eight groups or two colons in a row; a time of day has neither
+        pattern = F.when(F.contains(m["hit"], F.lit("[")) | F.rlike(m["hit"], F.lit(r"^(?:[^:]+:){7}[^:]+$")), 1).when(F.contains(m["hit"], F.lit("::")), 0).otherwise(-1)
     shape = {
         "email": F.when(F.length(m["hit"]) > 80, -1).otherwise(F.when(F.length(m["hit"]) >= 8, 1).otherwise(0)),
-        "ip": F.when(F.rlike(m["hit"], F.lit(r"(?:^|\.)0[0-9]")), -1).otherwise(1),
+        "ip": F.when(F.rlike(m["hit"], F.lit(r"(?:^|\.)0[0-9]|^[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?$")), -1).otherwise(1),
         "card": F.when(digits.isin(15, 16), 1).otherwise(0),
         "phone": F.when(digits.between(10, 13), 1).otherwise(-1),
     }[kind]
@@ -154,7 +173,7 @@ def _vote(m: Column, kind: str, number: int, base: bool) -> Column:
         m["start"].alias("start"),
         m["end"].alias("end"),
         F.lit(base).alias("base"),
-        F.lit(1 if base else 0).alias("pattern"),
+        pattern.cast("int").alias("pattern"),
         F.when(F.rlike(m["hit"], F.lit(GAZETTEER[kind])), 1).otherwise(-1).alias("gazetteer"),
         context.alias("context"),
         shape.alias("shape"),
@@ -163,16 +182,16 @@ def _vote(m: Column, kind: str, number: int, base: bool) -> Column:
     )
 
 
-def fit(spans: DataFrame, rounds: int = 25) -> dict[str, float]:
+def fit(spans: DataFrame, col: str = "spans", rounds: int = 25) -> dict[str, float]:
     """Log odds by "kind:field:value" ("kind" alone: the prior's) that a candidate is personal data, from the numbers of vote patterns."""
-    e = spans.select(F.explode("spans").alias("s")).select("s.*")
+    e = spans.select(F.explode(col).alias("s")).select("s.*")
     rows = [r.asDict() for r in e.groupBy("kind", *VOTES, *FEATURES).count().collect()]
     odds: dict[str, float] = {}
     for kind in range(len(KINDS)):
         own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: [r[f] for f in VOTES + FEATURES])
         if not own:
             continue
-        post = [1 / (1 + math.exp(-2.0 * (sum(r[v] for v in VOTES) - 0.5))) for r in own]
+        post = [1 / (1 + math.exp(-2.0 * (r["pattern"] + sum(r[v] for v in VOTES) - 1))) for r in own]  # to begin with, patterns count twice
 
         def reliability(fields: list[str], post=post, own=own) -> tuple[dict, float]:
             """By field, value and class, the smoothed share; and the prior."""
@@ -227,16 +246,17 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, with `found`: every span, as array<struct<kind, start, end, base>>. A null or empty text has none; no rows: no rows."""
-    spans = saved(candidates(docs, text_col).drop(text_col))
-    return spans.withColumn("found", decided(F.col("spans"), fit(spans))).drop("spans")
+    """docs without the text, with `found`: every span, as array<struct<kind, start, end, base>>; a column of that name is replaced. No rows: no rows."""
+    (name,) = fresh(docs, "spans")
+    spans = saved(candidates(docs, name, text_col).select(*others(docs, [text_col, "found"]), name))
+    return spans.select(*others(spans, [name]), decided(F.col(name), fit(spans, name)).alias("found"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the personal data in their texts masked. Null texts stay null."""
-    odds = fit(candidates(docs.select(text_col), text_col))
-    found = candidates(docs, text_col).withColumn("_f", decided(F.col("spans"), odds))
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col("_f"))).drop("_f", "spans")
+    """docs with the personal data in their texts masked, and their own columns, whatever their names. Null texts stay null; no rows: no rows."""
+    (name,) = fresh(docs, "spans")
+    found = saved(candidates(docs, name, text_col))
+    return found.withColumn(text_col, redacted(F.col(text_col), decided(F.col(name), fit(found, name)))).drop(name)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
