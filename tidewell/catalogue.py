@@ -244,10 +244,9 @@ def publisher_name(spark, sf_dir):
     return rows.select("k", titles.source_name(F.col("name"), F.col("title"), F.col("feed")).alias("name"))
 
 
-@query("short_hash", r"""SELECT doc_id, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(substring(regexp_replace(text, '[^ -~]', '', 'g'), 1, 100), ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, c: (h * 31 + c + 2147483648) % 4294967296 - 2147483648 + CASE WHEN (h * 31 + c + 2147483648) % 4294967296 < 0 THEN 4294967296 ELSE 0 END)::BIGINT AS hash FROM documents""")
+@query("short_hash", r"""SELECT doc_id, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS HUGEINT))), lambda h, c: (h * 31 + c + 2147483648) % 4294967296 - 2147483648 + CASE WHEN (h * 31 + c + 2147483648) % 4294967296 < 0 THEN 4294967296 ELSE 0 END)::BIGINT AS hash FROM documents""")
 def short_hash(spark, sf_dir):
-    clean = F.substring(F.regexp_replace("text", r"[^ -~]", ""), 1, 100)
-    rows = table(spark, sf_dir, "documents").select("doc_id", hashing.short_hash(clean).alias("h"), clean.alias("c"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", hashing.short_hash(F.col("text")).alias("h"), F.col("text").alias("c"))
     # back to the signed number: base 36 loses the sign, so it is taken from the fold itself
     value = F.aggregate(F.filter(F.split("c", ""), lambda x: x != ""), F.lit(0).cast("long"), lambda h, x: F.pmod(h * 31 + F.ascii(x) + (1 << 31), F.lit(1 << 32)) - (1 << 31))
     return rows.where(F.conv("h", 36, 10).cast("long") == F.abs(value)).select("doc_id", value.alias("hash"))
@@ -260,18 +259,12 @@ def cluster_id(spark, sf_dir):
 
 # --- text, TF-IDF, similarity -----------------------------------------------------------------------------------------------------
 
-TF_SQL = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('substring(text, 1, 500)')}) AS term FROM documents) GROUP BY ALL)"
+TF_SQL = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
 W_SQL = f"{TF_SQL}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w AS (SELECT doc_id, tf.term, tf, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / (1.0 + df)) AS w FROM tf JOIN df USING (term)), nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)"
 
 
-def begin() -> Column:
-    """What documents are compared by."""
-    return F.substring("text", 1, 500)
-
-
-
 def postings(spark, sf_dir):
-    return tfidf.weights(table(spark, sf_dir, "documents"), "doc_id", begin())
+    return tfidf.weights(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 @query("tokenize", f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents")
@@ -286,12 +279,12 @@ def title_tokens(spark, sf_dir):
 
 @query("term_freq", f"WITH {TF_SQL} SELECT * FROM tf")
 def term_freq(spark, sf_dir):
-    return tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", begin())
+    return tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 @query("doc_freq", f"WITH {TF_SQL} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def doc_freq(spark, sf_dir):
-    return tfidf.doc_freq(tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", begin()))
+    return tfidf.doc_freq(tfidf.term_freq(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
 
 
 @query("tfidf_weights", f"WITH {W_SQL} SELECT doc_id, term, tf, round(w, 4) AS w FROM w")
@@ -329,9 +322,9 @@ def nearest_centroid(spark, sf_dir):
     return tfidf.nearest(sims, "doc_id", "g").select("doc_id", F.round("sim", 4).alias("sim"))
 
 
-@query("entities", f"SELECT doc_id, array_to_string(list_sort({sql_entities('substring(text, 1, 1000)')}), ' ') AS entities FROM documents")
+@query("entities", f"SELECT doc_id, array_to_string(list_sort({sql_entities('text')}), ' ') AS entities FROM documents")
 def entities_query(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(entities.entities(F.substring("text", 1, 1000))), " ").alias("entities"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(entities.entities(F.col("text"))), " ").alias("entities"))
 
 
 ENTITY_SQL = f""", ct AS (SELECT cluster_key, array_to_string(list_prepend((list(title ORDER BY pos))[1], list(title ORDER BY pos) FILTER (pos < 10 AND title <> '')), '. ') AS text FROM members GROUP BY cluster_key),
@@ -400,7 +393,7 @@ def dominant_segment(spark, sf_dir):
     return stories.dominant(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment", "c_custkey")
 
 
-AW_SQL = f""", atf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({sql_tokens("title || ' ' || description || ' '")}) AS term FROM articles) GROUP BY ALL), adf AS (SELECT term, count(*) AS df FROM atf GROUP BY term),
+AW_SQL = f""", atf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({sql_tokens("title || ' ' || description || ' ' || substring(content, 1, 500)")}) AS term FROM articles) GROUP BY ALL), adf AS (SELECT term, count(*) AS df FROM atf GROUP BY term),
 aw AS (SELECT id, atf.term, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM articles) / (1.0 + df)) AS w FROM atf JOIN adf USING (term)), au AS (SELECT id, term, w, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM aw)"""
 
 
@@ -412,10 +405,10 @@ CROSS_SQL = """, x AS (SELECT p.a, p.b, ma.id AS x, mb.id AS y FROM p JOIN membe
 xs AS (SELECT a, b, x, y, coalesce((SELECT sum(l.u * r.u) FROM au l JOIN au r ON l.term = r.term WHERE l.id = x AND r.id = y), 0) AS dot FROM x), sims AS (SELECT a, b, avg(dot) AS sim FROM xs GROUP BY a, b)"""
 
 
-@query("cross_cluster_sim", of_articles("SELECT a, b, round(sim, 6) AS sim FROM sims", AW_SQL + f", p AS (SELECT a.k AS a, a.k + 1 AS b FROM (SELECT unnest(range(0, {CLUSTERS} - 1)) AS k) a)" + CROSS_SQL))
+@query("cross_cluster_sim", of_articles("SELECT a, b, round(sim, 6) AS sim FROM sims", AW_SQL + f", k AS (SELECT unnest(range(0, {CLUSTERS})) AS k), p AS (SELECT l.k AS a, r.k AS b FROM k l JOIN k r ON l.k < r.k)" + CROSS_SQL))
 def cross_cluster_sim(spark, sf_dir):
     m = members(spark, sf_dir)
-    pairs = spark.range(CLUSTERS - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    pairs = spark.range(CLUSTERS).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.lit(CLUSTERS))).alias("b")).where(F.col("b") < CLUSTERS)
     return stories.cross_similarity(pairs, m.select("cluster_key", "pos", "id"), article_postings(m)).withColumn("sim", F.round("sim", 6))
 
 
@@ -427,14 +420,13 @@ def related_links(spark, sf_dir):
     return out.select("cluster_key", "related_key", F.round("sim", 6).alias("sim"), long(F.col("rank")).alias("rank"))
 
 
-@query("expand_members", of_articles(f""", g AS (SELECT cluster_key, id, category, published_at, pos FROM members WHERE pos < 4), c AS (SELECT cluster_key, term, sum(w) AS w FROM g JOIN aw USING (id) GROUP BY ALL), cu AS (SELECT cluster_key, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_key)) AS u FROM c),
-s AS (SELECT cluster_key, id, least(1.0, sum(au.u * cu.u)) AS sim FROM au JOIN cu USING (term) GROUP BY ALL HAVING least(1.0, sum(au.u * cu.u)) >= 0.3), d AS (SELECT cluster_key, category FROM (SELECT cluster_key, category, row_number() OVER (PARTITION BY cluster_key ORDER BY count(*) DESC, min(pos)) AS r FROM g GROUP BY cluster_key, category) WHERE r = 1),
+@query("expand_members", of_articles(f""", g AS (SELECT cluster_key, id, category, published_at, pos FROM members), c AS (SELECT cluster_key, term, sum(w) AS w FROM g JOIN aw USING (id) GROUP BY ALL), cu AS (SELECT cluster_key, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_key)) AS u FROM c),
+s AS (SELECT cluster_key, id, least(1.0, sum(au.u * cu.u)) AS sim FROM au JOIN cu USING (term) GROUP BY ALL HAVING least(1.0, sum(au.u * cu.u)) >= 0.18), d AS (SELECT cluster_key, category FROM (SELECT cluster_key, category, row_number() OVER (PARTITION BY cluster_key ORDER BY count(*) DESC, min(pos)) AS r FROM g GROUP BY cluster_key, category) WHERE r = 1),
 l AS (SELECT cluster_key, max(published_at) AS latest FROM g GROUP BY ALL), f AS (SELECT s.*, a.ord FROM s JOIN articles a USING (id) JOIN d ON d.cluster_key = s.cluster_key AND d.category = a.category JOIN l ON l.cluster_key = s.cluster_key AND abs((epoch_us(latest) // 1000) - (epoch_us(a.published_at) // 1000)) <= 48 * 3600000 WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.cluster_key = s.cluster_key AND g.id = s.id))
 SELECT cluster_key, id, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY round(sim, 9) DESC, ord) AS rank FROM f) WHERE rank <= 15""", AW_SQL))
 def expand_members(spark, sf_dir):
     rows = articles(spark, sf_dir)
-    few = members(spark, sf_dir).where("pos < 4").select("cluster_key", "pos", "id")
-    out = stories.expanded(few, rows, article_postings(rows), 0.3)
+    out = stories.expanded(members(spark, sf_dir).select("cluster_key", "pos", "id"), rows, article_postings(rows), 0.18)
     return out.select("cluster_key", "id", F.round("sim", 6).alias("sim"), long(F.col("rank")).alias("rank"))
 
 
@@ -545,9 +537,9 @@ def trending_topics(spark, sf_dir):
     return topic_ops.trending(articles(spark, sf_dir), c, as_of()).withColumn("score", F.round("score", 6))
 
 
-@query("fallback_topics", of_articles("SELECT category, count(*) AS n FROM (SELECT category, ord FROM articles UNION ALL SELECT category, ord FROM members WHERE pos < 4) GROUP BY category ORDER BY n DESC, min(ord) LIMIT 4"))
+@query("fallback_topics", of_articles("SELECT category, count(*) AS n FROM (SELECT category, ord FROM articles UNION ALL SELECT category, ord FROM members) GROUP BY category ORDER BY n DESC, min(ord) LIMIT 4"))
 def fallback_topics(spark, sf_dir):
-    return topic_ops.fallback(articles(spark, sf_dir), members(spark, sf_dir).where("pos < 4"), 4)
+    return topic_ops.fallback(articles(spark, sf_dir), members(spark, sf_dir), 4)
 
 
 @query("categories_present", of_articles("SELECT DISTINCT category FROM articles"))
@@ -616,11 +608,32 @@ def cache_clear_pattern(spark, sf_dir):
     return state.cleared(cache_log(spark, sf_dir), "click")
 
 
-@query("circuit_breaker", """WITH f AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms FROM events WHERE event_type = 'error'), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) >= 86400000 THEN 1 ELSE 0 END AS brk FROM f), r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ms) AS run FROM g),
-s AS (SELECT user_id, run, count(*) AS failures, max(ms) AS last FROM r GROUP BY ALL), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY run DESC) AS k FROM s) WHERE k = 1)
-SELECT user_id, CASE WHEN (epoch_us(TIMESTAMP '2024-01-31') // 1000) - last < 86400000 THEN failures ELSE 0 END AS failures, (epoch_us(TIMESTAMP '2024-01-31') // 1000) - last < 86400000 AND failures >= 3 AS skip FROM l""")
+def breaker_sql(events: str, key: str, as_of: str) -> str:
+    """Failures in turn: up to three count, the third opens for 30 minutes, in which nothing counts."""
+    return f"""WITH RECURSIVE f AS (SELECT {key}, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY {key} ORDER BY ts) AS k FROM {events}),
+s AS (SELECT {key}, k, CAST(1 AS BIGINT) AS n, ms AS last FROM f WHERE k = 1 UNION ALL
+  SELECT f.{key}, f.k, CASE WHEN n < 3 THEN n + 1 WHEN ms - last < 1800000 THEN n ELSE 1 END, CASE WHEN n >= 3 AND ms - last < 1800000 THEN last ELSE ms END FROM s JOIN f ON f.{key} = s.{key} AND f.k = s.k + 1),
+e AS (SELECT {key}, arg_max(n, k) AS n, (epoch_us(TIMESTAMP '{as_of}') // 1000) - arg_max(last, k) AS age FROM s GROUP BY {key})
+SELECT {key}, CASE WHEN n >= 3 AND age >= 1800000 THEN 0 ELSE n END AS failures, n >= 3 AND age < 1800000 AS skip FROM e"""
+
+
+BREAKER_SQL = breaker_sql("(SELECT * FROM events WHERE event_type = 'error')", "user_id", "2024-01-31")
+
+
+@query("circuit_breaker", BREAKER_SQL)
 def circuit_breaker(spark, sf_dir):
-    return state.breaker(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 3, 1440)
+    return state.breaker(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+
+
+#: Failures by feed, in minutes of the day: two, a pause and a third; three and one within the pause; three and one after it; three long ago; one.
+FAILURE_ROWS = [("late third", [0, 5, 595]), ("within", [560, 570, 575, 590]), ("after", [480, 485, 490, 580]), ("long ago", [0, 1, 2]), ("one", [3]), ("exactly", [10, 20, 30, 60, 61])]
+FAILURES = [(feed, f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00") for feed, ms in FAILURE_ROWS for m in ms]
+
+
+@query("breaker_cases", breaker_sql("(SELECT feed, CAST(moment AS TIMESTAMP) AS ts FROM " + sql_values(FAILURES, "feed, moment") + ")", "feed", "2024-01-01 10:00:00"))
+def breaker_cases(spark, sf_dir):
+    rows = values(spark, FAILURES, "feed string, moment string").select("feed", F.col("moment").cast("timestamp_ntz").alias("ts"))
+    return state.breaker(rows, "feed", "ts", F.lit(True), F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
 
 
 @query("refresh_status", "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'idle' WHEN 'purchase' THEN 'idle' ELSE 'refreshing' END AS state, value > 360 AS stale, 50 + CAST(floor((event_id % 11) / 10.0 * 40) AS BIGINT) AS progress FROM events")
@@ -754,8 +767,16 @@ def _streams() -> None:
     query("stream_tumbling", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda spark, d: drained("stream_tumbling", "complete", s.tumbling)(spark, d).select(F.unix_seconds("start").alias("start"), "event_type", "n"))
     session = "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, count(*) AS n FROM r GROUP BY user_id, run"
     query("stream_session", session)(lambda spark, d: drained("stream_session", "complete", lambda e: s.sessions(e, "12 hours"))(spark, d).select("user_id", "n"))
-    fails = "WITH f AS (SELECT user_id, (epoch_us(ts) // 1000) AS ms FROM events WHERE event_type = 'error'), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w >= 86400000 THEN 1 ELSE 0 END AS brk FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ms)), r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ms) AS run FROM g), s AS (SELECT user_id, run, count(*) AS failures FROM r GROUP BY ALL) SELECT user_id, arg_max(failures, run) AS failures, arg_max(failures, run) >= 3 AS open FROM s GROUP BY user_id"
-    query("stream_breaker", fails)(lambda spark, d: drained("stream_breaker", "update", lambda e: s.breaker(e, 3, 1440))(spark, d).groupBy("user_id").agg(F.max_by(F.struct("failures", "open"), "at_ms").alias("s")).select("user_id", "s.failures", "s.open"))
+    query("stream_breaker", BREAKER_SQL)(stream_breaker)
+
+
+def stream_breaker(spark, sf_dir):
+    """The last update of each key, as of the same time as circuit_breaker."""
+    from .streaming import events
+
+    last = drained("stream_breaker", "update", events.breaker)(spark, sf_dir).groupBy("user_id").agg(F.max_by(F.struct("failures", "open", "at_ms"), F.struct("at_ms", "failures")).alias("s")).select("user_id", "s.*")
+    cool = F.lit(1706659200000) - F.col("at_ms") >= 1_800_000
+    return last.select("user_id", F.when(F.col("open") & cool, 0).otherwise(F.col("failures")).cast("long").alias("failures"), (F.col("open") & ~cool).alias("skip"))
 
 
 _streams()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CATEGORIES = ["Politics", "Business", "Technology", "Sports", "World News", "Middle East"]
+#: Names that some titles get, so that clusters have names in common.
+NAMES = ["Port Avela", "Lake Morrin", "Selby Harbour", "Anna Tervo", "Mount Keld", "Oru Valley", "Karst Institute", "Dana Whitlock", "Bay of Ness", "Velm Council", "Tomas Ruiz"]
 AS_OF = "2024-01-02 00:00:00"
 CLUSTERS = 37
 
@@ -26,12 +28,13 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.join(pages, d["at"] == pages["page_id"])
     category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("doc_id") % 6 + 1).cast("int"))
     image = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 5 == 1, "https://placehold.co/600x400?text=x").otherwise(F.concat(F.lit("https://img.example.com/"), (F.col("doc_id") % 11).cast("string"), F.lit(".jpg")))
+    title, name = F.trim(F.regexp_extract("text", r"^[^.!?\n]{1,160}", 0)), F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("doc_id") * F.col("doc_id") % len(NAMES) + 1).cast("int"))
     return d.select(
         "doc_id",
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
-        F.trim(F.regexp_extract("text", r"^[^.!?\n]{1,160}", 0)).alias("title"),
+        F.when((F.col("doc_id") % 3 == 0) & (title != ""), F.concat(title, F.lit(" in "), name)).otherwise(title).alias("title"),
         F.substring("text", 1, 200).alias("description"),
-        F.lit("").alias("content"),
+        F.col("text").alias("content"),
         F.col("source").alias("source_name"),
         F.lit("").alias("source_url"),
         category.alias("category"),
@@ -44,8 +47,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TITLE_SQL = "trim(regexp_extract(d.text, '^[^.!?\\n]{1,160}', 0))"
 SQL = f"""articles AS (
-  SELECT d.doc_id, concat('doc-', d.doc_id) AS id, trim(regexp_extract(d.text, '^[^.!?\\n]{{1,160}}', 0)) AS title, substring(d.text, 1, 200) AS description,
+  SELECT d.doc_id, concat('doc-', d.doc_id) AS id, CASE WHEN d.doc_id % 3 = 0 AND {TITLE_SQL} <> '' THEN {TITLE_SQL} || ' in ' || ({NAMES}::VARCHAR[])[d.doc_id * d.doc_id % {len(NAMES)} + 1] ELSE {TITLE_SQL} END AS title, substring(d.text, 1, 200) AS description, d.text AS content,
     d.source AS source_name, '' AS source_url, CASE d.doc_id % 6 WHEN 0 THEN 'Politics' WHEN 1 THEN 'Business' WHEN 2 THEN 'Technology' WHEN 3 THEN 'Sports' WHEN 4 THEN 'World News' ELSE 'Middle East' END AS category,
     TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL '1' MINUTE AS published_at, d.doc_id AS ord, p.url,
     CASE d.doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'https://placehold.co/600x400?text=x' ELSE concat('https://img.example.com/', d.doc_id % 11, '.jpg') END AS url_to_image,

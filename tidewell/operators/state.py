@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import millis
@@ -35,18 +35,24 @@ def cleared(log: DataFrame, pattern: str) -> DataFrame:
 
 
 def breaker(attempts: DataFrame, key: str, ts: str, failed: Column, as_of: Column, most: int = 3, minutes: int = 30) -> DataFrame:
-    """(key, failures, skip): failures since the last pause that was long enough to reset, and whether the key is to be skipped now.
+    """(key, failures, skip): the failures that count now, and whether the key is to be skipped.
 
-    A failure after a pause counts anew; a success changes nothing.
+    Failures count up, however far apart, until there are `most`. The key is then skipped for so many minutes after the last of them: attempts within that time
+    would not have been made and change nothing, and the next failure after it counts anew. A success changes nothing. A key's failures are one
+    array of times on the way, as each depends on those before; a feed is attempted once a refresh.
     """
-    fails = attempts.where(failed).select(key, millis(F.col(ts)).alias("at"))
-    w = Window.partitionBy(key).orderBy("at")
-    gap = F.col("at") - F.lag("at").over(w)
-    runs = fails.withColumn("run", F.sum(F.when(gap >= minutes * 60_000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = runs.groupBy(key, "run").agg(F.count("*").alias("failures"), F.max("at").alias("last"))
-    out = sums.groupBy(key).agg(F.max_by(F.struct("failures", "last"), "run").alias("s")).select(key, "s.failures", "s.last")
-    fresh = millis(as_of) - F.col("last") < minutes * 60_000
-    return out.select(key, F.when(fresh, F.col("failures")).otherwise(0).alias("failures"), (fresh & (F.col("failures") >= most)).alias("skip"))
+    pause = minutes * 60_000
+    fails = attempts.where(failed).groupBy(key).agg(F.array_sort(F.collect_list(millis(F.col(ts)))).alias("times"))
+    start = F.struct(F.lit(0).cast("long").alias("failures"), F.lit(0).cast("long").alias("last"))
+
+    def step(s: Column, at: Column) -> Column:
+        full = s["failures"] >= most
+        counted = F.struct(F.when(full, 1).otherwise(s["failures"] + 1).cast("long").alias("failures"), at.alias("last"))
+        return F.when(full & (at - s["last"] < pause), s).otherwise(counted)
+
+    out = fails.select(key, F.aggregate("times", start, step).alias("s")).select(key, "s.failures", "s.last")
+    full, cool = F.col("failures") >= most, millis(as_of) - F.col("last") >= pause
+    return out.select(key, F.when(full & cool, 0).otherwise(F.col("failures")).cast("long").alias("failures"), (full & ~cool).alias("skip"))
 
 
 def health(fetches: DataFrame, key: str, items: Column, millis_taken: Column, error: Column) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Streams over articles and events: duplicates, activity, sessions, failing feeds. Every one of them has a watermark, so state is bounded."""
+"""Streams over articles and events: duplicates, activity, sessions, failing feeds.
+
+Every one of them has a watermark that lets state go, but for keys with fewer failures than open a breaker: those count however old they are, two numbers a key.
+"""
 
 from __future__ import annotations
 
@@ -38,18 +41,28 @@ def sessions(events: DataFrame, gap: str = "48 hours") -> DataFrame:
 
 
 def breaker(events: DataFrame, most: int = 3, minutes: int = 30) -> DataFrame:
-    """(user_id, at_ms, failures, open): an update for each key with errors. Failures count up until a pause of `minutes`; from `most` on the breaker is open."""
+    """(user_id, at_ms, failures, open): an update for each key with errors.
+
+    Failures count up until there are `most`, which opens the breaker for so many minutes after the last. Failures within that time change nothing; the state
+    goes when the watermark has passed it, and the next failure counts anew. at_ms is the last failure that counted.
+    """
     pause = minutes * 60_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, last = state.get if state.exists else (0, 0)
-        for times in sorted(t for b in batches for t in b["at_ms"]):
-            count, last = (1 if times - last >= pause else count + 1), times
+        for at in sorted(t for b in batches for t in b["at_ms"]):
+            if count < most or at - last >= pause:
+                count, last = (count if count < most else 0) + 1, at
         state.update((count, last))
+        if count >= most:
+            state.setTimeoutTimestamp(max(last + pause, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "at_ms": [last], "failures": [count], "open": [count >= most]})
 
-    errors = events.where("event_type = 'error'").select("user_id", F.unix_millis("ts").alias("at_ms"))
-    return errors.groupBy("user_id").applyInPandasWithState(run, "user_id long, at_ms long, failures long, open boolean", "failures long, last_ms long", "update", GroupStateTimeout.NoTimeout)
+    errors = events.where("event_type = 'error'").select("user_id", "ts", F.unix_millis("ts").alias("at_ms"))
+    return errors.groupBy("user_id").applyInPandasWithState(run, "user_id long, at_ms long, failures long, open boolean", "failures long, last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
