@@ -107,3 +107,65 @@ def test_long_seeds_are_chunked_in_order():
     rows = [article(k, "x") for k in range(80)]
     parts = greedy.chunked([("t", [f"a{k}" for k in range(79, -1, -1)]), ("u", ["a1", "a0"])], rows, Params())
     assert [len(i) for _, i in parts] == [35, 35, 26, 2] and parts[0][1][0] == "a0" and parts[1][1][0] == "a27" and parts[-1][1] == ["a1", "a0"]
+
+
+def plain_absorb(clusters, near):
+    """All pairs."""
+    out, gone = [], set()
+    for i, base in enumerate(clusters):
+        if i in gone:
+            continue
+        for j in range(i + 1, len(clusters)):
+            if j not in gone and near(i, j, base):
+                base = (base[0] if len(base[0]) >= len(clusters[j][0]) else clusters[j][0], greedy.union(base[1], clusters[j][1]))
+                gone.add(j)
+        out.append(base)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(clusterings, st.sampled_from([0.2, 0.4, 0.7]))
+def test_merges_by_lookup_are_those_of_all_pairs(clusters, threshold):
+    own = [set(c[1]) for c in clusters]
+    assert greedy.by_overlap(clusters, threshold) == plain_absorb(clusters, lambda i, j, base: sum(x in own[i] for x in clusters[j][1]) / (len(set(base[1]) | own[j]) or 1) >= threshold)
+    words = lambda t: set(greedy.tokens(t))
+    if len(clusters) > 1:
+        assert greedy.by_title(clusters, threshold) == plain_absorb(clusters, lambda i, j, base: len(words(base[0]) & words(clusters[j][0])) / (len(words(base[0]) | words(clusters[j][0])) or 1) >= threshold)
+
+
+def test_a_model_refines_seeds_and_what_they_leave():
+    p = Params(cluster_seed_chunk=3, cluster_seed_overlap=1, cluster_uncovered_chunk=4)
+    rows, calls = [article(k, f"t{k}") for k in range(12)], []
+    ids = [r["id"] for r in rows]
+
+    def refine(part):
+        calls.append([r["id"] for r in part])
+        if len(calls) == 2:
+            raise ValueError("no answer")
+        return [(f"call {len(calls)}", [r["id"] for r in part]), ("", ids[:2]), ("single", ids[:1])]
+
+    out = greedy.asked([("a", ids[:2]), ("b", ids[2:4]), ("c", ids[4:9])], rows, p, refine)
+    assert calls == [ids[:2], ids[2:4], ids[4:7], ids[6:9], ids[2:4] + ids[9:11], ids[11:]]
+    assert out == [("call 1", ids[:2]), ("call 3", ids[4:7]), ("call 4", ids[6:9]), ("call 5", ids[2:4] + ids[9:11])]
+
+
+def test_a_model_at_its_limit_leaves_the_seeds():
+    rows = [article(k, f"t{k}") for k in range(8)]
+    ids, left = [r["id"] for r in rows], [2]
+
+    def refine(part):
+        left[0] -= 1
+        if left[0] < 0:
+            raise greedy.Limited
+        return [("told", [r["id"] for r in part])]
+
+    seeds = [("a", ids[:2]), ("b", ids[2:4])]
+    assert greedy.asked([*seeds, ("c", ids[4:6])], rows, Params(), refine) == [*seeds, ("c", ids[4:6])]
+    left[0] = 2
+    assert greedy.asked(seeds, rows, Params(), refine) == [("told", ids[:2]), ("told", ids[2:4])]
+
+
+def test_groups_of_a_model():
+    clusters = [("one", ["1"]), ("two", ["2"]), ("third one", ["3", "1"]), ("four", ["4"])]
+    assert greedy.grouped(clusters, lambda c: [[2, 0, 9], [0, 1], [-1]]) == [("third one", ["1", "3"]), ("two", ["2"]), ("four", ["4"])]
+    assert greedy.grouped(clusters, lambda c: 1 / 0) == clusters

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tidewell import dims
 from tidewell.functions.text import doc_text
 from tidewell.operators import stories, tfidf
-from tidewell.plans.stories import ranked_stories
+from tidewell.plans.stories import Model, ranked_stories
 
 TEXTS = [
     "Olympic Committee opens Winter Games in Paris with skating gold", "Winter Games skating gold for Olympic Committee favourite in Paris", "Olympic Committee praises Winter Games skating gold",
@@ -46,3 +46,24 @@ def test_cosine_pairs_match_all_pairs(spark):
     for threshold in (0.1, 0.4, 0.8):
         got = {(r["a"], r["b"]): r["sim"] for r in tfidf.cosine_pairs(postings, "id", threshold).collect()}
         assert got.keys() == {p for p, s in plain.items() if s >= threshold} and all(abs(got[p] - plain[p]) < 1e-9 for p in got)
+
+
+def test_a_model_in_the_plan(spark):
+    """Seeds renamed, articles that no seed has gathered, and severity judged for what is unclear, then ranked anew."""
+    rows = articles(spark, 1).withColumn("category", F.lit("World News"))
+    asked = []
+
+    def refine(part):
+        return [(f"Story {len(part)} {part[0]['title']}", [r["id"] for r in part])]
+
+    def assess(unclear):
+        asked.append({(r["label"], r["ambiguous"]) for r in unclear.collect()})
+        return unclear.where(F.contains("cluster_title", F.lit("Storm"))).select("cluster_key", F.lit(5).alias("level"), F.lit("War/Conflict").alias("label"))
+
+    as_of, meta = F.lit("2024-01-01 01:00:00").cast("timestamp_ntz"), dims.category_meta(spark)
+    plain = {frozenset(r["article_ids"]): r for r in ranked_stories(rows, meta, as_of).collect()}
+    told = {frozenset(r["article_ids"]): r for r in ranked_stories(rows, meta, as_of, model=Model(refine=refine, assess=assess)).collect()}
+    assert asked == [{("Other", True)}]
+    storm = next(ids for ids, r in told.items() if "Storm" in r["cluster_title"])
+    assert told[storm]["label"] == "War/Conflict" and plain[storm]["label"] == "Other"
+    assert told[storm]["score"] > plain[storm]["score"]

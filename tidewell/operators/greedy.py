@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,17 +104,34 @@ def union(a: list[str], b: list[str]) -> list[str]:
     return list(dict.fromkeys([*a, *b]))
 
 
-def absorb(clusters: list[tuple[str, list[str]]], near: Callable[[int, int, tuple[str, list[str]]], bool]) -> list[tuple[str, list[str]]]:
-    """Each cluster takes in the later ones that are near it as it has grown so far: the longer title, all ids."""
+def absorb(clusters: list[tuple[str, list[str]]], near: Callable[[int, int, tuple[str, list[str]]], bool], keys: list[set[str]], wanted: Callable[[int, tuple[str, list[str]]], Iterable[str]]) -> list[tuple[str, list[str]]]:
+    """Each cluster takes in the later ones that are near it as it has grown so far: the longer title, all ids.
+
+    Only those that have one of the wanted keys can be near, so they are looked up, in order, instead of comparing all pairs.
+    """
+    holders: dict[str, list[int]] = defaultdict(list)
+    for j, own in enumerate(keys):
+        for k in own:
+            holders[k].append(j)
     out, gone = [], set()
     for i, base in enumerate(clusters):
         if i in gone:
             continue
-        for j in range(i + 1, len(clusters)):
-            if j not in gone and near(i, j, base):
-                other = clusters[j]
+        at, asked, queue, seen = i, set(), [], set()
+        while True:
+            for k in set(wanted(i, base)) - asked:
+                asked.add(k)
+                for j in holders.get(k, ()):
+                    if j > at and j not in seen and j not in gone:
+                        seen.add(j)
+                        heappush(queue, j)
+            if not queue:
+                break
+            at = heappop(queue)
+            if near(i, at, base):
+                other = clusters[at]
                 base = (base[0] if len(base[0]) >= len(other[0]) else other[0], union(base[1], other[1]))
-                gone.add(j)
+                gone.add(at)
         out.append(base)
     return out
 
@@ -121,7 +139,7 @@ def absorb(clusters: list[tuple[str, list[str]]], near: Callable[[int, int, tupl
 def by_overlap(clusters: list[tuple[str, list[str]]], jaccard: float) -> list[tuple[str, list[str]]]:
     """Common ids are counted against a cluster's own ids, the union against the grown ones."""
     own = [set(c[1]) for c in clusters]
-    return absorb(clusters, lambda i, j, base: sum(x in own[i] for x in clusters[j][1]) / (len(set(base[1]) | own[j]) or 1) >= jaccard)
+    return absorb(clusters, lambda i, j, base: sum(x in own[i] for x in clusters[j][1]) / (len(set(base[1]) | own[j]) or 1) >= jaccard, own, lambda i, base: own[i])
 
 
 def by_title(clusters: list[tuple[str, list[str]]], threshold: float) -> list[tuple[str, list[str]]]:
@@ -133,7 +151,7 @@ def by_title(clusters: list[tuple[str, list[str]]], threshold: float) -> list[tu
         a, b = of[base[0]], words[j]
         return len(a & b) / (len(a | b) or 1) >= threshold
 
-    return absorb(clusters, near) if len(clusters) > 1 else clusters
+    return absorb(clusters, near, [set(w) for w in words], lambda i, base: of[base[0]]) if len(clusters) > 1 else clusters
 
 
 def entities(text: str) -> set[str]:
@@ -163,7 +181,7 @@ def by_entity(clusters: list[tuple[str, list[str]]], rows: dict[str, dict], shar
     vec = vectors([rows[i] for i in used])
     norm = {i: length(v) for i, v in vec.items()}
     names = [{e for e in entities(". ".join([t, *[rows[i]["title"] for i in ids[:10] if i in rows and rows[i]["title"]]])) if len(e) >= least} for t, ids in clusters]
-    return absorb(clusters, lambda i, j, base: len(names[i] & names[j]) >= shared and mean_cosine(base[1], clusters[j][1], vec, norm, sample) >= coherence)
+    return absorb(clusters, lambda i, j, base: len(names[i] & names[j]) >= shared and mean_cosine(base[1], clusters[j][1], vec, norm, sample) >= coherence, names, lambda i, base: names[i])
 
 
 def split(cluster: tuple[str, list[str]], rows: list[dict], threshold: float, least: int) -> list[tuple[str, list[str]]]:
@@ -243,17 +261,76 @@ def coherent(clusters: DataFrame, articles: DataFrame, p: Params = Params()) ->
     return _apply(clusters, articles, lambda c, r: split_all(c, r, p))
 
 
-def refined(clusters: DataFrame, articles: DataFrame, p: Params = Params()) -> DataFrame:
-    """All merges and the first split in one pass, so that an edition crosses to Python once."""
+#: A model's part in clustering. Refine: rows of articles to (title, ids) clusters of them. Merge: clusters to groups of their numbers that tell the same story.
+Refine = Callable[[list[dict]], list[tuple[str, list[str]]]]
+Merge = Callable[[list[tuple[str, list[str]]]], list[list[int]]]
+
+
+class Limited(Exception):
+    """Raised by a model that takes no more calls for now."""
+
+
+def refined(clusters: DataFrame, articles: DataFrame, p: Params = Params(), refine: Refine | None = None, merge: Merge | None = None) -> DataFrame:
+    """All merges and the first split in one pass, so that an edition crosses to Python once. Without a model seeds stay as they are."""
 
     def step(c: list, r: list[dict]) -> list:
-        c = by_title(by_overlap(chunked(c, r, p), p.cluster_jaccard_merge), p.cluster_title_merge)
+        c = by_title(by_overlap(asked(c, r, p, refine) if refine else chunked(c, r, p), p.cluster_jaccard_merge), p.cluster_title_merge)
         c = by_entity(c, {x["id"]: x for x in r}, p.cluster_entity_min_shared, p.cluster_entity_min_length, p.cluster_entity_min_coherence, p.similarity_sample)
-        return by_title(split_all(c, r, p), p.cluster_title_merge)
+        c = by_title(split_all(c, r, p), p.cluster_title_merge)
+        return grouped(c, merge) if merge and p.cluster_llm_merge and len(c) > 1 else c
 
     return _apply(clusters, articles, step)
 
 
+def asked(seeds: list, rows: list[dict], p: Params, refine: Refine) -> list:
+    """What a model makes of the seeds, long ones in overlapping chunks, and then of the articles that no cluster has, if there are three at least.
+
+    At its limit the seeds stay as they are, or the articles beyond that chunk alone; a call that fails otherwise gives nothing.
+    """
+    place, out = {r["id"]: r for r in rows}, []
+
+    def call(part: list[dict]) -> list:
+        try:
+            return [(t, list(ids)) for t, ids in refine(part) if t and len(ids) >= 2]
+        except Limited:
+            raise
+        except Exception:
+            return []
+
+    try:
+        for seed in seeds:
+            for _, ids in chunked([seed], rows, p):
+                out += call([place[i] for i in ids if i in place])
+    except Limited:
+        return chunked(seeds, rows, p)
+    covered = {i for _, ids in out for i in ids}
+    rest = [r for r in rows if r["id"] not in covered]
+    for at in range(0, len(rest) if len(rest) >= 3 else 0, p.cluster_uncovered_chunk):
+        try:
+            out += call(rest[at : at + p.cluster_uncovered_chunk])
+        except Limited:
+            break
+    return out
+
+
+def grouped(clusters: list, merge: Merge) -> list:
+    """Clusters joined as a model groups them, under the longest title, in the place of the first; numbers that it makes up or repeats are left out. A model that fails changes nothing."""
+    try:
+        groups = merge(clusters)
+    except Exception:
+        return clusters
+    first: dict[int, int] = {}
+    for group in groups:
+        own = [k for k in dict.fromkeys(group) if 0 <= k < len(clusters) and k not in first]
+        first |= dict.fromkeys(own, min(own, default=0))
+    out: dict[int, tuple[str, list[str]]] = {}
+    for k, c in enumerate(clusters):
+        at = first.get(k, k)
+        t, ids = out.get(at, ("", []))
+        out[at] = (t if len(t) >= len(c[0]) else c[0], union(ids, c[1]))
+    return list(out.values())
+
+
 def settled(clusters: DataFrame, articles: DataFrame, p: Params = Params()) -> DataFrame:
     """The last split and merge by title."""
     return _apply(clusters, articles, lambda c, r: by_title(split_all(c, r, p), p.cluster_title_merge))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import SEVERITY_MULTIPLIERS
@@ -50,9 +50,14 @@ def scored(members: DataFrame, images: DataFrame, meta: DataFrame, as_of: Column
     return out.withColumn("score", score(F.col("n"), F.col("domains"), F.col("images"), F.col("recent"), F.col("label"), p))
 
 
-def reassessed(scores: DataFrame, answers: DataFrame, most: int = 8, p: Params = Params()) -> DataFrame:
-    """Scores with the answers (cluster_key, level, label) for the ambiguous among the first `most`, scored again. Others keep theirs."""
-    top = scores.orderBy(F.desc("score"), "cluster_key").limit(most).where("ambiguous").select("cluster_key")
-    found = answers.select("cluster_key", F.col("level").alias("_level"), F.col("label").alias("_label")).join(top, "cluster_key", "left_semi")
+def to_assess(scores: DataFrame, most: int = 8, scope: list[str] | None = None) -> DataFrame:
+    """The ambiguous among the first `most` by score, of all or of each group of scope."""
+    w = Window.partitionBy(*(scope or [])).orderBy(F.desc("score"), "cluster_key")
+    return scores.withColumn("place", F.row_number().over(w)).where((F.col("place") <= most) & F.col("ambiguous")).drop("place")
+
+
+def reassessed(scores: DataFrame, answers: DataFrame, most: int = 8, p: Params = Params(), scope: list[str] | None = None) -> DataFrame:
+    """Scores with the answers (cluster_key, level, label) for those to_assess(), scored again. Others, and those without an answer, keep theirs."""
+    found = answers.select("cluster_key", F.col("level").alias("_level"), F.col("label").alias("_label")).join(to_assess(scores, most, scope).select("cluster_key"), "cluster_key", "left_semi")
     out = scores.join(found, "cluster_key", "left").withColumns({"level": F.coalesce("_level", "level"), "label": F.coalesce("_label", "label")}).drop("_level", "_label")
     return out.withColumn("score", score(F.col("n"), F.col("domains"), F.col("images"), F.col("recent"), F.col("label"), p))

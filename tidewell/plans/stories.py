@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,28 +32,45 @@ def expanded(clusters: DataFrame, articles: DataFrame, p: Params) -> DataFrame:
     return out.select("edition", F.col("local_key").alias("cluster_key"), "cluster_title", "article_ids")
 
 
-def raw_clusters(articles: DataFrame, p: Params = Params(), refine: bool = True) -> DataFrame:
-    """greedy.CLUSTERS for articles with `edition`: seeds, merges, split, expansion, split, merge. Without refine: the seeds."""
+@dataclass(frozen=True)
+class Model:
+    """What a language model may do in the plan; each part may be missing, and a deterministic rule stands in its place.
+
+    refine and merge are called within an edition (operators.greedy.Refine, Merge). assess gets the clusters of unclear severity among the first of each edition
+    (edition, cluster_key, cluster_title, label, ...) and answers with (cluster_key, level, label) for those it can judge.
+    """
+
+    refine: greedy.Refine | None = None
+    merge: greedy.Merge | None = None
+    assess: Callable[[DataFrame], DataFrame] | None = None
+
+
+def raw_clusters(articles: DataFrame, p: Params = Params(), refine: bool = True, model: Model = Model()) -> DataFrame:
+    """greedy.CLUSTERS for articles with `edition`: seeds, refinement, merges, split, expansion, split, merge. Without refine: the seeds."""
     timed = articles.withColumn("at", F.col("published_at")).withColumn("published_at", F.unix_micros(F.col("published_at").cast("timestamp")))
     seeds = greedy.preclustered(timed, p)
     if not refine:
         return seeds
-    wide = saved(expanded(saved(greedy.refined(seeds, timed, p)), timed.withColumn("published_at", F.col("at")).drop("at"), p))
+    wide = saved(expanded(saved(greedy.refined(seeds, timed, p, model.refine, model.merge)), timed.withColumn("published_at", F.col("at")).drop("at"), p))
     return greedy.settled(wide, timed, p)
 
 
-def ranked_stories(articles: DataFrame, meta: DataFrame, as_of: Column, p: Params = Params()) -> DataFrame:
+def ranked_stories(articles: DataFrame, meta: DataFrame, as_of: Column, p: Params = Params(), model: Model = Model()) -> DataFrame:
     """(edition, id, cluster_title, article_ids, n, domains, image_urls, label, score, rank, summary, related_ids) of the stories of each edition, best first.
 
     articles: id, title, description, content, url, source_name, source_url, category, published_at, ord, url_to_image, image_width, image_height, edition.
     """
-    clusters = _keyed(saved(raw_clusters(articles, p)))
+    clusters = _keyed(saved(raw_clusters(articles, p, model=model)))
     members = clusters.select("edition", "cluster_key", F.posexplode("article_ids").alias("pos", "id"))
     full = stories.lookup(members.drop("edition"), articles)
     once = saved(enrich.deduped(enrich.valid(full)))
     shown = saved(enrich.valid(enrich.diverse(once, p.cluster_per_domain_max, p.cluster_display_cap)))
     pictures = saved(enrich.images(shown, once, p))
     scores = ranking.scored(shown.withColumn("pos", F.col("shown")), pictures, meta, as_of, p)
+    if model.assess:
+        scores = saved(scores.join(clusters.select("edition", "cluster_key", "cluster_title"), "cluster_key"))
+        answers = model.assess(ranking.to_assess(scores, p.severity_llm_top_n, ["edition"]))
+        scores = ranking.reassessed(scores, answers, p.severity_llm_top_n, p, ["edition"]).drop("edition", "cluster_title")
     links = saved(stories.related(clusters, members.drop("edition"), articles, p.related_min_shared, p.related_min_length, p.related_min_coherence, p.related_max, scope="edition"))
     named = clusters.withColumn("id", set_id(F.col("article_ids")))
     near = links.join(named.select(F.col("cluster_key").alias("related_key"), F.col("id").alias("related_id")), "related_key")
