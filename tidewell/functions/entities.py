@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The four patterns of names are those that results depend on.
+
+
 def entities(c: Column) -> Column:
     """Distinct names, lower-cased and joined by _."""
     c = F.coalesce(c, F.lit(""))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..dims import STOPWORDS
 
+# The patterns in tokens(), strip_html(), first_sentence() and slug() are those that results depend on.
+
 
 def blank(c: Column) -> Column:
     """Null instead of an empty or blank text."""
@@ -40,22 +42,12 @@ def truncated(c: Column, most: int) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, most - 3), F.lit("...")))
 
 
-def sentences(c: Column) -> Column:
-    return F.split(c, r"(?<=[.!?])\s+")
-
-
 def first_sentence(c: Column, most: int = 140) -> Column:
     """The first sentence; without one, the beginning of the text."""
     found = F.regexp_extract(c, r"^(.+?[.!?])(\s|$)", 1)
     return F.when(found != "", found).otherwise(F.substring(c, 1, most))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct values; 0 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
-
-
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import host
+from .urls import host, hostname
 
 
 def _last(c: Column, mark: str) -> Column:
@@ -42,3 +42,9 @@ def source_name(name: Column, title: Column, fallback: Column) -> Column:
     from_host = F.when(address, F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, F.lit(2), F.length(label))))
     vague = (own == "Google News") | F.contains(own, F.lit("news.google.com")) | address
     return F.when(vague, F.coalesce(publisher(title), from_host, own)).otherwise(own)
+
+
+def feed_title(title: Column, description: Column, url: Column) -> Column:
+    """A feed's title, else its description, else its host."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(given(title), given(description), given(hostname(url)), F.lit("Unknown Source"))

@@ -74,10 +74,6 @@ def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return shown.crossJoin(F.broadcast(total))  # the total is one row
 
 
-def positions(rows: DataFrame, *order: Column, out: str = "pos", within: list[str] | None = None) -> DataFrame:
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(*order)) - 1)
-
-
 def chunks(rows: DataFrame, group: str, pos: str, size: int, overlap: int = 0) -> DataFrame:
     """rows with `chunk`: runs of `size` within each group, each starting `size - overlap` after the last. A row is in every chunk that covers it."""
     step = size - overlap

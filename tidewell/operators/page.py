@@ -11,6 +11,9 @@ from ..functions.text import strip_html, truncated
 from ..params import Params
 
 
+# The wording of payloads in category_payload(), and the error texts in is_rate_limit().
+
+
 def hero(members: DataFrame, expanded: bool = False, p: Params = Params(), order: str = "pos") -> DataFrame:
     """(cluster_key, hero): the first member's useful image; small ones only while the story is folded."""
     fits = F.lit(True) if not expanded else large_enough(F.col("image_width"), F.col("image_height"), p.min_image_width, p.min_image_height)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import millis
@@ -69,6 +69,16 @@ def health(fetches: DataFrame, key: str, items: Column, millis_taken: Column, er
     )
 
 
+def slow(fetches: DataFrame, millis_taken: Column, error: Column, most: int = 5000) -> DataFrame:
+    """The successful fetches that took longer, with `place`: the slowest first."""
+    return fetches.where(error.isNull() & (millis_taken > most)).withColumn("place", F.dense_rank().over(Window.orderBy(F.desc(millis_taken))).cast("long"))
+
+
+def empty(fetches: DataFrame, items: Column, error: Column) -> DataFrame:
+    """The successful fetches without items."""
+    return fetches.where(error.isNull() & (items == 0))
+
+
 def error_class(message: Column) -> Column:
     low = F.lower(message)
     out = F.when(message.isNull(), None)

@@ -36,6 +36,13 @@ def dominant(rows: DataFrame, group: list[str], value: str, pos: str) -> DataFra
     return counts.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("n"), "first", F.col(value).alias("v"))).alias("b")).select(*group, F.col("b.v").alias(value))
 
 
+def publish_range(members: DataFrame) -> DataFrame:
+    """(cluster_key, range): the first and last time of publication, as ISO texts with a dash between; empty without any."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    ends = members.groupBy("cluster_key").agg(F.min("published_at").alias("a"), F.max("published_at").alias("b"))
+    return ends.select("cluster_key", F.coalesce(F.concat(iso(F.col("a")), F.lit("–"), iso(F.col("b"))), F.lit("")).alias("range"))
+
+
 def cluster_entities(clusters: DataFrame, members: DataFrame, articles: DataFrame, least: int = 4, scope: str | None = None) -> DataFrame:
     """(cluster_key, entity), each once: names in the title and the first ten members' titles, of a least length.
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir (a temporary folder where it is unset) and read back."""
+    """df written to spark.checkpoint.dir and read back. Where that is unset a local session gets a temporary folder, and a cluster an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
