@@ -18,12 +18,12 @@ from tidewell.llm.common import saved, shared_dir, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither the base rules nor the learned list rejects."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality.passing(docs, rules)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies, by five-word shingles and a similarity of 0.8."""
-    return simhash.near_dedup(docs).select(*docs.columns)
+    return simhash.near_dedup(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +31,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Each document as often as the mix takes it, not at all, once or twice, in the order of the schedule."""
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids."""
-    return spm.encoded(docs, spm.read_model(spark)).select(*docs.columns, "ids", "n_tokens", "round_trip")
+    """The documents with their piece ids; columns that bear the results' names give way."""
+    return spm.encoded(docs, spm.read_model(spark))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
