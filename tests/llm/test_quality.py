@@ -53,9 +53,19 @@ def test_learned_list_on_documents(spark, make):
     assert all(out[i] for i, _ in good) and not any(out[i] for i, _ in junk)
 
 
+def test_repeated_ids_learn_alike(spark, make):
+    rows = [(i % 80, f"plain words number{i} " * (5 if i % 2 else 1) + " ".join(f"{'#' if i % 80 < 40 else 'w'}{i}x{k}" for k in range(80))) for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i >= 40), 0) for i in range(80)] * 2, "doc_id long, quality int, toxic int")
+    learnt = [quality.learn(make(r), labels) for r in (rows, rows[::-1], rows + rows)]
+    assert learnt[0] and learnt[0] == learnt[1] == learnt[2]
+
+
 def test_odd_rows(spark, odd, empty):
     out = quality.judge(odd.withColumn("n_words", F.lit("clash")), [])
     rows = out.collect()
     assert len(rows) == 9 and all(r["base_failed"] and not r["kept"] for r in rows)
+    assert out.columns == [*odd.columns, *quality.RESULTS]
+    clash = odd.select("*", *[F.lit("mine").alias(c) for c in (*quality.RESULTS, "measures", "a.b")])
+    assert quality.passing(clash, []).columns == clash.columns
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.learn(empty, none) == [] and quality.judge(empty, []).count() == 0

@@ -2,11 +2,13 @@
 
 The list is a sequence of conjunctions of thresholds, each meaning "reject". It is grown and pruned on the measures of
 labelled documents and becomes one Spark conditional expression.
+
+A text is measured whole, however long, in time that grows with its words. Rows are judged one by one, so repeated rows and ids are judged alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,20 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, others, parts_of, table
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper"]
-#: What conditions may test; every one is a ratio or a count, from MEASURES.
-FEATURES = {
-    "word_len": "word_chars / greatest(n_words, 1)",
-    "symbol_ratio": "n_symbols / greatest(word_chars, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
-    "upper_share": "n_upper / greatest(word_chars, 1)",
-    "dup_lines": "cast(n_dup_lines as double)",
-    "n_words": "cast(n_words as double)",
+#: What conditions may test; every one is a ratio or a count, from a struct of MEASURES.
+FEATURES: dict[str, Callable[[Column], Column]] = {
+    "word_len": lambda m: m["word_chars"] / F.greatest(m["n_words"], F.lit(1)),
+    "symbol_ratio": lambda m: m["n_symbols"] / F.greatest(m["word_chars"], F.lit(1)),
+    "repeat_share": lambda m: m["n_repeat_words"] / F.greatest(m["n_words"], F.lit(1)),
+    "distinct_share": lambda m: m["n_distinct"] / F.greatest(m["n_words"], F.lit(1)),
+    "upper_share": lambda m: m["n_upper"] / F.greatest(m["word_chars"], F.lit(1)),
+    "dup_lines": lambda m: m["n_dup_lines"].cast("double"),
+    "n_words": lambda m: m["n_words"].cast("double"),
 }
 #: A bounded sample of labelled rows, by hash of the id, is enough to fit a list of a few thresholds.
 MAX_LABELLED = 20_000
@@ -72,8 +74,8 @@ def measures(col: Column) -> Column:
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = np.array([measure(t.as_py()) for t in batch], dtype=np.int64).reshape(-1, len(MEASURES))
+        for part in parts_of(batches):
+            rows = np.array([measure(t.as_py()) for t in part], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], MEASURES)
 
     return run(col)
@@ -88,8 +90,8 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] > self.threshold if self.above else x[self.feature] <= self.threshold
 
-    def column(self) -> Column:
-        value = F.expr(FEATURES[self.feature])
+    def column(self, m: Column) -> Column:
+        value = FEATURES[self.feature](m)
         return value > F.lit(self.threshold) if self.above else value <= F.lit(self.threshold)
 
 
@@ -157,22 +159,27 @@ def fit_rules(x: dict[str, np.ndarray], bad: np.ndarray, ids: np.ndarray, precis
     return rules
 
 
-def rejected_by(rules: list[Rule]) -> Column:
-    """An ordered conditional expression over the measures: the number of the first rule that holds, else null."""
+def rejected_by(rules: list[Rule], m: Column) -> Column:
+    """An ordered conditional expression over a struct of measures: the number of the first rule that holds, else null."""
     out = F.lit(None).cast("int")
     for number, rule in reversed(list(enumerate(rules))):
         held = F.lit(True)
         for c in rule:
-            held = held & c.column()
+            held = held & c.column(m)
         out = F.when(held, number).otherwise(out)
     return out
 
 
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """The decision list from labelled documents.
 
-    Takes max_labelled labelled ids at most, those of least hash; ids without a label, or whose labels disagree, are left out.
-    That bound holds for what is broadcast and for what reaches the driver: a few numbers a row.
+    Takes max_labelled labelled ids at most, those of least hash; ids without a label, or whose labels disagree, are left out. Rows of the same id and
+    measures count once, and of an id's several texts the one of least hash is fitted, so reruns learn the same rules. Without labels: no rules.
+    That bound holds for what is broadcast and for what reaches the driver: a few numbers an id.
     """
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q2"))
     place, known = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), labels.count()
@@ -180,22 +187,31 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         rows = rows.where(place < int(1.5 * (1 << 40) * max_labelled / known))
     rows = rows.where("quality = q2").orderBy(place, "doc_id").limit(max_labelled).select(F.col("doc_id").alias("label_id"), "quality")
     some = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))
-    some = some.select("doc_id", "quality", measures(F.col("text")).alias("m")).select("doc_id", "quality", "m.*")
-    got = some.select("doc_id", "quality", *[F.expr(e).alias(f"f_{k}") for k, e in FEATURES.items()]).limit(2 * max_labelled).toPandas()
-    got = got.sort_values(["doc_id", *[f"f_{k}" for k in FEATURES]])
+    some = some.select("doc_id", "quality", F.xxhash64("text").alias("place"), measures(F.col("text")).alias("m"))
+    values = F.struct("place", *[f(F.col("m")).alias(f"f_{k}") for k, f in FEATURES.items()])
+    got = some.groupBy("doc_id", "quality").agg(F.min(values).alias("v")).select("doc_id", "quality", "v.*").toPandas().sort_values("doc_id")
     return fit_rules({k: got[f"f_{k}"].to_numpy(dtype=float) for k in FEATURES}, got["quality"].to_numpy() == 0, got["doc_id"].to_numpy())
 
 
+RESULTS = [*MEASURES, "base_failed", "rule", "kept"]
+
+
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """docs with MEASURES, base_failed, rule (number of the rule that rejects, or null) and kept; columns of those names are replaced.
 
-    Null and empty texts have no words, so they fail the base test.
+    Null and empty texts have no words, so they fail the base test. No rows: no rows.
     """
-    out = docs.withColumn("_m", measures(F.col(text_col)))
-    for m in MEASURES:
-        out = out.withColumn(m, F.col(f"_m.{m}"))
-    out = out.drop("_m").withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    return out.withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    (m,) = fresh(docs, "measures")
+    out, own = docs.withColumn(m, measures(F.col(text_col))), F.col(m)
+    rule = rejected_by(rules, own)
+    return out.select(*others(docs, RESULTS), *[own[k].alias(k) for k in MEASURES], base_failed(own).alias("base_failed"), rule.alias("rule"), (~base_failed(own) & rule.isNull()).alias("kept"))
+
+
+def passing(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of docs that neither the base test nor a rule rejects, with docs' own columns, whatever their names."""
+    (m,) = fresh(docs, "measures")
+    out = docs.withColumn(m, measures(F.col(text_col)))
+    return out.where(~base_failed(F.col(m)) & rejected_by(rules, F.col(m)).isNull()).drop(m)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
