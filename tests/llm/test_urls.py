@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tidewell.llm import urls
 
 SCHEMA = "page_id long, url string, html string, trust string"
@@ -30,17 +32,48 @@ def test_distrust_flows_against_links(spark):
     assert out[4]["trust"] > 0 and out[2]["distrust"] > 0
 
 
-def test_rank_matches_a_plain_model(spark):
-    edges = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 2), ("d", "a", 1)]
-    seeds = {"a": 0.5, "d": 0.5}
+def plain_rank(edges, seeds):
     mass = dict(seeds)
-    for _ in range(urls.ROUNDS):
+    for _ in range(300):
         new = {h: 0.15 * s for h, s in seeds.items()}
         for a, b, w in edges:
             new[b] = new.get(b, 0) + 0.85 * mass.get(a, 0) * w / sum(x for p, _, x in edges if p == a)
         mass = new
-    got = {r["host"]: r["mass"] for r in urls.propagate(spark.createDataFrame(edges, "a string, b string, w long"), spark.createDataFrame(list(seeds.items()), "host string, seed double")).collect()}
-    assert got.keys() == mass.keys() and all(abs(got[h] - mass[h]) < 1e-12 for h in mass)
+    return {h: m for h, m in mass.items() if m > 0}
+
+
+def ranked(spark, flows):
+    links = spark.createDataFrame([(f, *e) for f, (edges, _) in flows.items() for e in edges], "flow string, a string, b string, w long")
+    seeds = spark.createDataFrame([(f, h, s) for f, (_, seeds) in flows.items() for h, s in seeds.items()], "flow string, host string, seed double")
+    return {(r["flow"], r["host"]): r["mass"] for r in urls.propagate(links, seeds).collect()}
+
+
+def test_ranks_match_a_plain_model(spark):
+    """Two flows at once; one is a chain far longer than the rounds of one save."""
+    ring = [("a", "b", 1), ("a", "c", 3), ("b", "c", 1), ("c", "a", 2), ("d", "a", 1)]
+    flows = {"ring": (ring, {"a": 0.5, "d": 0.5}), "chain": ([(f"h{k}", f"h{k + 1}", 1) for k in range(23)], {"h0": 1.0})}
+    got = ranked(spark, flows)
+    want = {(f, h): m for f, (edges, seeds) in flows.items() for h, m in plain_rank(edges, seeds).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_rounds_that_never_settle(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_ROUNDS", 5)
+    with pytest.raises(RuntimeError):
+        ranked(spark, {"ring": ([("a", "b", 1), ("b", "a", 1)], {"a": 1.0})})
+
+
+def test_columns_that_clash(spark):
+    rows = spark.createDataFrame([(1, URLS[3], None, "mine", "mine", "mine", "mine")], SCHEMA + ", _said string, rule_verdict string, flow_host string")
+    row = urls.judge(rows).first()
+    assert (row["_said"], row["rule_verdict"], row["flow_host"], row["trust"], row["verdict"]) == ("mine", "mine", "mine", 0.0, "block")
+
+
+def test_repeated_and_long_rows(spark):
+    long = "http://a.net/" + "x" * 200_000
+    rows = [(1, "http://bad.com/de/1", "", "t")] * 3 + [(2, long, '<a href="http://bad.com/">' * 20_000, "t")] * 2
+    out = urls.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in out) == [(1, "block")] * 3 + [(2, "block")] * 2 and {len(r["path"]) for r in out if r["page_id"] == 2} == {200_001}
 
 
 def test_no_rows(spark):
