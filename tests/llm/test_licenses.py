@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import licenses
 
@@ -49,3 +50,5 @@ def test_odd_rows(odd, empty):
     rows = licenses.scanned(odd).collect()
     assert len(rows) == 9 and all(0 <= r["score"] <= 1 and r["n_words"] == slow(r["text"])[0] for r in rows)
     assert licenses.scanned(empty).count() == 0
+    clash = odd.select("*", *[F.lit("mine").alias(c) for c in ("labels", "Score", "scan", "_l")])
+    assert licenses.scanned(clash).columns == [*odd.columns, "scan", "_l", *licenses.FIELDS]

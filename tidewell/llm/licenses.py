@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, others, parts_of, table
 
 #: The phrases that the contract fixes, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -165,8 +165,8 @@ FIELDS = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(),
 def scans(col: Column) -> Column:
     @F.arrow_udf("struct<n_words: long, n_base: long, first_word: long, last_word: long, base_labels: string, labels: string, score: double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = [scan(t.as_py()) for t in batch]
+        for part in parts_of(batches):
+            rows = [scan(t.as_py()) for t in part]
             cols = list(zip(*rows)) if rows else [()] * len(FIELDS)
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, FIELDS.values())], list(FIELDS))
 
@@ -174,11 +174,12 @@ def scans(col: Column) -> Column:
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with FIELDS; columns of those names are replaced."""
-    out = docs.withColumn("_l", scans(F.col(text_col)))
-    for name in FIELDS:
-        out = out.withColumn(name, F.col(f"_l.{name}"))
-    return out.drop("_l")
+    """docs with FIELDS; columns of those names are replaced. Texts are read whole, however long. Rows are scanned one by one, so repeated rows are alike; no rows: no rows.
+
+    Places of different phrases may overlap and all count; of `or` sides that are equally open the one whose labels come last is taken.
+    """
+    (own,) = fresh(docs, "scan")
+    return docs.withColumn(own, scans(F.col(text_col))).select(*others(docs, FIELDS), *[F.col(own)[name].alias(name) for name in FIELDS])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
