@@ -33,7 +33,8 @@ def examples(turns: DataFrame) -> DataFrame:
 
     loss_start counts code points from 0; loss_chars 0 and loss_start null: nothing is trainable. Turns go by turn, nulls first, then role and text, so that
     repeated turn numbers have one order. Null roles and texts are empty. Null conv_ids are one conversation. A conversation is one row on the way, as its
-    hash over all turns asks for.
+    hash over all turns asks for. Texts and conversations of any length are written whole; repeated rows are turns of their own; columns but the four named
+    play no part; no rows: no rows.
     """
     clean = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     own = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("ts"))

@@ -230,7 +230,8 @@ def scored(docs: DataFrame, model: bytes, held_out: Column, id_col: str = "doc_i
     """(id, held_out, n_tokens, n_known, train_tokens, vocabulary, base_score, score) for each row of docs, trained on those not held out.
 
     Null and empty texts consist of one end. Without training rows every count is 0, N and V are 0, and the pieces keep the vocabulary's weights.
-    Rows with equal ids each keep a row and each count in training.
+    Rows with equal ids, and equal rows, each keep a row and each count in training. Texts and words of any length are scored whole, in time that grows with their length.
+    Other columns of docs play no part. No rows: no rows.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))

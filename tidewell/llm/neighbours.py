@@ -93,7 +93,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     """(query_id, rank, vec_id, score): the k nearest found for each row where is_query holds, among all other rows.
 
     Rows take no part whose vector is null, zero or empty, holds nulls or non-finite numbers, or is not of the most frequent length (of equal ones, the
-    shorter). Ties go to the smaller id. Nor do rows with a null id, which no result could name. Rows with equal ids are each a candidate, and each a query. No rows: no rows.
+    shorter). Ties go to the smaller id. Nor do rows with a null id, which no result could name. Rows with equal ids, and equal rows, are each a candidate, and each a query.
+    Vectors may be of any length; other columns play no part. No rows: no rows.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
