@@ -506,14 +506,10 @@ def encode(col: Column, model: bytes) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(model)
         for batch in batches:
-            offsets, ids, same = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], []
             for texts in chunks(batch):
-                o, i, same_as = encoder.encode(texts)
-                same += same_as.tolist()
-                offsets.append(o[1:] + offsets[-1][-1])
-                ids.append(i)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+                offsets, ids, same = encoder.encode(texts)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
+                yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
     return run(col)
 
