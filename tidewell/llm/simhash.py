@@ -19,41 +19,49 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import dropped, fresh, parts_of, saved, table
 
 BITS, SEGMENTS = 4, 8
 WIDTH = 64 // SEGMENTS
 BUDGET = [length * BITS // SEGMENTS for length in range(1, SEGMENTS + 1)]
 
 
+def shingles(text: str | None, words_per_shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a text, A-Z lower-cased, joined by blanks, and where its shingles start and stop; fewer words than a shingle are one, no words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return b"", [], []
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    stops = ends[min(words_per_shingle, len(words)) - 1 :].tolist()
+    return b" ".join(words), [0, *(ends[: len(stops) - 1] + 1).tolist()], stops
+
+
 def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
     """Signed 64-bit SimHash of a whole text; 0 for a text without words.
 
     Texts of fewer words than a shingle count as one shingle. A bit is 1 if more than half of the shingles' XXH64
     hashes (seed 42, repeats counted) have it.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    return print_of(*shingles(text, words_per_shingle))
+
+
+def print_of(joined: bytes, starts: list[int], stops: list[int]) -> int:
+    if not stops:
         return 0
-    n = max(1, len(words) - words_per_shingle + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[min(words_per_shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(stops), 4096):
         part = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[at : at + 4096], stops[at : at + 4096])), dtype="<u8")
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(ones * 2 > len(stops), bitorder="little").view("<i8")[0])
 
 
 def fingerprint_col(col, words_per_shingle: int = 4):
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([fingerprint(t.as_py(), words_per_shingle) for t in batch], pa.int64())
+        for part in parts_of(batches):
+            yield pa.array([fingerprint(t.as_py(), words_per_shingle) for t in part], pa.int64())
 
     return run(col)
 
@@ -90,8 +98,12 @@ def _chain_ok(diffs):
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints in column fp that differ in at most BITS bits."""
-    keyed = prints.select("fp", F.posexplode(F.array(*[_key(F.col("fp"), m) for m in TABLES])).alias("t", "key"))
+    """Pairs (a, b), a < b, of the distinct fingerprints in column fp that differ in at most BITS bits.
+
+    Fingerprints are few bytes and become many keys, so they are dealt out to all tasks first.
+    """
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = prints.select("fp").repartition(tasks, "fp").select("fp", F.posexplode(F.array(*[_key(F.col("fp"), m) for m in TABLES])).alias("t", "key"))
     a, b = keyed.select("t", "key", F.col("fp").alias("a")), keyed.select("t", "key", F.col("fp").alias("b"))
     pairs = a.join(b, ["t", "key"]).where("a < b").withColumn("x", F.col("a").bitwiseXOR(F.col("b")))
     diffs = [F.bit_count(F.col("x").bitwiseAND(F.lit(_segment_mask(s)).cast("long"))) for s in range(SEGMENTS)]
@@ -110,15 +122,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))  # as a table, so that a hub's edges can be split in the join
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = saved(large)
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("p"), F.col("m").alias("q")), F.struct(F.col("v").alias("p"), F.col("m").alias("q")))).alias("e"))
-        edges = saved(small.select(F.col("e.p").alias("u"), F.col("e.q").alias("v")).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("p"), F.col("m").alias("q")), F.struct(F.col("v").alias("p"), F.col("m").alias("q")))).alias("e"))
+        now = saved(small.select(F.col("e.p").alias("u"), F.col("e.q").alias("v")).where("u <> v").distinct())
+        dropped(edges, least, large, low)
+        edges, after = now, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if after == before:
             break
-        before = now
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
@@ -128,7 +140,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs' ids with `fp` (long) and `component_id`, the smallest id among all documents linked over fingerprints.
 
     Null and empty texts, and texts of white space only, have fingerprint 0 and are linked like any other. Rows with equal ids
-    each keep a row. Null ids: the group's smallest id that is not null, null if there is none. No rows: no rows.
+    each keep a row. Null ids: the group's smallest id that is not null, null if there is none. Texts are read whole, however long; other columns play no part. No rows: no rows.
     Equal fingerprints are merged before the search, so a group of copies costs as much as one document.
     """
     own = saved(docs.select(F.col(id_col).alias("id"), fingerprint_col(F.col(text_col), words_per_shingle).alias("fp")))
@@ -146,22 +158,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: near_dedup(): shingles at the head of a set used by the first linking round, sampled texts and occurrences there that make a shingle frequent, frequent
-#: shingles in the order at most, and the keys that may be broadcast. All but the last only steer the work; the result doesn't depend on them.
-HEAD, SAMPLE, FREQUENT, MOST_FREQUENT, SMALL = 8, 20_000, 5, 100_000, 500_000
+#: near_dedup(): every n-th text is looked at for frequent shingles, of which so many at most go last in the order; the rounds of likely copies, and
+#: the part of these that must be copies for another round; the keys that may be broadcast. They only steer the work; the result doesn't depend on them.
+EVERY, MOST_FREQUENT, ROUNDS, FEW, SMALL = 8, 1_000_000, 6, 20, 500_000
 #: Slack of the candidate filters, so that rounding never loses a pair.
 SLACK = 1e-6
 
 
 def shingle_set(text: str | None, words_per_shingle: int) -> np.ndarray:
     """The distinct 32-bit hashes of a text's shingles, sorted; two texts of a thousand words share one by chance once in four thousand times."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.int32)
-    joined, digest = b" ".join(words), xxhash.xxh32_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    stops = ends[min(words_per_shingle, len(words)) - 1 :].tolist()
-    starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
+    return set_of(*shingles(text, words_per_shingle))
+
+
+def set_of(joined: bytes, starts: list[int], stops: list[int]) -> np.ndarray:
+    digest = xxhash.xxh32_intdigest
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), dtype="<u4", count=len(stops)).view("<i4"))
 
 
@@ -175,16 +185,16 @@ def shingle_hashes(col, words_per_shingle: int):
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield _lists([shingle_set(t.as_py(), words_per_shingle) for t in batch])
+        for part in parts_of(batches):
+            yield _lists([shingle_set(t.as_py(), words_per_shingle) for t in part])
 
     return run(col)
 
 
-def prefix_of(s: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def prefix_of(s: np.ndarray, similarity: float, frequent: np.ndarray, step: np.ndarray) -> np.ndarray:
     """The head of a set of shingles that two sets of that similarity must both have a shingle in; 0 for an empty set, so that empty sets meet.
 
-    All sets are put in one order: shingles that aren't frequent by hash, then the sorted `frequent` ones by rank. If sets of n and m shingles share
+    All sets are put in one order: shingles that aren't frequent by hash, then the sorted `frequent` ones by step. If sets of n and m shingles share
     at least similarity * n and similarity * m, then the first shared one stands among the first n - ceil(similarity * n) + 1, and likewise for m.
     """
     if not len(s):
@@ -192,42 +202,57 @@ def prefix_of(s: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.n
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         known = frequent[at] == s
-        s = np.concatenate((s[~known], s[known][np.argsort(rank[at[known]], kind="stable")]))
+        s = np.concatenate((s[~known], s[known][np.argsort(step[at[known]], kind="stable")]))
     return s[: len(s) - math.ceil(similarity * len(s) - SLACK) + 1]
 
 
-def prefixes(col, words_per_shingle: int, similarity: float, frequent: np.ndarray, rank: np.ndarray):
-    """struct<size, prefix>: the number of a text's distinct shingles and prefix_of() them."""
+def heads(col, words_per_shingle: int, similarity: float, frequent: np.ndarray, step: np.ndarray):
+    """struct<fp, size, prefix>: a text's fingerprint, the number of its distinct shingles and prefix_of() them."""
 
-    @F.arrow_udf("struct<size: int, prefix: array<int>>")
+    @F.arrow_udf("struct<fp: long, size: int, prefix: array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), words_per_shingle) for t in batch]
-            heads = _lists([prefix_of(s, similarity, frequent, rank) for s in sets])
-            yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), heads], ["size", "prefix"])
+        for part in parts_of(batches):
+            prints, sizes, prefixes = [], [], []
+            for text in part:
+                found = shingles(text.as_py(), words_per_shingle)
+                own = set_of(*found)
+                prints.append(print_of(*found))
+                sizes.append(len(own))
+                prefixes.append(prefix_of(own, similarity, frequent, step).copy())
+            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(prefixes)], ["fp", "size", "prefix"])
 
     return run(col)
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, rank) of the shingles that are frequent in a sample of the distinct texts. They only go last in the order, so a miss costs time and no pair."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(every)) == 0).select(text_col).distinct()
-    counts = some.select(F.explode(shingle_hashes(F.col(text_col), words_per_shingle)).alias("s")).groupBy("s").agg(F.count("*").alias("c"))
-    top = counts.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).collect()
-    hashes, rank = np.array([r["s"] for r in top], dtype=np.int32), np.arange(len(top), 0, -1)
+    """(sorted hashes, step of their number) of shingles that several of every EVERY-th text hold. They only go last in the order, so a miss costs time and no pair.
+
+    A histogram of the steps, a few hundred rows, tells first from which on there are MOST_FREQUENT at most; no others reach the driver.
+    """
+    some = docs.select(F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text")).where(F.pmod("hash", F.lit(EVERY)) == 0).dropDuplicates(["hash"])
+    counts = some.select(F.explode(shingle_hashes(F.col("text"), words_per_shingle)).alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    counts = saved(counts.select("s", F.floor(F.log2("c") * 8).cast("int").alias("step")))
+    least, total = None, 0
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        total += row["count"]
+        if total > MOST_FREQUENT:
+            break
+        least = row["step"]
+    top = counts.where(F.col("step") >= (1 << 30 if least is None else least)).toArrow()
+    dropped(counts)
+    hashes, step = top["s"].to_numpy(), top["step"].to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], rank[order]
+    return hashes[order], step[order]
 
 
-def _filtered(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """docs joined on _k with a table of keys; it is broadcast if it is small, which is counted first."""
-    return docs.join(F.broadcast(keys) if keys.count() <= SMALL else keys, "_k", how)
+def _filtered(docs: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """docs joined on a column with a table of keys; it is broadcast if it is small, which is counted first."""
+    return docs.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, how)
 
 
-def meetings(heads: DataFrame) -> DataFrame:
-    """(token, node, n, size, i) of the prefixes in (node, n, size, prefix), for tokens of more than one row."""
-    each = heads.select("node", "n", "size", F.posexplode("prefix").alias("i", "token"))
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(token, node, size, i) of the prefixes in (node, size, prefix), for tokens of more than one row."""
+    each = nodes.select("node", "size", F.posexplode("prefix").alias("i", "token"))
     return each.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
 
 
@@ -235,74 +260,118 @@ def _sizes_fit(a, b, similarity: float):
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(SLACK)
 
 
-def likely_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """(node, other): for each node one likely copy, of the first nodes and those just before it under the first HEAD tokens.
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, other): each node of (node, fp) with the least node among the fingerprints that links() connects to its own, itself left out."""
+    prints = saved(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    roots = components(links(prints.select("fp")))
+    rooted = saved(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("other"))
+    found = rooted.join(least, "root").select(F.col("fp").alias("f"), "other")
+    return nodes.join(found, nodes["fp"] == found["f"]).where("node <> other").select("node", "other")
+
+
+def _parted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """met with the part of each node, which is its root in (node, root) or itself."""
+    return met.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+
+
+def likely_pairs(met: DataFrame, roots: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(node, other): for each node at most one likely copy out of another part.
 
-    A shortcut: what these link makes large groups of near copies one part before across_pairs() takes all pairs between parts.
+    A shortcut: what these link makes large groups of near copies one part before across_pairs() takes all pairs between parts. Under each token of its prefix
+    a node meets two nodes of the largest part there, others in every turn; the one it meets most often, and three times at least, is taken.
     """
-    w = Window.partitionBy("token").orderBy(F.desc("n"), F.desc("size"), "node")
-    me = F.struct("node", "size")
-    met = met.where(F.col("i") < HEAD).select("node", "size", F.array(F.first(me).over(w), F.lag(me).over(w)).alias("o"))
-    each = met.select("node", "size", F.explode(F.array_distinct(F.array_compact("o"))).alias("o")).where("o.node <> node").where(_sizes_fit(F.col("size"), F.col("o.size"), similarity))
-    counts = each.groupBy("node", F.col("o.node").alias("other")).agg(F.count("*").alias("c"))
+    weight = roots.groupBy(F.col("root").alias("part")).agg(F.count("*").alias("weight"))
+    own = _parted(met, roots).join(weight, "part", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    own = saved(own.select("token", "node", "size", F.struct("weight", "part", F.xxhash64("node", F.lit(turn)).alias("place"), "node", "size").alias("me")))
+    hubs = own.groupBy("token").agg(F.array(F.max("me"), F.min(F.struct((-F.col("me.weight")).alias("weight"), "me.part", "me.place", "me.node", "me.size"))).alias("hubs"))
+    each = own.join(hubs, "token").select("node", "size", F.col("me.part").alias("part"), F.explode("hubs").alias("o")).where("o.part <> part").where(_sizes_fit(F.col("size"), F.col("o.size"), similarity))
+    counts = each.groupBy("node", F.col("o.node").alias("other")).agg(F.count("*").alias("c")).where("c > 2")
     return counts.groupBy("node").agg(F.max(F.struct("c", "other")).alias("p")).select("node", "p.other")
 
 
 def across_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(node, other): all pairs that share a token of their prefixes and may reach the similarity, but those that roots (node, root) has linked already.
 
-    Sizes must fit, and what stands behind the token in both sets must be able to make up the shared part; for the first shared token that is always so.
-    Nodes of one part under a token stay one row until they meet another part, so a group of copies costs no pairs among itself.
+    Sizes must fit, and what stands from the first shared token on in both sets must be able to make up the shared part; so must the tokens that the two prefixes share
+    and all that stand behind the prefix that ends first.
+    Nodes of one part under a token are one row until it meets another part, so a group of copies costs no pairs among itself.
     """
-    parts = met.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("part"), F.struct("node", "size", "i").alias("m"))
-    parts = parts.repartition("token").groupBy("token", "part").agg(F.min("m.size").alias("lo"), F.max("m.size").alias("hi"), F.collect_list("m").alias("ms"))
-    parts = saved(parts.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c"))
-    a, b = (parts.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "lo", "hi", "ms")]) for side in "ab")
+    own = saved(_parted(met, roots))
+    several = own.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("token")
+    own = saved(own.join(several, "token"))
+    parts = saved(own.groupBy("token", "part").agg(F.min("size").alias("lo"), F.max("size").alias("hi")))
+    a, b = (parts.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "lo", "hi")]) for side in "ab")
     low = F.lit(similarity)
     both = a.join(b, "token").where("part_a < part_b").where((F.col("hi_a") >= F.col("lo_b") * low - F.lit(SLACK)) & (F.col("hi_b") >= F.col("lo_a") * low - F.lit(SLACK)))
-    each = both.select(F.explode("ms_a").alias("a"), "ms_b").select("a", F.explode("ms_b").alias("b")).where(_sizes_fit(F.col("a.size"), F.col("b.size"), similarity))
-    most = F.least(F.col("a.size") - F.col("a.i"), F.col("b.size") - F.col("b.i"))
-    needed = (F.col("a.size") + F.col("b.size")) * F.lit(similarity / (1 + similarity)) - F.lit(SLACK)
-    return each.where(most >= needed).select(F.col("a.node").alias("node"), F.col("b.node").alias("other")).distinct()
+    one, other = (own.select("token", F.col("part").alias(f"part_{side}"), F.struct("node", "size", "i").alias(side)) for side in "ab")
+    each = both.select("token", "part_a", "part_b").join(one, ["token", "part_a"]).join(other, ["token", "part_b"]).where(_sizes_fit(F.col("a.size"), F.col("b.size"), similarity))
+    each = each.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+    pairs = each.agg(F.count("*").alias("c"), F.max("a.size").alias("m"), F.max("b.size").alias("n"), F.min("a.i").alias("i"), F.min("b.i").alias("j"))
+    needed = (F.col("m") + F.col("n")) * F.lit(similarity / (1 + similarity)) - F.lit(SLACK)
+    first, behind = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")), F.ceil(F.greatest("m", "n") * low - F.lit(SLACK)) - 1
+    return pairs.where(((first >= needed) & (F.col("c") + behind >= needed)) | (F.col("m") + F.col("n") == 0)).select("node", "other")
+
+
+def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root) after the links (a, b) have joined parts of (node, root)."""
+    left, right = (roots.select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root")) for side in "ab")
+    ends = found.join(left, found["a"] == left["a_node"], "left").join(right, found["b"] == right["b_node"], "left")
+    joined = components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    new = joined.select(F.col("node").alias("old"), F.col("root").alias("now"))
+    moved = roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("now", "root").alias("root"))
+    return saved(moved.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of copies: the one of smallest id, null ids last.
+    """docs with one document of each group of copies: the one of smallest id, null ids last. Columns are docs' own, whatever their names.
 
-    Copies are equal texts, and texts whose sets of shingles have a Jaccard similarity of at least `similarity`; groups are what such links connect. The search is
-    exact: every such pair of texts shares a shingle of their prefixes, and all pairs that do are checked unless they are in one group already.
-    Null and empty texts are copies of each other. Of equal rows one stays. No rows: no rows.
+    Copies are equal texts, and texts whose sets of shingles have a Jaccard similarity of at least `similarity`; groups are what such links connect. Fingerprints
+    that links() connects give the first pairs to check. At that similarity fingerprints may differ in far more bits than it finds, so all other pairs are found by an
+    exact search over sets: every such pair of texts shares a shingle of their prefixes, and all pairs that do are checked unless they are in one group already.
+    Null and empty texts, and others without words, are copies of each other. Of equal rows one stays. Texts are read whole, however long. No rows: no rows.
     """
-    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col)))
+    (key,) = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    frequent, rank = frequent_shingles(docs, text_col, words_per_shingle)
-    rows = saved(
-        keyed.select("_k", F.col(id_col).alias("id"), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), F.length(text).alias("h3")).alias("copy"), prefixes(F.col(text_col), words_per_shingle, similarity, frequent, rank).alias("p"))
-    )
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("_k"))
-    nodes = saved(rows.groupBy("copy").agg(F.min(order).alias("o"), F.count("*").alias("n")).select(F.col("o._k").alias("node"), "o", "n"))
-    times = saved(rows.groupBy("_k").agg(F.count("*").alias("times")).where("times > 1"))
+    frequent, step = frequent_shingles(docs, text_col, words_per_shingle)
+    copy = F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), F.length(text).alias("h3"))
+    rows = saved(keyed.select(F.col(key).alias("row"), F.col(id_col).alias("id"), copy.alias("copy"), heads(F.col(text_col), words_per_shingle, similarity, frequent, step).alias("p")))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
+    nodes = saved(rows.groupBy("copy").agg(F.min(order).alias("o")).select(F.col("o.row").alias("node"), "o"))
+    times = saved(rows.groupBy("row").agg(F.count("*").alias("times")).where("times > 1"))
+
+    own = _filtered(rows.select(F.col("row").alias("node"), "p.*"), nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    met = saved(meetings(own.select("node", "size", "prefix")))
+    often = times.select(F.col("row").alias(key)) if not times.isEmpty() else None
 
     def checked(pairs: DataFrame) -> DataFrame:
-        wanted = saved(pairs.select(F.col("node").alias("_k")).union(pairs.select("other")).distinct())
-        texts = _filtered(keyed.select("_k", text_col), wanted, "inner")
-        if not times.isEmpty():  # equal rows
-            texts = _filtered(texts, times.select("_k"), "left_anti").unionByName(_filtered(texts, times.select("_k"), "left_semi").dropDuplicates(["_k"]))
-        sets = saved(texts.select(F.col("_k").alias("of"), shingle_hashes(F.col(text_col), words_per_shingle).alias("s")))
+        wanted = saved(pairs.select(F.col("node").alias(key)).union(pairs.select("other")).distinct())
+        texts = _filtered(keyed.select(key, text_col), wanted, key, "left_semi")
+        if often is not None:  # equal rows
+            texts = _filtered(texts, often, key, "left_anti").unionByName(_filtered(texts, often, key, "left_semi").dropDuplicates([key]))
+        sets = saved(texts.select(F.col(key).alias("of"), shingle_hashes(F.col(text_col), words_per_shingle).alias("s")))
         a, b = sets.select(F.col("of").alias("node"), F.col("s").alias("sa")), sets.select(F.col("of").alias("other"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         found = pairs.join(a, "node").join(b, "other").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
-        return saved(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-
-    met = saved(meetings(_filtered(rows.select("_k", "p.size", "p.prefix"), nodes.select(F.col("node").alias("_k"), "n"), "inner").withColumnRenamed("_k", "node")))
-    likely = checked(saved(likely_pairs(met, similarity)))
-    across = checked(saved(across_pairs(met, saved(components(likely)), similarity)))
-    roots = components(likely.union(across))
-    grouped = saved(nodes.select("node", "o").join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root")))
-    stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._k").alias("_k")))
-    gone = saved(rows.select("_k").distinct().join(stay, "_k", "left_anti"))
-    often = saved(times.select("_k").join(stay, "_k", "left_semi"))
-    out = _filtered(keyed, gone, "left_anti")
+        found = saved(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+        dropped(wanted, sets)
+        return found
+
+    roots = saved(components(checked(saved(print_pairs(own.select("node", "fp"))))))
+    for turn in range(ROUNDS):
+        pairs = saved(likely_pairs(met, roots, similarity, turn))
+        found = checked(pairs)
+        roots = merged(roots, found)
+        if found.count() * FEW <= pairs.count():
+            break
+    roots = merged(roots, checked(saved(across_pairs(met, roots, similarity))))
+    dropped(met)
+    grouped = saved(nodes.join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root")))
+    stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias(key)))
+    gone = saved(rows.select(F.col("row").alias(key)).distinct().join(stay, key, "left_anti"))
+    often = saved(times.select(F.col("row").alias(key)).join(stay, key, "left_semi"))
+    out = _filtered(keyed, gone, key, "left_anti")
     if not often.isEmpty():
-        out = _filtered(out, often, "left_anti").unionByName(_filtered(keyed, often, "left_semi").dropDuplicates(["_k"]))
-    return out.drop("_k")
+        out = _filtered(out, often, key, "left_anti").unionByName(_filtered(keyed, often, key, "left_semi").dropDuplicates([key]))
+    return out.drop(key)
