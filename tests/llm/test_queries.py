@@ -14,9 +14,12 @@ import test_licenses  # noqa: E402
 import test_lm  # noqa: E402
 import test_mixing  # noqa: E402
 import test_pii  # noqa: E402
+import test_preference  # noqa: E402
 import test_quality  # noqa: E402
 import test_simhash  # noqa: E402
+import test_spelling  # noqa: E402
 import test_urls  # noqa: E402
+import test_whitening  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from tidewell.llm import spm  # noqa: E402
@@ -40,7 +43,7 @@ def rows(spark):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_op1(rows, docs):
@@ -132,3 +135,24 @@ def test_op10(rows, docs):
     prints = {i: test_simhash.slow_print(t) for i, t in docs.items()}
     want = test_simhash.components(sorted(prints), [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4])
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows("op10_simhash")} == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
+
+
+def test_op11(rows):
+    test_whitening.compare(table("embeddings", "vec_id, embedding"), rows("op11_whitening"))
+
+
+def test_op12(rows, docs):
+    want = test_spelling.plain(list(docs.items()))
+    assert {r["word"]: tuple(r[c] for c in test_spelling.COLUMNS[1:]) for r in rows("op12_spelling")} == want and want
+
+
+def test_op13(spark, docs):
+    """At the scale where enough documents are labelled: the held-out fold is told apart."""
+    data = "/root/testdata/sf0.1"
+    quality = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{data}/labels.parquet'").fetchall())
+    got = entry.queries()["op13_preference"](spark, data).collect()
+    assert len(got) == duckdb.sql(f"SELECT count(*) FROM '{data}/documents.parquet'").fetchall()[0][0]
+    assert all(r["held_out"] == test_preference.held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    told = [(r["predicted"], quality[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in quality]
+    for label in (0, 1):
+        assert np.mean([p == q for p, q in told if q == label]) >= 0.95

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, lm, mixing, neighbours, pii, quality, simhash, spm, urls
+from . import chat, licenses, lm, mixing, neighbours, pii, preference, quality, simhash, spelling, spm, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": spm.op1,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8,
     "op9_urls": urls.op9,
     "op10_simhash": simhash.op10,
+    "op11_whitening": whitening.op11,
+    "op12_spelling": spelling.op12,
+    "op13_preference": preference.op13,
 }
 ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE}
