@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.operators import greedy
+from tidewell.operators import greedy, merging
 from tidewell.params import Params
 
 WORDS = ["olympics", "gold", "swim", "market", "stock", "storm", "election", "vote", "iran", "talks"]
@@ -99,7 +99,7 @@ def test_grouped_map_runs_each_edition_alone(spark):
     df = spark.createDataFrame(rows, "edition long, id string, title string, description string, content string, published_at long, ord long")
     out = greedy.preclustered(df, Params()).collect()
     assert len(out) == 6 and all({i.split("-")[0] for i in r["article_ids"]} == {str(r["edition"])} for r in out)
-    kept = greedy.merged_by_title(greedy.preclustered(df), df).select(F.explode("article_ids").alias("i")).distinct().count()
+    kept = merging.merged_by_title(greedy.preclustered(df)).select(F.explode("article_ids").alias("i")).distinct().count()
     assert kept == 18
 
 
@@ -169,3 +169,22 @@ def test_groups_of_a_model():
     clusters = [("one", ["1"]), ("two", ["2"]), ("third one", ["3", "1"]), ("four", ["4"])]
     assert greedy.grouped(clusters, lambda c: [[2, 0, 9], [0, 1], [-1]]) == [("third one", ["1", "3"]), ("two", ["2"]), ("four", ["4"])]
     assert greedy.grouped(clusters, lambda c: 1 / 0) == clusters
+
+
+def test_splitting_cluster_by_cluster(spark):
+    """As split_all does one after the other; ids without an article stay only in clusters that don't fall apart."""
+    rows = [{**article(k, " ".join(WORDS[(k % 3) * 3 : (k % 3) * 3 + 3])), "edition": 0} for k in range(12)]
+    clusters = [("mixed", [r["id"] for r in rows]), ("like", ["a0", "a3", "a6"]), ("gone", ["x", "y"]), ("single", ["a1"]), ("none", [])]
+    df = spark.createDataFrame([(0, 2 * k, t, i) for k, (t, i) in enumerate(clusters)], greedy.CLUSTERS)
+    articles = spark.createDataFrame([tuple(r[c] for c in ["edition", *greedy.ARTICLE]) for r in rows], "edition long, id string, title string, description string, content string, published_at long, ord long")
+    got = sorted(greedy.coherent(df, articles, Params()).collect(), key=lambda r: r["cluster_key"])
+    assert [(r["cluster_title"], r["article_ids"]) for r in got] == greedy.split_all(clusters, rows, Params())
+
+
+def test_chunks_of_long_seeds_in_spark(spark):
+    rows = [article(k, "x") for k in range(80)]
+    seeds = [("t", [f"a{k}" for k in range(79, -1, -1)]), ("u", ["a1", "a0"]), ("v", [f"a{k}" for k in range(28)] * 2)]
+    df = spark.createDataFrame([(4, k, t, i) for k, (t, i) in enumerate(seeds)], greedy.CLUSTERS)
+    articles = spark.createDataFrame([(4, r["id"], r["ord"]) for r in rows], "edition long, id string, ord long")
+    got = sorted(merging.chunked(df, articles).collect(), key=lambda r: r["cluster_key"])
+    assert [(r["cluster_title"], r["article_ids"]) for r in got] == greedy.chunked(seeds, rows, Params())

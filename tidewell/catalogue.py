@@ -11,7 +11,7 @@ from . import dims
 from .dims import STOPWORDS
 from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, as_of, clusters, members, table
 from .functions import digest, entities, hashing, images, text, times, titles, topics, urls
-from .operators import enrich, greedy, ingest, ranking, state, stories, tfidf
+from .operators import enrich, greedy, ingest, merging, ranking, state, stories, tfidf
 from .operators import topics as topic_ops
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,17 +721,17 @@ def seeds(spark, sf_dir):
 
 @query("merge_overlap")
 def merge_overlap(spark, sf_dir):
-    return greedy.merged_by_overlap(seeds(spark, sf_dir), timed(editions(spark, sf_dir)))
+    return merging.merged_by_overlap(seeds(spark, sf_dir))
 
 
 @query("merge_title")
 def merge_title(spark, sf_dir):
-    return greedy.merged_by_title(seeds(spark, sf_dir), timed(editions(spark, sf_dir)))
+    return merging.merged_by_title(seeds(spark, sf_dir))
 
 
 @query("merge_entity")
 def merge_entity(spark, sf_dir):
-    return greedy.merged_by_entity(seeds(spark, sf_dir), timed(editions(spark, sf_dir)))
+    return merging.merged_by_entity(seeds(spark, sf_dir), timed(editions(spark, sf_dir)))
 
 
 @query("split_incoherent")

@@ -1,7 +1,7 @@
-"""Passes over clusters whose outcome depends on their order: leader clustering, merges, splitting.
+"""Passes over clusters whose outcome depends on their order, one article or cluster after the other: leader clustering, splitting, a model's part, and the merges.
 
-They are sequential by nature, so each runs within one edition: a batch of bounded size (its limit is Params.news_global_limit). Editions are groups of a
-grouped map and run side by side. A group beyond the bound is refused rather than cut.
+Leader clustering and a model's calls run within one edition: a batch of bounded size (its limit is Params.news_global_limit); splitting runs within one cluster. These are groups of a
+grouped map and run side by side. A group beyond the bound is refused rather than cut. The merges state what `merging` does in rounds of joins, for a few clusters at hand.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..dims import STOPWORDS
 from ..params import Params
@@ -236,18 +237,6 @@ def _apply(clusters: DataFrame, articles: DataFrame, step: Callable[[list, list[
     return clusters.groupBy("edition").cogroup(articles.select("edition", *ARTICLE).groupBy("edition")).applyInPandas(run, CLUSTERS)
 
 
-def merged_by_overlap(clusters: DataFrame, articles: DataFrame, jaccard: float = 0.4) -> DataFrame:
-    return _apply(clusters, articles, lambda c, _: by_overlap(c, jaccard))
-
-
-def merged_by_title(clusters: DataFrame, articles: DataFrame, threshold: float = 0.7) -> DataFrame:
-    return _apply(clusters, articles, lambda c, _: by_title(c, threshold))
-
-
-def merged_by_entity(clusters: DataFrame, articles: DataFrame, p: Params = Params()) -> DataFrame:
-    return _apply(clusters, articles, lambda c, r: by_entity(c, {x["id"]: x for x in r}, p.cluster_entity_min_shared, p.cluster_entity_min_length, p.cluster_entity_min_coherence, p.similarity_sample))
-
-
 def split_all(clusters: list, rows: list[dict], p: Params) -> list:
     """A cluster that falls apart entirely stays as it is, if it is large enough."""
     out = []
@@ -258,7 +247,16 @@ def split_all(clusters: list, rows: list[dict], p: Params) -> list:
 
 
 def coherent(clusters: DataFrame, articles: DataFrame, p: Params = Params()) -> DataFrame:
-    return _apply(clusters, articles, lambda c, r: split_all(c, r, p))
+    """split_all for each cluster, side by side: a group is one cluster's articles. Keys keep the order of clusters and of their parts."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        own = (pdf["cluster_title"].iloc[0] or "", pdf["id"].dropna().tolist())
+        parts = split_all([own], _rows(pdf[pdf["ord"].notna()].drop(columns=["pos", "cluster_title"])), p)
+        return pd.DataFrame([(key[0], (key[1] << 20) + k, t, ids) for k, (t, ids) in enumerate(parts)], columns=["edition", "cluster_key", "cluster_title", "article_ids"])
+
+    each = clusters.select("edition", "cluster_key", "cluster_title", F.posexplode_outer("article_ids").alias("pos", "id")).join(articles.select("edition", *ARTICLE), ["edition", "id"], "left")
+    return each.groupBy("edition", "cluster_key").applyInPandas(run, CLUSTERS)
 
 
 #: A model's part in clustering. Refine: rows of articles to (title, ids) clusters of them. Merge: clusters to groups of their numbers that tell the same story.
@@ -270,16 +268,14 @@ class Limited(Exception):
     """Raised by a model that takes no more calls for now."""
 
 
-def refined(clusters: DataFrame, articles: DataFrame, p: Params = Params(), refine: Refine | None = None, merge: Merge | None = None) -> DataFrame:
-    """All merges and the first split in one pass, so that an edition crosses to Python once. Without a model seeds stay as they are."""
+def asked_of(clusters: DataFrame, articles: DataFrame, p: Params, refine: Refine) -> DataFrame:
+    """What a model makes of an edition's seeds; see asked."""
+    return _apply(clusters, articles, lambda c, r: asked(c, r, p, refine))
 
-    def step(c: list, r: list[dict]) -> list:
-        c = by_title(by_overlap(asked(c, r, p, refine) if refine else chunked(c, r, p), p.cluster_jaccard_merge), p.cluster_title_merge)
-        c = by_entity(c, {x["id"]: x for x in r}, p.cluster_entity_min_shared, p.cluster_entity_min_length, p.cluster_entity_min_coherence, p.similarity_sample)
-        c = by_title(split_all(c, r, p), p.cluster_title_merge)
-        return grouped(c, merge) if merge and p.cluster_llm_merge and len(c) > 1 else c
 
-    return _apply(clusters, articles, step)
+def grouped_by(clusters: DataFrame, articles: DataFrame, merge: Merge) -> DataFrame:
+    """An edition's clusters as a model groups them; see grouped."""
+    return _apply(clusters, articles, lambda c, _: grouped(c, merge) if len(c) > 1 else c)
 
 
 def asked(seeds: list, rows: list[dict], p: Params, refine: Refine) -> list:
@@ -331,11 +327,6 @@ def grouped(clusters: list, merge: Merge) -> list:
     return list(out.values())
 
 
-def settled(clusters: DataFrame, articles: DataFrame, p: Params = Params()) -> DataFrame:
-    """The last split and merge by title."""
-    return _apply(clusters, articles, lambda c, r: by_title(split_all(c, r, p), p.cluster_title_merge))
-
-
 def chunked(clusters: list, rows: list[dict], p: Params) -> list:
     """What a refiner that changes nothing makes of the seeds: each as it is; long ones in overlapping chunks, in the articles' order, with the seed's title."""
     place = {r["id"]: k for k, r in enumerate(rows)}

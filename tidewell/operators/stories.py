@@ -61,9 +61,28 @@ def sharing(sets: DataFrame, value: str, least: int = 1) -> DataFrame:
 
 def jaccards(sets: DataFrame, value: str, least: float = 0.0) -> DataFrame:
     """(a, b, shared, jaccard), a < b, for clusters with a value in common."""
+    if least > 0:
+        return near_sets(sets, value, least)
     sizes = sets.groupBy("cluster_key").agg(F.count("*").alias("size"))
     pairs = sharing(sets, value).join(sizes.select(F.col("cluster_key").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("cluster_key").alias("b"), F.col("size").alias("sb")), "b")
-    return pairs.withColumn("jaccard", F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+    return pairs.withColumn("jaccard", F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).select("a", "b", "shared", "jaccard")
+
+
+def near_sets(sets: DataFrame, value: str, least: float) -> DataFrame:
+    """(a, b, shared, jaccard), a < b, of a similarity of at least `least` > 0, exactly.
+
+    Values have one order, rare ones first. Sets that are so much alike share one of the first of each, as many as may be missing and one more, so that only these meet; frequent values hardly do.
+    """
+    rate = sets.groupBy(value).agg(F.count("*").alias("df"))
+    lists = sets.join(rate, value).groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("df", value))).alias("s"))
+    lists = saved(lists.select("cluster_key", F.transform("s", lambda x: x[value]).alias("s")))
+    head = lists.select("cluster_key", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * least - 1e-9) + 1).cast("int"))).alias("v"))
+    a, b = head.select("v", F.col("cluster_key").alias("a"), F.col("n").alias("na")), head.select("v", F.col("cluster_key").alias("b"), F.col("n").alias("nb"))
+    sized = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    both = pairs.join(lists.select(F.col("cluster_key").alias("a"), F.col("s").alias("sa")), "a").join(lists.select(F.col("cluster_key").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("n"))
+    return both.withColumn("jaccard", F.col("shared") / (F.col("n") - F.col("shared"))).where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
 
 
 def sampled_pairs(pairs: DataFrame, members: DataFrame, sample: int = 20) -> DataFrame:

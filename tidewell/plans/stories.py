@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import set_id
 from ..functions.text import doc_text, headlines
-from ..operators import enrich, greedy, ranking, stories, tfidf
+from ..operators import enrich, greedy, merging, ranking, stories, tfidf
 from ..params import Params
 from ..sources.scratch import saved
 
@@ -51,8 +51,14 @@ def raw_clusters(articles: DataFrame, p: Params = Params(), refine: bool = True,
     seeds = greedy.preclustered(timed, p)
     if not refine:
         return seeds
-    wide = saved(expanded(saved(greedy.refined(seeds, timed, p, model.refine, model.merge)), timed.withColumn("published_at", F.col("at")).drop("at"), p))
-    return greedy.settled(wide, timed, p)
+    told = saved(greedy.asked_of(seeds, timed, p, model.refine) if model.refine else merging.chunked(seeds, timed, p))
+    joined = merging.merged_by_title(saved(merging.merged_by_overlap(told, p.cluster_jaccard_merge)), p.cluster_title_merge)
+    named = saved(merging.merged_by_entity(saved(joined), timed, p))
+    whole = saved(merging.merged_by_title(saved(greedy.coherent(named, timed, p)), p.cluster_title_merge))
+    if model.merge and p.cluster_llm_merge:
+        whole = saved(greedy.grouped_by(whole, timed, model.merge))
+    wide = saved(expanded(whole, timed.withColumn("published_at", F.col("at")).drop("at"), p))
+    return merging.merged_by_title(saved(greedy.coherent(wide, timed, p)), p.cluster_title_merge)
 
 
 def ranked_stories(articles: DataFrame, meta: DataFrame, as_of: Column, p: Params = Params(), model: Model = Model()) -> DataFrame:
