@@ -52,3 +52,12 @@ def test_odd_rows(odd, empty):
     assert licenses.scanned(empty).count() == 0
     clash = odd.select("*", *[F.lit("mine").alias(c) for c in ("labels", "Score", "scan", "_l")])
     assert licenses.scanned(clash).columns == [*odd.columns, "scan", "_l", *licenses.FIELDS]
+
+
+def test_many_tags_are_each_read_once():
+    import time
+
+    one = "SPDX-License-Identifier:mit and "
+    begun = time.monotonic()
+    assert licenses.scan(one * 30_000)[5] == "mit" and time.monotonic() - begun < 10
+    assert set(licenses.scan(one * 3 + "License-Expression: (gpl-2.0 or apache-2.0) with x and")[5].split(",")) == {"mit", "apache"}

@@ -107,3 +107,28 @@ def test_odd_rows(odd, empty, make):
     assert out.columns == clash.columns and {tuple(r[5:]) for r in out.collect()} == {("mine",) * 10}
     assert mixing.taken(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert [r["taken"] for r in mixing.taken(make([(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_equal_rows_are_each_taken_as_often_as_their_words(make):
+    """A third of all rows is one row, another third differs by a column only; a source's words stay within a document of its target."""
+    docs = make([(7, "ten words of one text that many rows here have", "s")] * 300 + [(k, f"other text number {k} with a few words", f"t{k % 2}") for k in range(200)]).withColumn("extra", F.lit(1))
+    docs = docs.unionByName(make([(8, "ten words of one text that many rows here have", "s")] * 150).withColumn("extra", (F.rand(1) * 3).cast("int"))).withColumn("kinds", F.create_map(F.lit("k"), F.col("extra")))
+    want = {r["source"]: r["target"] for r in mixing.taken(docs, block=16).select("source", "target").distinct().collect()}
+    got = mixing.mixed(docs, block=16).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n"), F.count("*").alias("rows")).collect()
+    assert all(abs(r["n"] - want[r["source"]]) <= 0.1 * want[r["source"]] for r in got)
+    own = mixing.placed(docs, block=16, alike=mixing._whole(docs)).where("size > 0").withColumn("times", F.round(F.col("taken") / F.col("size"))).groupBy("source").agg(F.sum("times").alias("rows")).collect()
+    assert {r["source"]: r["rows"] for r in got} == {r["source"]: r["rows"] for r in own}
+    per = {tuple(r[:2]): r["n"] for r in mixing.mixed(docs, block=16).groupBy("doc_id", "extra").agg(F.count("*").alias("n")).collect()}
+    have = {tuple(r[:2]): r["n"] for r in docs.groupBy("doc_id", "extra").agg(F.count("*").alias("n")).collect()}
+    assert all(n <= 2 * have[k] for k, n in per.items())
+
+
+def test_many_sources_share_few_cells(make, monkeypatch):
+    """The schedule is the same however fine its cells are."""
+    sizes = make([(i, "a b c d e", f"s{i % 300:03d}") for i in range(900)]).select("source", mixing.n_words(F.col("text")).alias("size"))
+    goals = mixing.targets(sizes)
+    plain = sorted(map(tuple, mixing.schedule(goals, 2).collect()))
+    monkeypatch.setattr(mixing, "CELLS", 2)
+    assert sorted(map(tuple, mixing.schedule(goals, 2).collect())) == plain
+    monkeypatch.setattr(mixing, "CELL_SLOTS", 1)
+    assert sorted(map(tuple, mixing.schedule(goals, 2).collect())) == plain

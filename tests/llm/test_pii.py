@@ -99,3 +99,34 @@ def test_many_matches_in_one_text(make):
     text = " ".join(f"u{k}@h.example.com 1.2.3.{k % 256} joe{k}@home 12:{k % 60:02d}:11" for k in range(3000))
     found = pii.find(make([(1, text)])).first()["found"]
     assert [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in found if s["base"]] == spans(text)
+
+
+def test_texts_full_of_matches(make):
+    """An access log, lone signs, overlapping kinds, over many chunks: spans and masked text as one by one, and a megabyte in seconds."""
+    import time
+
+    texts = ["10.0.0.1 " * 700, "a@" * 900, "".join(f"u{k}@h{k}.org, +49 30 {10**6 + k} 4111111111111111 9.{k % 300}.1.1 " for k in range(300)), "x 1.1.1.1" * (pii.CHUNK // 2), "é 1.1.1.1 " * (pii.CHUNK // 2) + "end"]
+    rows = list(enumerate(texts))
+    found = pii.find(make(rows)).select("doc_id", F.filter("found", lambda s: s["base"]).alias("b"), "found").collect()
+    assert {r["doc_id"]: [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["b"]] for r in found} == {i: spans(t) for i, t in rows}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(make(rows)).collect()}
+    for r in found:
+        out, at = [], 0
+        for s in sorted(r["found"], key=lambda s: (s["start"], s["end"], s["kind"])):
+            if s["start"] >= at:
+                out += [texts[r["doc_id"]][at : s["start"]], f"[{pii.KINDS[s['kind']].upper()}]"]
+            at = max(at, s["end"])
+        assert masked[r["doc_id"]] == "".join(out) + texts[r["doc_id"]][at:]
+    large = make([(1, "10.0.0.1 " * 116_000), (2, "a@" * 80_000)])
+    begun = time.monotonic()
+    assert pii.redact(large).where("doc_id = 1").select(F.length("text")).first()[0] == 116_000 * 5
+    assert time.monotonic() - begun < 60
+
+
+def test_halving_finds_the_overlaps(spark):
+    rng = random.Random(2)
+    apart = lambda: sorted((a, b) for a, b in zip(*[iter(sorted(rng.sample(range(400), 2 * rng.randint(1, 40))))] * 2))
+    rows = [(k, apart() if k else [], apart()) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, a array<struct<start: int, end: int>>, b array<struct<start: int, end: int>>")
+    for k, a, b, free in df.select("k", "a", "b", pii._free(F.col("b"), F.col("a"))).collect():
+        assert [tuple(s) for s in free] == [tuple(s) for s in b if not any(t["start"] < s["end"] and s["start"] < t["end"] for t in a)]

@@ -49,13 +49,14 @@ TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(text: str, at: int = 0) -> list[str] | None:
-    """The longest license expression at that place of text, in postfix order; None if there is none. It ends with its line or at the first word that can't go on."""
+def parse(text: str, at: int = 0, end: int | None = None) -> list[str] | None:
+    """The longest license expression between those places of text, in postfix order; None if there is none. It ends with its line or at the first word that can't go on."""
+    end = len(text) if end is None else end
     out: list[str] = []
     stack: list[str] = []
     best: tuple[int, list[str]] | None = None  # the length of out and what was stacked
     operand = True
-    while (m := TOKEN.match(text, at)) is not None:
+    while (m := TOKEN.match(text, at, end)) is not None:
         word = m.group()
         low = word.lower()
         if operand and word == "(":
@@ -78,7 +79,7 @@ def parse(text: str, at: int = 0) -> list[str] | None:
         else:
             break
         at = m.end()
-        while at < len(text) and text[at] in " \t":
+        while at < end and text[at] in " \t":
             at += 1
     return best and out[: best[0]] + best[1]
 
@@ -123,7 +124,7 @@ def automata():
 def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one whole text.
 
-    Null and empty texts have no words, labels or notices, and score 1: nothing restricts them.
+    Null and empty texts have no words, labels or notices, and score 1: nothing restricts them. What follows a tag is read up to the next tag, so no place is read twice.
     """
     words, tags = automata()
     text = text or ""
@@ -146,11 +147,11 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
             score = min(score, NOTICES[phrase][1])
     if ":" in text:
         low = text.translate(UPPER)
-        for end, _ in tags.iter(low):
-            at = end + 1
-            while at < len(text) and text[at] in " \t":
+        tagged = [(last - len(tag) + 1, last + 1) for last, tag in tags.iter(low)]
+        for (_, at), (end, _) in zip(tagged, [*tagged[1:], (len(text), 0)]):
+            while at < end and text[at] in " \t":
                 at += 1
-            if (postfix := parse(text, at)) is not None:
+            if (postfix := parse(text, at, end)) is not None:
                 found, openness = evaluate(postfix)
                 labels |= found
                 score = min(score, openness)

@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, fresh, saved, table, text_or_empty
+from .common import WORD, dropped, fresh, others, saved, table, text_or_empty
 
 BLOCK, PART_ROWS, SLOT_PART = 1024, 10_000, 1 << 14
 #: Points of the schedule lie on a grid of LINE cells; GOLDEN is LINE over the golden ratio, made odd.
-LINE, GOLDEN, CELLS = 1 << 31, 1_327_217_885, 4096
+LINE, GOLDEN, CELLS, CELL_SLOTS = 1 << 31, 1_327_217_885, 4096, 64
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
 
@@ -83,7 +83,10 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     at = lambda slots: F.floor(slots / max(n, 1) * LINE).cast("long")
     goals = goals.withColumns({"from": at(F.col("slots_before")), "to": at(F.col("slots_before") + F.col("slots"))})
 
-    cell = LINE // CELLS
+    cells = CELLS
+    while cells < min(n // CELL_SLOTS, LINE):  # a cell then holds few slots, and so few sources, however many there are
+        cells *= 2
+    cell = LINE // cells
     pieces = goals.where(F.col("from") < F.col("to")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / cell), F.floor((F.col("to") - 1) / cell))))
     points = spark.range(n).withColumnRenamed("id", "slot").withColumn("x", (F.col("slot") % LINE) * GOLDEN % LINE)
     points = points.withColumn("at", F.floor(F.col("x") / cell))
@@ -108,19 +111,25 @@ def laid_out(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     parts = goals.select(F.col("source").alias("_g"), "docs", "source_size", "target")
     out = sizes.join(parts, sizes["source"].eqNullSafe(parts["_g"])).drop("_g")
     shuffled = F.xxhash64(F.col("id"), F.lit("shuffle"))
-    part = F.pmod(F.when(F.col("id").isNull(), F.col("copy")).otherwise(shuffled), F.greatest(F.lit(1), F.ceil(F.col("docs") / PART_ROWS)).cast("long"))
+    part = F.pmod(F.when(F.col("id").isNull(), F.col("copy.a")).otherwise(shuffled), F.greatest(F.lit(1), F.ceil(F.col("docs") / PART_ROWS)).cast("long"))
     order = [shuffled, F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size"), F.col("copy")]
     return _running(out, ["source"], part, order, F.col("size"), "start").drop("docs")
 
 
-def _copy(id_col: str, text_col: str, source_col: str) -> Column:
-    """A hash of what makes a row; rows of equal hash are alike."""
-    return F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col), F.lit("copy"))
+def _copy(*cols: Column) -> Column:
+    """Two hashes of what makes a row, 128 bits together; rows of equal hashes are alike."""
+    return F.struct(F.xxhash64(*cols, F.lit("copy")).alias("a"), F.xxhash64(F.lit("again"), *cols).alias("b"))
 
 
-def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """(id, source, copy, size, source_size, target, start, taken, slots) for every row of docs; slots: pass by pass, the slot that takes its first word."""
-    sizes = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _copy(id_col, text_col, source_col).alias("copy"), n_words(text_or_empty(text_col)).alias("size")))
+def _whole(docs: DataFrame) -> list[Column]:
+    """All columns of docs, such as can't be hashed as JSON."""
+    return [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c for c, (_, kind) in zip(others(docs, []), docs.dtypes)]
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, alike: list[Column] | None = None) -> DataFrame:
+    """(id, source, copy, size, source_size, target, start, taken, slots) for every row of docs; slots: pass by pass, the slot that takes its first word. copy: a key of the columns by which rows are alike, of those three by default."""
+    copy = _copy(*(alike or [F.col(id_col), F.col(source_col), F.col(text_col)]))
+    sizes = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), copy.alias("copy"), n_words(text_or_empty(text_col)).alias("size")))
     goals = saved(targets(sizes))
     slots = schedule(goals, block)
     rows = laid_out(sizes, goals)
@@ -156,13 +165,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """docs' rows in the order of the schedule, as often as their words are taken, to the nearest whole number: a source's words differ from its target by
     a document at most.
 
-    A copy stands where its pass takes the row's first word; a copy that only rounding gives stands where its last words are. Equal rows stand together. The order is
-    that of the partitions and of the rows in them. Columns are docs' own, whatever their names; null, empty and blank texts are not in the mix. No rows: no rows.
+    A copy stands where its pass takes the row's first word; a copy that only rounding gives stands where its last words are. Equal rows are each taken as often as their own words are. The
+    order is that of the partitions and of the rows in them. Columns are docs' own, whatever their names; null, empty and blank texts are not in the mix. No rows: no rows.
     """
     (key, copies, at, slot) = fresh(docs, "copy_key", "copies", "start_word", "slot")
-    used = placed(docs, id_col, text_col, source_col, block).where("size > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int")).where("times > 0")
+    alike = _whole(docs)
+    used = placed(docs, id_col, text_col, source_col, block, alike).where("size > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int"))
     slots = F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda i: F.coalesce(F.get("slots", i), F.element_at("slots", -1), F.lit(0)))
-    used = saved(used.groupBy(F.col("copy").alias(key)).agg(F.min(F.struct("start", slots.alias("slots"))).alias(copies)))
-    out = docs.withColumn(key, _copy(id_col, text_col, source_col)).join(used, key)
+    used = saved(used.select(F.col("copy").alias(key), "start", F.when(F.col("times") > 0, slots).alias("slots")))
+    rows = used.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("start", "slots")).alias(copies))
+    keyed = docs.withColumn(key, _copy(*alike))
+    out = keyed.join(rows.where((F.col("n") == 1) & F.col(copies)["slots"].isNotNull()).drop("n"), key)
+    again = saved(rows.where("n > 1").select(key))
+    if not again.isEmpty():  # one of each group of equal rows stands for all of them, and each has its own uses
+        one = keyed.join(again, key, "left_semi").dropDuplicates([key])
+        out = out.unionByName(one.join(used.where("slots is not null").join(again, key, "left_semi").select(key, F.struct("start", "slots").alias(copies)), key))
     out = out.select("*", F.col(f"{copies}.start").alias(at), F.explode(f"{copies}.slots").alias(slot))
     return out.repartitionByRange(slot, at).sortWithinPartitions(slot, at).drop(key, copies, at, slot)

@@ -6,7 +6,7 @@ expectation-maximisation estimates each labeler's reliability from how the votes
 decides on the candidates that are not base spans. Only DataFrame functions see rows; the driver sees the numbers of vote patterns, of which there are at
 most 4 * 3**4 * 9.
 
-Texts are read whole, however long. A null or empty text has no spans. Repeated rows and ids each count and are each judged alike. Of candidates of one kind that
+Texts are read whole, however long and however full of matches, in time that grows little faster than their length. A null or empty text has no spans. Repeated rows and ids each count and are each judged alike. Of candidates of one kind that
 overlap, base spans win, then near misses, then the looser patterns in order. Votes look at the 40 characters before a candidate on its own line and at the next one after it.
 """
 
@@ -24,6 +24,8 @@ from .common import fresh, others, saved, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 MARK = "\x01"
+#: Matches of a text that are gathered one by one; an even number.
+CHUNK = 128
 #: Java patterns. Each starts where a run begins or the last match ended, and loops are possessive, so long runs cost no more than their length.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -87,13 +89,31 @@ def valid(kind: str, c: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a lambda's variable is, and an expression inside a lambda is for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_chunks(n: Column, total: Callable[[Column], Column], combine: Callable[[Column, Column], Column], fold: Callable[[Column, Column], Column]) -> Column:
+    """The arrays fold(first, carry) of the chunks of n > 0 places, joined; carry: the totals of the chunks before, combined, 0 to begin with.
+
+    An array that grows by one element at a time is copied each time, so only arrays of a chunk grow so, and one with an element for each chunk.
+    """
+    firsts = F.sequence(F.lit(0), n - 1, F.lit(CHUNK))
+    begin = F.struct(F.lit(0).alias("carry"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct(combine(acc["carry"], x).alias("carry"), F.concat(acc["out"], F.array(acc["carry"])).alias("out"))
+    carries = F.aggregate(F.transform(firsts, total), begin, step, lambda acc: acc["out"])
+    return _let(carries, lambda carry: F.flatten(F.transform(firsts, lambda first, i: fold(first, F.get(carry, i)))))
+
+
 def _matches(text: Column, pattern: str, need: str) -> Column:
     """array<struct<start, end, hit, before, after>> of a pattern's leftmost matches, in code points, end exclusive."""
     kind = "array<struct<start: int, end: int, hit: string, before: string, after: string>>"
     none = F.array().cast(kind)
 
     def fold(parts: Column) -> Column:
-        """Over the numbers of the parts that are matches."""
+        """Over the parts of odd number, which are the matches."""
+        n = F.size(parts)
 
         def step(acc: Column, at: Column) -> Column:
             start = acc["pos"] + F.length(parts[at - 1])
@@ -101,11 +121,15 @@ def _matches(text: Column, pattern: str, need: str) -> Column:
             hit = F.struct(start.alias("start"), end.alias("end"), parts[at].alias("hit"), F.right(parts[at - 1], F.lit(40)).alias("before"), F.left(parts[at + 1], F.lit(1)).alias("after"))
             return F.struct(end.alias("pos"), F.concat(acc["found"], F.array(hit)).alias("found"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), F.struct(F.lit(0).alias("pos"), none.alias("found")), step, lambda acc: acc["found"])
+        def of_chunk(first: Column, carry: Column) -> Column:
+            last = F.least(first + CHUNK - 1, n - 2)
+            hits = F.aggregate(F.sequence(first + 1, last, F.lit(2)), F.struct(carry.alias("pos"), none.alias("found")), step, lambda acc: acc["found"])
+            return F.when(first < last, hits).otherwise(none)
+
+        length = lambda first: F.aggregate(F.sequence(first, F.least(first + CHUNK - 1, n - 1)), F.lit(0), lambda s, at: s + F.length(parts[at]))
+        return _in_chunks(n, length, lambda a, b: a + b, of_chunk)
 
-    # through an array of one, as a lambda's variable is computed once and an expression inside a lambda for each element
-    split = F.array(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1))
-    found = F.transform(split, fold)[0]
+    found = _let(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), fold)
     may = F.lit(not need)
     for n in need.split("|") if need[:1] != "~" else []:
         may = may | F.contains(text, F.lit(n))
@@ -119,8 +143,20 @@ def _keep(found: Column, good: Callable[[Column], Column]) -> Column:
 
 
 def _free(found: Column, taken: Column) -> Column:
-    """Those that overlap none of the others."""
-    return F.filter(found, lambda m: ~F.exists(taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    """Those that overlap none of the others, which are in order and apart: only the last that begins before one's end can, and halving finds it."""
+
+    def halved(range_: Column, end: Column) -> Column:
+        low, high = range_["low"], range_["high"]
+        middle = F.shiftright(low + high, 1)
+        before = F.get(taken, middle)["start"] < end
+        return F.when(low >= high, range_).otherwise(F.struct(F.when(before, middle + 1).otherwise(low).alias("low"), F.when(before, high).otherwise(middle).alias("high")))
+
+    def free(m: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(taken) + 1)).cast("int"))
+        begun = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(taken).alias("high")), lambda r, _: halved(r, m["end"]), lambda r: r["low"])
+        return F.coalesce(F.get(taken, begun - 1)["end"] <= m["start"], F.lit(True))
+
+    return F.when(F.size(taken) == 0, found).otherwise(F.filter(found, free))
 
 
 def _votes(found: Column, kind: str, number: int, base: bool, loose: bool = False) -> Column:
@@ -235,14 +271,28 @@ def redacted(text: Column, spans: Column) -> Column:
     """text with every span replaced by its kind in brackets; spans that overlap become one, named for the first."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+    def pieces(order: Column) -> Column:
+        furthest = lambda first: F.array_max(F.transform(F.slice(order, first + 1, F.lit(CHUNK)), lambda s: s["end"]))
+
+        def of_chunk(first: Column, carry: Column) -> Column:
+            """The pieces of a chunk's spans, cut from the part of the text that they lie in, which begins at carry."""
+            own = F.substring(text, carry + 1, F.greatest(furthest(first), carry) - carry)
+
+            def cut(part: Column) -> Column:
+                def step(acc: Column, s: Column) -> Column:
+                    more = F.concat(acc["out"], F.array(F.substring(part, acc["at"] - carry + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)))
+                    return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+                begin = F.struct(carry.alias("at"), F.array().cast("array<string>").alias("out"))
+                return F.aggregate(F.slice(order, first + 1, F.lit(CHUNK)), begin, step, lambda acc: acc["out"])
+
+            return _let(own, cut)
+
+        end = F.array_max(F.transform(order, lambda s: s["end"]))
+        return F.concat(F.array_join(_in_chunks(F.size(order), furthest, F.greatest, of_chunk), ""), F.substring(text, end + 1, F.length(text)))
 
-    whole = F.aggregate(order, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(order, pieces)).otherwise(text)
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
