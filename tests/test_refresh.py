@@ -31,15 +31,60 @@ def state(store, key):
 
 def test_a_run_stores_its_edition_and_states(spark, store, articles, tmp_path):
     assert refresh.Refresh(spark, store, AS_OF).run(articles, f"{tmp_path}/out", AS_OF)
-    assert state(store, refresh.STATUS) == "complete:100" and state(store, refresh.LOCK) == "false"
+    assert state(store, refresh.STATUS) == "complete:100" and not refresh.Refresh(spark, store, AS_OF).lock.taken()
     assert {"a0", "a1"} <= set(latest_snapshot(spark, f"{tmp_path}/out").first()["article_ids"])
 
 
 def test_one_run_at_a_time_and_errors(spark, store, articles, tmp_path):
     first, second = refresh.Refresh(spark, store, AS_OF), refresh.Refresh(spark, store, AS_OF)
-    first.say(refresh.LOCK, "true")
-    assert not second.run(articles, f"{tmp_path}/out", AS_OF)
-    first.say(refresh.LOCK, "false")
+    assert first.lock.acquire() and not second.run(articles, f"{tmp_path}/out", AS_OF)
+    first.lock.release()
     with pytest.raises(Exception):
         second.run(articles.drop("title"), f"{tmp_path}/out", AS_OF)
-    assert state(store, refresh.STATUS) == "error:0" and not second.locked()
+    assert state(store, refresh.STATUS) == "error:0" and not second.lock.taken()
+
+
+def test_parallel_runs_make_one_edition(spark, store, articles, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    runs = [refresh.Refresh(spark, store, AS_OF) for _ in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        made = list(pool.map(lambda r: r.run(articles, f"{tmp_path}/out", AS_OF), runs))
+    assert sorted(made) == [False, True]
+    stories = latest_snapshot(spark, f"{tmp_path}/out").select("id").collect()
+    assert len(stories) == len({r["id"] for r in stories})
+
+
+def test_the_blocklist_reads_the_feeds_address(spark, store, articles, tmp_path):
+    rows = articles.withColumn("feed", F.when(F.col("ord") < 2, "https://blocked.example/rss").otherwise("https://fine.example/rss"))
+    assert refresh.Refresh(spark, store, AS_OF).run(rows, f"{tmp_path}/out", AS_OF, refresh.Params(feed_blocklist="blocked.example"), feed_url="feed")
+    assert {i for r in latest_snapshot(spark, f"{tmp_path}/out").collect() for i in r["article_ids"]}.isdisjoint({"a0", "a1"})
+
+
+def test_one_of_many_gets_the_lock(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidewell.sources.lock import Lock
+
+    locks = [Lock(spark, f"{tmp_path}/lock", 600) for _ in range(12)]
+    with ThreadPoolExecutor(12) as pool:
+        got = list(pool.map(lambda k: k.acquire(), locks))
+    assert sum(got) == 1
+    owner = locks[got.index(True)]
+    assert owner.holds() and owner.taken() and not Lock(spark, f"{tmp_path}/lock", 600).acquire()
+    owner.release()
+    later = Lock(spark, f"{tmp_path}/lock", 600)
+    assert later.acquire() and later.generation == 2
+
+
+def test_a_late_owner_is_overtaken(spark, tmp_path):
+    import time
+
+    from tidewell.sources.lock import Lock
+
+    slow, next_one = Lock(spark, f"{tmp_path}/lock", 1), Lock(spark, f"{tmp_path}/lock", 1)
+    assert slow.acquire() and not next_one.acquire()
+    time.sleep(1.6)
+    assert next_one.acquire() and not slow.holds() and next_one.holds()
+    slow.release()
+    assert next_one.taken()  # the late owner lets go of its own generation only

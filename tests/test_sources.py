@@ -62,3 +62,29 @@ def test_snapshots(spark, tmp_path):
 def test_namespaces():
     assert store.namespace({"CACHE_PREFIX": "x:"}) == "x:" and store.namespace({"NODE_ENV": "production", "VERCEL_ENV": "production"}) == "prod:"
     assert store.namespace({"VERCEL_ENV": "preview", "VERCEL_GIT_COMMIT_REF": "a/b"}) == "staging-a-b:" and store.namespace({}) == "local:"
+
+
+BAD = """<?xml version="1.0" encoding="ISO-8859-1"?><rss xmlns:media="http://m" xmlns:content="http://c"><channel>
+<item><title>Caf\u00e9 &nbsp;&amp; bar</title><media:thumbnail url="https://i.example/t.jpg" width="640" height="x"/><content:encoded><![CDATA[<b>&nbsp; one</item> two</b>]]></content:encoded><odd:thing>1</odd:thing></item>
+<item><title>Broken <b>title</title></item>
+<item><title>Also fine</title><enclosure url="https://i.example/e.png" type="image/png"/></item>
+<item><title>Cut off"""
+ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Atom</title><link href="https://a.example/x"/><id>urn:1</id><updated>2024-01-01T00:00:00Z</updated><summary>s</summary></entry></feed>'
+
+
+def test_every_item_is_read_or_quarantined(spark, tmp_path):
+    """Items in = articles + rejects, whatever a file holds; a bad item spoils no other, and reruns give the same ids."""
+    files = {"a.xml": RSS.encode(), "b.xml": BAD.encode("latin-1"), "c.xml": ATOM.encode(), "d.xml": b"\n", "e.xml": b"<!DOCTYPE html><html>blocked</html>", "f.xml": b"<rss><channel></channel></rss>", "g.xml": b'<?xml version="1.0" encoding="utf-8"?><item>\xff</item>', "h.xml": b'<?xml encoding="nonsense"?><item/>'}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    good, bad = feeds.quarantined(spark, str(tmp_path))
+    got = {(r["feed_file"][-5:], r["item"]): r for r in good.collect()}
+    rejected = {(r["feed_file"][-5:], r["item"]): r["reason"].split(":")[0] for r in bad.collect()}
+    assert set(got) == {("a.xml", 0), ("a.xml", 1), ("b.xml", 0), ("b.xml", 2), ("c.xml", 0)}
+    assert rejected == {("b.xml", 1): "malformed", ("b.xml", 3): "not closed", ("d.xml", -1): "empty", ("e.xml", -1): "a page, not a feed", ("f.xml", -1): "no items", ("g.xml", -1): "encoding", ("h.xml", -1): "encoding"}
+    first, atom = got["b.xml", 0], got["c.xml", 0]
+    assert first["title"] == "Caf\u00e9 \u00a0& bar" and first["content:encoded"] == "<b>&nbsp; one</item> two</b>" and first["media:thumbnail"].asDict() == {"_url": "https://i.example/t.jpg", "_width": 640, "_height": None}
+    assert (atom["link"], atom["guid"], atom["isoDate"], atom["description"]) == ("https://a.example/x", "urn:1", "2024-01-01T00:00:00Z", "s") and got["b.xml", 2]["enclosure"]["_type"] == "image/png"
+    articles = lambda rows: sorted((r["ord"], r["id"]) for r in feeds.to_articles(rows, F.lit("World"), F.lit("Paper"), F.lit("https://p.example"), as_of().cast("timestamp")).collect())
+    once, again = articles(good), articles(feeds.items(spark, str(tmp_path)).repartition(7))
+    assert once == again and len(once) == 5 and [i.rsplit("-", 1)[1] for _, i in once] == ["0", "1", "0", "2", "0"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import dims
 from .dims import STOPWORDS
-from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, as_of, clusters, members, table
+from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, articles_of, as_of, clusters, members, table
 from .functions import digest, entities, hashing, images, text, times, titles, topics, urls
 from .operators import enrich, greedy, ingest, merging, ranking, state, stories, tfidf
 from .operators import topics as topic_ops
@@ -749,11 +749,14 @@ def story_pipeline(spark, sf_dir):
 # --- streams ----------------------------------------------------------------------------------------------------------------------
 
 
-def drained(name: str, mode: str, make: Callable[[DataFrame], DataFrame]) -> Query:
+def stored(mode: str, make: Callable[[DataFrame], DataFrame]) -> Query:
+    """A stream over the events, its results read back from the files that it wrote."""
+
     def run(spark, sf_dir):
-        from .streaming import events
+        from .sources.scratch import new_folder
+        from .streaming import durable, events
 
-        return events.drained(make(events.read_events(spark, sf_dir, "60 days")), mode, name)
+        return durable.stored(make(events.read_events(spark, sf_dir, "60 days")), mode, new_folder(spark, "stream"))
 
     return run
 
@@ -761,12 +764,12 @@ def drained(name: str, mode: str, make: Callable[[DataFrame], DataFrame]) -> Que
 def _streams() -> None:
     from .streaming import events as s
 
-    query("stream_dedupe", "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")(lambda spark, d: drained("stream_dedupe", "append", lambda e: s.unique(e, "user_id", "event_type"))(spark, d).agg(F.count("*").alias("n")))
+    query("stream_dedupe", "SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")(lambda spark, d: stored("append", lambda e: s.unique(e, "user_id", "event_type"))(spark, d).agg(F.count("*").alias("n")))
     velocity = "SELECT CAST(epoch(start) AS BIGINT) AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts) - INTERVAL 3 HOUR, date_trunc('hour', ts) - INTERVAL 2 HOUR, date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts)]) AS start FROM events) GROUP BY ALL"
-    query("stream_velocity", velocity)(lambda spark, d: drained("stream_velocity", "complete", s.velocity)(spark, d).select(F.unix_seconds("start").alias("start"), "event_type", "n"))
-    query("stream_tumbling", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda spark, d: drained("stream_tumbling", "complete", s.tumbling)(spark, d).select(F.unix_seconds("start").alias("start"), "event_type", "n"))
+    query("stream_velocity", velocity)(lambda spark, d: stored("complete", s.velocity)(spark, d).select(F.unix_seconds("start").alias("start"), "event_type", "n"))
+    query("stream_tumbling", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda spark, d: stored("complete", s.tumbling)(spark, d).select(F.unix_seconds("start").alias("start"), "event_type", "n"))
     session = "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, count(*) AS n FROM r GROUP BY user_id, run"
-    query("stream_session", session)(lambda spark, d: drained("stream_session", "complete", lambda e: s.sessions(e, "12 hours"))(spark, d).select("user_id", "n"))
+    query("stream_session", session)(lambda spark, d: stored("complete", lambda e: s.sessions(e, "12 hours"))(spark, d).select("user_id", "n"))
     query("stream_breaker", BREAKER_SQL)(stream_breaker)
 
 
@@ -774,11 +777,27 @@ def stream_breaker(spark, sf_dir):
     """The last update of each key, as of the same time as circuit_breaker."""
     from .streaming import events
 
-    last = drained("stream_breaker", "update", events.breaker)(spark, sf_dir).groupBy("user_id").agg(F.max_by(F.struct("failures", "open", "at_ms"), F.struct("at_ms", "failures")).alias("s")).select("user_id", "s.*")
+    last = stored("update", events.breaker)(spark, sf_dir).groupBy("user_id").agg(F.max_by(F.struct("failures", "open", "at_ms"), F.struct("at_ms", "failures")).alias("s")).select("user_id", "s.*")
     cool = F.lit(1706659200000) - F.col("at_ms") >= 1_800_000
     return last.select("user_id", F.when(F.col("open") & cool, 0).otherwise(F.col("failures")).cast("long").alias("failures"), (F.col("open") & ~cool).alias("skip"))
 
 
+@query("stream_articles_once", of_articles(f"SELECT id, url FROM ({UNIQUE_SQL})"))
+def stream_articles_once(spark, sf_dir):
+    """Articles as documents arrive, each address once, over two runs that read all of them: the second adds nothing."""
+    from .functions.urls import canonical_key
+    from .sources.scratch import new_folder
+    from .streaming import durable
+
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    rows = ingest.titled(articles_of(docs, spark, sf_dir)).drop("content", "description")
+    key, order = canonical_key(F.col("url"), F.col("source_url"), F.col("title")), [F.desc_nulls_last("published_at"), F.col("ord")]
+    folder = new_folder(spark, "articles")
+    durable.once_only(rows, key, order, folder, "first")
+    return durable.once_only(rows, key, order, folder, "second").select("id", "url")
+
+
 _streams()
 
 

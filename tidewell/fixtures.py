@@ -22,7 +22,12 @@ def as_of():
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles, with the addresses of pages, so that addresses repeat."""
-    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "url")
+    return articles_of(table(spark, sf_dir, "documents"), spark, sf_dir)
+
+
+def articles_of(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of some documents, which may be a stream."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     n = F.broadcast(pages.agg(F.count("*").alias("n")))  # one row
     d = docs.crossJoin(n).withColumn("at", F.col("doc_id") % F.col("n"))
     d = d.join(pages, d["at"] == pages["page_id"])

@@ -2,7 +2,7 @@
 
     spark-submit -m tidewell.refresh --articles PATH --out PATH --store PATH --as-of "2024-01-31 00:00:00"
 
-The state of the run is kept as rows of the key-value table: a lock that expires after ten minutes, and the stages with their progress.
+A lock that expires after ten minutes lets one run through; the stages with their progress are rows of the key-value table.
 """
 
 from __future__ import annotations
@@ -16,54 +16,64 @@ from . import dims
 from .params import Params
 from .plans.intake import all_news
 from .plans.stories import Model, ranked_stories
+from .sources.lock import Lock
 from .sources.store import LOG, KeyValue, write_snapshot
 
-LOCK, STATUS, LOCK_SECONDS, ERROR_SECONDS = "refresh-in-progress", "refresh-status", 600, 180
+STATUS, LOCK_SECONDS, ERROR_SECONDS = "refresh-status", 600, 180
+
+
+class Overtaken(Exception):
+    """Raised when a run took longer than its lock lasts and another one has begun."""
 
 
 class Refresh:
-    """One run at a time. Stages: started 0, news 10, stories 50, stored 95, complete 100; error on a failure, for three minutes."""
+    """One run at a time. Stages: started 0, news 10, stories 50, stored 95, complete 100; error on a failure, for three minutes.
 
-    def __init__(self, spark: SparkSession, store: KeyValue, as_of: str) -> None:
-        self.spark, self.store, self.now, self.seq = spark, store, F.lit(as_of).cast("timestamp"), 0
+    The lock lies beside the store. States carry the lock's generation, so those of a later run win whatever its as_of.
+    """
 
-    def say(self, key: str, value: str, seconds: int = LOCK_SECONDS) -> None:
-        self.seq += 1
-        self.store.put(self.spark.createDataFrame([(key, value)], "key string, value string"), seconds, self.now, self.seq)
+    def __init__(self, spark: SparkSession, store: KeyValue, as_of: str, lock_seconds: int = LOCK_SECONDS) -> None:
+        self.spark, self.store, self.now, self.step = spark, store, F.lit(as_of).cast("timestamp"), 0
+        self.lock = Lock(spark, f"{store.path}.lock", lock_seconds)
 
-    def locked(self) -> bool:
-        return not self.store.get(self.now).where(F.col("key") == LOCK).where("value = 'true'").isEmpty()
+    def say(self, value: str, seconds: int = LOCK_SECONDS) -> None:
+        self.step += 1
+        rows = self.spark.createDataFrame([(STATUS, value)], "key string, value string")
+        self.store.put(rows, seconds, self.now, (self.lock.generation << 20) + self.step)
 
-    def run(self, articles: DataFrame, out: str, edition: str, p: Params = Params(), model: Model = Model()) -> bool:
-        """Whether this run made the edition: not if another one holds the lock."""
-        if self.locked():
+    def run(self, articles: DataFrame, out: str, edition: str, p: Params = Params(), model: Model = Model(), feed_url: str | None = None) -> bool:
+        """Whether this run made the edition: not if another one holds the lock. feed_url: the column that the blocklist reads and that tells aggregators."""
+        if not self.lock.acquire():
             return False
-        self.say(LOCK, "true")
         try:
-            self.say(STATUS, "started:0")
-            news = all_news(articles, "source_name", p).withColumn("edition", F.lit(0).cast("long"))
-            self.say(STATUS, "news:10")
+            self.say("started:0")
+            news = all_news(articles, "source_name", p, feed_url).withColumn("edition", F.lit(0).cast("long"))
+            self.say("news:10")
             stories = ranked_stories(news, dims.category_meta(self.spark), self.now, p, model)
-            self.say(STATUS, "stories:50")
+            self.say("stories:50")
+            if not self.lock.holds():
+                raise Overtaken(edition)
             write_snapshot(stories, out, edition)
-            self.say(STATUS, "stored:95")
-            self.say(STATUS, "complete:100")
+            self.say("stored:95")
+            self.say("complete:100")
             return True
         except Exception:
-            self.say(STATUS, "error:0", ERROR_SECONDS)
+            if self.lock.holds():
+                self.say("error:0", ERROR_SECONDS)
             raise
         finally:
-            self.say(LOCK, "false")
+            self.lock.release()
 
 
 def main(args: list[str] | None = None) -> bool:
     parser = argparse.ArgumentParser()
     for name in ("articles", "out", "store", "as-of"):
         parser.add_argument(f"--{name}", required=True)
+    parser.add_argument("--feed-url", help="the column of articles that holds a feed's address")
     got = parser.parse_args(args)
     spark = SparkSession.builder.appName("refresh").getOrCreate()
     spark.createDataFrame([], LOG).write.mode("append").parquet(got.store)
-    return Refresh(spark, KeyValue(spark, got.store, ["main:"]), got.as_of).run(spark.read.parquet(got.articles), got.out, got.as_of)
+    return Refresh(spark, KeyValue(spark, got.store, ["main:"]), got.as_of).run(spark.read.parquet(got.articles), got.out, got.as_of, feed_url=got.feed_url)
 
 
 if __name__ == "__main__":

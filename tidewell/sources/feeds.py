@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import html
+import itertools
+import re
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..dims import AGGREGATOR_HOST
 from ..functions.hashing import short_hash
@@ -11,6 +19,8 @@ from ..functions.images import first_img, inferred_dims, picked
 from ..functions.text import blank, slug
 from ..functions.titles import source_name, without_publisher
 from ..functions.urls import decoded_aggregator_url, hostname, is_aggregator
+from ..operators.numbering import numbered
+from .scratch import saved
 
 FEEDS = "map<string, struct<name: string, feeds: array<struct<id: string, category: string, url: string>>>>"
 ITEM = """title string, link string, guid string, pubDate string, isoDate string, source struct<_VALUE: string, _url: string>, description string, `content:encoded` string, content string, contentSnippet string,
@@ -23,9 +33,102 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", FEEDS)).alias("source_key", "s")).select("source_key", "s.name", "s.feeds")
 
 
+FRAGMENT = re.compile(r"<(?:item|entry)(?:\s[^<>]*)?/>|<(item|entry)(?=[\s>])(?:<!\[CDATA\[.*?\]\]>|[^<]++|<(?!/?\1[\s>/]))*(</\1\s*>)?", re.S)
+PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+ENTITY = re.compile(r"<!\[CDATA\[.*?\]\]>|&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)(\w+);", re.S)
+READ = f"feed_file string, item int, {ITEM}, reason string, raw string"
+
+
+def _element(fragment: str) -> ElementTree.Element:
+    """The element of an item that stands alone: its prefixes are declared as themselves, and names for characters that XML doesn't know are read as HTML has them."""
+    declared = "".join(f' xmlns:{p}="{p}"' for p in sorted(set(PREFIX.findall(fragment)) - {"xml", "xmlns"}))
+    try:
+        return ElementTree.fromstring(f"<x{declared}>{fragment}</x>")[0]
+    except ElementTree.ParseError:
+        plain = ENTITY.sub(lambda m: html.escape(html.unescape(m.group())) if m.group(1) else m.group(), fragment)
+        return ElementTree.fromstring(f"<x{declared}>{plain}</x>")[0]
+
+
+def _fields(e: ElementTree.Element) -> dict:
+    """An item's columns. Names come without the namespace that a feed declares as its default."""
+    by: dict[str, ElementTree.Element] = {}
+    for child in e:
+        uri, _, name = child.tag.rpartition("}")
+        by.setdefault(f"{uri[1:]}:{name}" if uri else name, child)
+
+    def text(*names: str) -> str | None:
+        return next(("".join(by[n].itertext()).strip() for n in names if n in by), None)
+
+    def media(name: str) -> dict | None:
+        a = by[name].attrib if name in by else {}
+        number = lambda v: int(v) if (v or "").isdigit() and len(v) < 10 else None
+        return {"_url": a["url"], "_width": number(a.get("width")), "_height": number(a.get("height"))} if "url" in a else None
+
+    source, enclosure, link = by.get("source"), by.get("enclosure"), by.get("link")
+    return {
+        "title": text("title"), "link": text("link") or (link.get("href") if link is not None else None), "guid": text("guid", "id"), "pubDate": text("pubDate"), "isoDate": text("isoDate", "published", "updated", "dc:date"),
+        "source": {"_VALUE": "".join(source.itertext()).strip(), "_url": source.get("url")} if source is not None else None, "description": text("description", "summary"), "content:encoded": text("content:encoded"), "content": text("content"), "contentSnippet": text("contentSnippet"),
+        "media:thumbnail": media("media:thumbnail"), "media:content": media("media:content"), "enclosure": {"_url": enclosure.get("url"), "_type": enclosure.get("type")} if enclosure is not None else None,
+    }
+
+
+def parsed(path: str, content: bytes | None) -> Iterator[dict]:
+    """A READ row for each item of a feed file, with the reason where it can't be used; a file without items gives one row, of item -1."""
+    told = re.search(rb"<\?xml[^>]*encoding=[\"']([\w.-]+)", (content or b"")[:200])
+    try:
+        text = (content or b"").decode(told.group(1).decode() if told else "utf-8-sig")
+    except (LookupError, UnicodeDecodeError) as e:
+        yield {"feed_file": path, "item": -1, "reason": f"encoding: {e}"[:200]}
+        return
+    number = -1
+    for number, m in enumerate(FRAGMENT.finditer(text)):
+        row = {"feed_file": path, "item": number}
+        if m.group(1) and not m.group(2):
+            yield row | {"reason": "not closed", "raw": m.group()}
+            continue
+        try:
+            yield row | _fields(_element(m.group()))
+        except ElementTree.ParseError as e:
+            yield row | {"reason": f"malformed: {e}", "raw": m.group()}
+    if number < 0:
+        page = re.search(r"<(!doctype )?html", text[:1000], re.I)
+        yield {"feed_file": path, "item": -1, "reason": "empty" if not text.strip() else "a page, not a feed" if page else "no items"}
+
+
+def read_items(files: DataFrame) -> DataFrame:
+    """READ rows from (path, content) of feed files, every item once: with its columns, or with the reason why not and what stood there. A file's items are read one by one in its task, so a bad one spoils no other."""
+    schema = files.sparkSession.createDataFrame([], READ).schema
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                rows = parsed(path.as_py(), content.as_py())
+                while part := list(itertools.islice(rows, 1000)):
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in part], schema=arrow)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content, feed_no) of the feed files under a path, numbered in the order of their names; any store that Spark reads. Spark leaves out files of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    order = numbered(files.select("path"), [], ["path"], "feed_no").withColumnRenamed("path", "_file")
+    return files.join(order, F.col("path") == F.col("_file")).select("path", "content", "feed_no")
+
+
+def quarantined(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of feed files, read once: items with feed_file, feed_no and item, their place in the feed; rejects with feed_file, item, reason and raw."""
+    files = saved(landed(spark, path))
+    order = files.select(F.col("path").alias("feed_file"), "feed_no")
+    rows = saved(read_items(files))
+    return rows.where("reason is null").drop("reason", "raw").join(order, "feed_file"), rows.where("reason is not null").select("feed_file", "item", "reason", "raw")
+
+
 def items(spark: SparkSession, path: str) -> DataFrame:
-    """The items of RSS files, malformed ones left out, with the file they come from."""
-    return spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(ITEM).load(path).withColumn("feed_file", F.input_file_name())
+    """The usable items of feed files; quarantined() also gives the others."""
+    return quarantined(spark, path)[0]
 
 
 def published(c: Column) -> Column:
@@ -36,7 +139,7 @@ def published(c: Column) -> Column:
 
 
 def to_articles(rows: DataFrame, category: Column, feed_name: Column, feed_url: Column, as_of: Column) -> DataFrame:
-    """Articles from items. The id hashes the raw title, the article has the clean one."""
+    """Articles from items. The id hashes the raw title, the article has the clean one; it ends with the item's place in its feed, and feeds follow each other in the order of their numbers, so reruns agree."""
     raw = F.trim(F.coalesce("title", F.lit("")))
     agg = is_aggregator(feed_url)
     title = F.when(agg, without_publisher(raw)).otherwise(raw)
@@ -48,11 +151,11 @@ def to_articles(rows: DataFrame, category: Column, feed_name: Column, feed_url:
     width = F.coalesce(F.col("media:thumbnail._width"), F.col("media:content._width"), told["width"], html["width"])
     height = F.coalesce(F.col("media:thumbnail._height"), F.col("media:content._height"), told["height"], html["height"])
     when = F.coalesce("pubDate", "isoDate")
-    at = F.monotonically_increasing_id()
+    at, order = F.col("item"), F.col("feed_no") * (1 << 24) + F.col("item")
     return rows.select(
         F.concat_ws("-", slug(category), short_hash(raw), short_hash(name), at.cast("string")).alias("id"), title.alias("title"), F.coalesce("description", "contentSnippet", F.lit("")).alias("description"), content.alias("content"),
         F.coalesce("link", "guid", F.lit("")).alias("url"), image.alias("url_to_image"), width.alias("image_width"), height.alias("image_height"), when.alias("published_at_raw"),
-        F.when(when.isNull(), as_of).otherwise(published(when)).alias("published_at"), name.alias("source_name"), F.coalesce("source._url", feed_url).alias("source_url"), category.alias("category"), at.alias("ord"),
+        F.when(when.isNull(), as_of).otherwise(published(when)).alias("published_at"), name.alias("source_name"), F.coalesce("source._url", feed_url).alias("source_url"), category.alias("category"), order.alias("ord"),
     )
 
 

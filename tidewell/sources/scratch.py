@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back. Where that is unset a local session gets a temporary folder, and a cluster an error."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, kind: str = "scratch") -> str:
+    """A new path in spark.checkpoint.dir. Where that is unset a local session gets a temporary folder, and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         master = spark.sparkContext.master
@@ -18,6 +17,17 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to a new folder and read back."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM's Hadoop client, for any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

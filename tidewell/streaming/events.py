@@ -64,10 +64,3 @@ def breaker(events: DataFrame, most: int = 3, minutes: int = 30) -> DataFrame:
     errors = events.where("event_type = 'error'").select("user_id", "ts", F.unix_millis("ts").alias("at_ms"))
     return errors.groupBy("user_id").applyInPandasWithState(run, "user_id long, at_ms long, failures long, open boolean", "failures long, last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
 
-
-def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """All that a stream gives for what is there now, as a table in memory: for small runs and tests."""
-    spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
