@@ -13,6 +13,7 @@ from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, article
 from .functions import digest, entities, hashing, images, text, times, titles, topics, urls
 from .operators import enrich, greedy, ingest, merging, ranking, state, stories, tfidf
 from .operators import topics as topic_ops
+from .sources.scratch import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,6 +179,37 @@ HOST_ROWS = [
 ]
 
 
+@query("page_hosts", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'news.google.com:site ' || page_id % 7 ELSE {HOST_SQL} END AS host FROM pages")
+def page_hosts(spark, sf_dir):
+    """Hosts of pages; every third comes through an aggregator and goes by its source's name."""
+    rows = table(spark, sf_dir, "pages").withColumn("through", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://news.google.com/rss/articles/"), F.col("page_id").cast("string"))).otherwise(F.col("url")))
+    return rows.select("page_id", urls.resolved_host(F.col("through"), F.lit(""), F.concat(F.lit("Site "), (F.col("page_id") % 7).cast("string"))).alias("host"))
+
+
+@query("document_titles", "WITH d AS (SELECT doc_id, source, trim(regexp_extract(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '^.{0,60}')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 8 THEN t ELSE t || ' | ' || source END AS clean, source AS publisher FROM d WHERE t <> ''")
+def document_titles(spark, sf_dir):
+    """The beginnings of documents as titles with their source behind a bar, and behind a dash."""
+    begin = F.trim(F.regexp_extract(F.regexp_replace("text", "[^A-Za-z ]", ""), "^.{0,60}", 0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", begin.alias("t")).where("t <> ''")
+    return rows.select("doc_id", titles.clean(F.concat("t", F.lit(" | "), "source")).alias("clean"), titles.publisher(F.concat("t", F.lit(" - "), "source")).alias("publisher"))
+
+
+FEED_SQL = "SELECT doc_id, doc_id // 50 AS feed, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS item, trim(regexp_extract(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), '^.{0,80}')) AS t FROM documents"
+
+
+@query("feed_quarantine", f"SELECT feed, item, CASE WHEN doc_id % 17 <> 0 THEN t END AS title, CASE WHEN doc_id % 17 <> 0 THEN 'https://feeds.example/' || doc_id END AS link, doc_id % 17 = 0 AS rejected FROM ({FEED_SQL})")
+def feed_quarantine(spark, sf_dir):
+    """Feeds of 50 documents each as they might have landed, one item in 17 malformed: every item is read or rejected."""
+    from .sources import feeds as landed
+
+    title = F.trim(F.regexp_extract(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), "^.{0,80}", 0))
+    end = F.when(F.col("doc_id") % 17 == 0, "</titel></item>").otherwise(F.concat(F.lit("</title><link>https://feeds.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>a&nbsp;b</description></item>")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 50).cast("string").alias("path"), F.concat(F.lit("<item><title>"), title, end).alias("x"))
+    files = rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "x"))), lambda r: r["x"]), "\n").alias("x"))
+    got = landed.read_items(files.select("path", F.encode(F.concat(F.lit("<rss><channel>"), "x", F.lit("</channel></rss>")), "UTF-8").alias("content")))
+    return got.select(F.col("feed_file").cast("long").alias("feed"), F.col("item").cast("long").alias("item"), "title", "link", F.col("reason").isNotNull().alias("rejected"))
+
+
 @query("resolve_host", "SELECT k, host FROM " + sql_values([(r[0], r[4]) for r in HOST_ROWS], "k, host"))
 def resolve_host(spark, sf_dir):
     rows = values(spark, [r[:4] for r in HOST_ROWS], "k int, url string, name string, source string")
@@ -315,11 +347,11 @@ def centroids(spark, sf_dir):
     return tfidf.centroids(postings(spark, sf_dir), groups(spark, sf_dir), "doc_id", "g").select("g", "term", F.round("w", 4).alias("w"))
 
 
-@query("nearest_centroid", f"WITH {CENTRE_SQL}, s AS (SELECT doc_id, g, sum(w.w * c.w) / any_value(nm.norm) / any_value(cn.norm) AS sim FROM w JOIN c USING (term) JOIN nm USING (doc_id) JOIN cn USING (g) GROUP BY doc_id, g) SELECT doc_id, round(max(sim), 4) AS sim FROM s GROUP BY doc_id")
+@query("nearest_centroid", f"WITH {CENTRE_SQL}, s AS (SELECT doc_id, g, sum(w.w * c.w) / any_value(nm.norm) / any_value(cn.norm) AS sim FROM w JOIN c USING (term) JOIN nm USING (doc_id) JOIN cn USING (g) GROUP BY doc_id, g) SELECT doc_id, round(max(sim), 4) AS sim, arg_min(g, (-round(sim, 9), g)) AS g FROM s GROUP BY doc_id")
 def nearest_centroid(spark, sf_dir):
-    p = postings(spark, sf_dir)
+    p = saved(postings(spark, sf_dir))  # norms, centres and similarities all read them
     sims = tfidf.to_centroids(p, tfidf.centroids(p, groups(spark, sf_dir), "doc_id", "g"), "doc_id", "g")
-    return tfidf.nearest(sims, "doc_id", "g").select("doc_id", F.round("sim", 4).alias("sim"))
+    return tfidf.nearest(sims.withColumn("sim", F.round("sim", 9)), "doc_id", "g").select("doc_id", F.round("sim", 4).alias("sim"), "g")
 
 
 @query("entities", f"SELECT doc_id, array_to_string(list_sort({sql_entities('text')}), ' ') AS entities FROM documents")
@@ -371,9 +403,9 @@ def unclustered_anti(spark, sf_dir):
     return stories.unclustered(docs, marks).select(F.col("id").alias("doc_id"))
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def customers_without_orders(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("cluster_lookup", of_articles("SELECT cluster_key, pos, id, title FROM members"))
