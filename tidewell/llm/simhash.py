@@ -371,6 +371,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias(key)))
     gone = saved(rows.select(F.col("row").alias(key)).distinct().join(stay, key, "left_anti"))
     often = saved(times.select(F.col("row").alias(key)).join(stay, key, "left_semi"))
+    dropped(rows, nodes, times, grouped, stay)  # what is left to do reads gone and often alone
     out = _filtered(keyed, gone, key, "left_anti")
     if not often.isEmpty():
         out = _filtered(out, often, key, "left_anti").unionByName(_filtered(keyed, often, key, "left_semi").dropDuplicates([key]))
