@@ -67,3 +67,14 @@ def test_a_model_in_the_plan(spark):
     storm = next(ids for ids, r in told.items() if "Storm" in r["cluster_title"])
     assert told[storm]["label"] == "War/Conflict" and plain[storm]["label"] == "Other"
     assert told[storm]["score"] > plain[storm]["score"]
+
+
+def test_expansion_keeps_what_the_time_allows(spark):
+    """Like articles at both ends of the window, beyond it, and without a time; a cluster without times meets all."""
+    text = "Winter Games skating gold in Paris"
+    times = ["2024-01-10 00:00:00", "2024-01-08 00:00:00", "2024-01-07 23:59:59", "2024-01-12 00:00:00", "2024-01-12 00:00:01", None, "2024-03-01 00:00:00", None]
+    rows = spark.createDataFrame([(str(k), text, at, "Sports", k) for k, at in enumerate(times)], "id string, title string, at string, category string, ord long").withColumn("published_at", F.col("at").cast("timestamp_ntz"))
+    postings = tfidf.weights(rows, "id", F.col("title"))
+    members = spark.createDataFrame([(1, 0, "0"), (2, 0, "7")], "cluster_key long, pos long, id string")
+    got = {(r["cluster_key"], r["id"]) for r in stories.expanded(members, rows, postings).collect()}
+    assert got == {(1, i) for i in "1357"} | {(2, str(i)) for i in range(7)}

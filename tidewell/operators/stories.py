@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import cluster_text, entities
 from ..functions.text import doc_text
-from ..functions.times import hours_between
+from ..functions.times import hours_between, millis
 from ..sources.scratch import saved
 from . import tfidf
 
@@ -126,16 +126,31 @@ def related(clusters: DataFrame, members: DataFrame, articles: DataFrame, shared
     return both.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def around(units: DataFrame, centres: DataFrame, articles: DataFrame, last: DataFrame, hours: float) -> DataFrame:
+    """(id, cluster_key, sim) of articles and centres that share a term and may be so many hours apart: spans of that length have numbers, and a centre meets its own and those beside it.
+
+    Articles without a time meet all centres, as a span of their own, and centres without one all articles.
+    """
+    at = lambda c: F.floor(millis(c) / (hours * 3_600_000)).cast("long")
+    none = F.lit(-(1 << 60))
+    p = units.join(articles.select("id", F.coalesce(at(F.col("published_at")), none).alias("span")), "id").select("id", "term", "span", F.col("u").alias("pu"))
+    c = centres.join(last.select("cluster_key", at(F.col("latest")).alias("own")), "cluster_key", "left").select("cluster_key", "term", "own", F.col("u").alias("cu"))
+    spans = F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1, none))
+    timed = p.join(c.where("own is not null").select("cluster_key", "term", "cu", spans.alias("span")), ["term", "span"]).select("id", "cluster_key", "pu", "cu")
+    untimed = p.join(c.where("own is null"), "term").select("id", "cluster_key", "pu", "cu")
+    return timed.unionByName(untimed).groupBy("id", "cluster_key").agg(F.least(F.lit(1.0), F.sum(F.col("pu") * F.col("cu"))).alias("sim"))
+
+
 def expanded(members: DataFrame, articles: DataFrame, postings: DataFrame, similarity: float = 0.65, most: int = 15, hours: float = 48.0, strict: bool = True) -> DataFrame:
     """(cluster_key, id, sim): articles to add to each cluster, on its own: near its centroid, of its category, published around its latest member.
 
-    Candidates must share a term with the centroid, so the join is on terms; category and time are tested on the pairs that come out of it.
+    Candidates must share a term with the centroid and lie in a span of time that its latest member can reach, so the join is on both; category and the exact time are tested on the pairs that come out of it.
     """
     own = lookup(members, articles)
     dom = dominant(own, ["cluster_key"], "category", "ord").withColumnRenamed("category", "dom")
     last = own.groupBy("cluster_key").agg(F.max("published_at").alias("latest"))
     centres = tfidf.centroids(postings, members, "id", "cluster_key")
-    near = tfidf.to_centroids(postings, centres, "id", "cluster_key").where(F.col("sim") >= similarity)
+    near = around(tfidf.unit(postings, "id"), tfidf.unit(centres, "cluster_key"), articles, last, hours).where(F.col("sim") >= similarity)
     found = near.join(members.select("cluster_key", "id"), ["cluster_key", "id"], "left_anti").join(articles.select("id", "category", "published_at", "ord"), "id")
     found = found.join(dom, "cluster_key", "left").join(last, "cluster_key")
     if strict:
