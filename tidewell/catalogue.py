@@ -106,31 +106,31 @@ def blocklist(spark, sf_dir):
     return ingest.without_blocked(table(spark, sf_dir, "pages"), "blog. , /fr/,,", F.col("url")).select("page_id")
 
 
-FEED_ROWS = [("bbc", "BBC News", [("w", "World", "https://b.example/w"), ("t", "Technology", "https://b.example/t")]), ("nyt", "NYT", [("w2", "World", "https://n.example/w")])]
+LANG_SQL = "CASE lang WHEN 'en' THEN 'World' WHEN 'de' THEN 'technology' WHEN 'fr' THEN 'Technology' ELSE 'Politics' END"
+FLAT_SQL = f"(SELECT source AS source_key, upper(source) || ' ' || category AS source_name, lang AS feed_id, category, 'https://' || source || '.example/' || lang AS url, CAST(row_number() OVER (PARTITION BY source ORDER BY lang) - 1 AS INTEGER) AS ord FROM (SELECT DISTINCT source, lang, {LANG_SQL} AS category FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)) f"
 
 
-def feeds(spark):
-    rows = values(spark, FEED_ROWS, "source_key string, name string, feeds array<struct<id: string, category: string, url: string>>")
-    return ingest.flat_feeds(rows)
-
-
-FLAT = [(k, f"{n} {c}", i, c, u, at) for k, n, fs in FEED_ROWS for at, (i, c, u) in enumerate(fs)]
-FLAT_SQL = sql_values(FLAT, "source_key, source_name, feed_id, category, url, ord")
+def feeds(spark, sf_dir):
+    """A registry of the documents' sources, with a feed for each of their languages."""
+    each = table(spark, sf_dir, "documents").where("source is not null and lang is not null").select("source", "lang").distinct()
+    category = F.when(F.col("lang") == "en", "World").when(F.col("lang") == "de", "technology").when(F.col("lang") == "fr", "Technology").otherwise("Politics")
+    feed = F.struct(F.col("lang").alias("id"), category.alias("category"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "lang").alias("url"))
+    return ingest.flat_feeds(each.groupBy(F.col("source").alias("source_key"), F.upper("source").alias("name")).agg(F.array_sort(F.collect_list(feed)).alias("feeds")))
 
 
 @query("flatten_feeds", f"SELECT * FROM {FLAT_SQL}")
 def flatten_feeds(spark, sf_dir):
-    return feeds(spark)
+    return feeds(spark, sf_dir)
 
 
 @query("feeds_by_category", f"SELECT category, list(url ORDER BY ord, url) AS urls FROM {FLAT_SQL} GROUP BY category")
 def feeds_by_category(spark, sf_dir):
-    return ingest.feeds_by_category(feeds(spark))
+    return ingest.feeds_by_category(feeds(spark, sf_dir))
 
 
 @query("source_summary", f"SELECT source_key, count(*) AS feeds, count(DISTINCT category) AS categories, list_sort(list(DISTINCT category)) AS names FROM {FLAT_SQL} GROUP BY source_key")
 def source_summary(spark, sf_dir):
-    return ingest.source_summary(feeds(spark))
+    return ingest.source_summary(feeds(spark, sf_dir))
 
 
 @query("feed_categories", of_articles("SELECT category, min(ord) AS first_seen FROM articles GROUP BY category"))
@@ -173,12 +173,6 @@ def canonical_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical_key(F.col("url"), F.lit(""), F.lit("")).alias("key"))
 
 
-HOST_ROWS = [
-    (1, "https://news.google.com/rss/articles/q1", "Coast News", "https://www.coast.example/front", "coast.example"), (2, "https://www.farmer.example/barley", "The Farmer", "", "farmer.example"),
-    (3, "https://news.google.com/q2", "Coast News", "https://news.google.com/rss/articles/q1", "news.google.com:coast news"), (4, "no address", "Isle", "none either", ""), (5, "https://WWW.ISLE.EXAMPLE/a", "Isle", "https://WWW.ISLE.EXAMPLE", "isle.example"),
-]
-
-
 @query("page_hosts", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'news.google.com:site ' || page_id % 7 ELSE {HOST_SQL} END AS host FROM pages")
 def page_hosts(spark, sf_dir):
     """Hosts of pages; every third comes through an aggregator and goes by its source's name."""
@@ -210,10 +204,13 @@ def feed_quarantine(spark, sf_dir):
     return got.select(F.col("feed_file").cast("long").alias("feed"), F.col("item").cast("long").alias("item"), "title", "link", F.col("reason").isNotNull().alias("rejected"))
 
 
-@query("resolve_host", "SELECT k, host FROM " + sql_values([(r[0], r[4]) for r in HOST_ROWS], "k, host"))
+@query("resolve_host", f"SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'news.google.com:site ' || page_id % 7 WHEN 3 THEN '' ELSE {HOST_SQL} END AS host FROM pages")
 def resolve_host(spark, sf_dir):
-    rows = values(spark, [r[:4] for r in HOST_ROWS], "k int, url string, name string, source string")
-    return rows.select("k", urls.resolved_host(F.col("url"), F.col("source"), F.col("name")).alias("host"))
+    """Pages told by their source's address, by their own, by their source's name where both are an aggregator's, and by nothing."""
+    way, link = F.col("page_id") % 4, F.lit("https://news.google.com/rss/articles/q")
+    url = F.when(way == 1, F.col("url")).when(way == 3, "no address").otherwise(link)
+    source = F.when(way == 0, F.col("url")).when(way == 1, "").when(way == 2, link).otherwise("none either")
+    return table(spark, sf_dir, "pages").select("page_id", urls.resolved_host(url, source, F.concat(F.lit("Site "), (F.col("page_id") % 7).cast("string"))).alias("host"))
 
 
 @query("html_strip", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM pages""")
@@ -221,29 +218,34 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
-IMG_ROWS = [
-    (1, '<p><img src="https://a.example/x.png" width="640" height=480></p>', "https://a.example/x.png", 640, 480), (2, "<img alt='no source'><img src='https://b.example/y.png'>", None, None, None),
-    (3, "<IMG class='c' SRC='https://c.example/z.png' />", "https://c.example/z.png", None, None), (4, "plain", None, None, None), (5, None, None, None, None),
-]
+IMG_SQL = """html || CASE WHEN page_id % 3 = 0 THEN '<img alt=''none''>' ELSE '' END || '<IMG class=''c'' src="https://i.example/' || page_id || '.png" width="' || page_id % 900 || '" height=' || page_id % 700 || '>'"""
 
 
-@query("html_first_img", "SELECT k, src, width, height FROM " + sql_values([(r[0], *r[2:]) for r in IMG_ROWS], "k, src, width, height"))
+@query("html_first_img", rf"""WITH t AS (SELECT page_id, regexp_extract({IMG_SQL}, '(?i)<img[^>]*>') AS tag FROM pages)
+SELECT page_id, nullif(regexp_extract(tag, '(?i)\ssrc\s*=\s*"([^"]+)"', 1), '') AS src, TRY_CAST(regexp_extract(tag, '(?i)\swidth\s*=\s*"?([0-9]+)', 1) AS INTEGER) AS width, TRY_CAST(regexp_extract(tag, '(?i)\sheight\s*=\s*"?([0-9]+)', 1) AS INTEGER) AS height FROM t""")
 def html_first_img(spark, sf_dir):
-    rows = values(spark, [r[:2] for r in IMG_ROWS], "k int, html string")
-    return rows.select("k", images.first_img(F.col("html")).alias("i")).select("k", "i.*")
+    """Pages with an image at their end; before every third of them stands one without a source."""
+    none = F.when(F.col("page_id") % 3 == 0, "<img alt='none'>").otherwise("")
+    tag = F.format_string("<IMG class='c' src=\"https://i.example/%d.png\" width=\"%d\" height=%d>", "page_id", F.col("page_id") % 900, F.col("page_id") % 700)
+    rows = table(spark, sf_dir, "pages").select("page_id", images.first_img(F.concat("html", none, tag)).alias("i"))
+    return rows.select("page_id", "i.*")
 
 
-IMAGE_ROWS = [
-    (1, "https://ichef.bbci.co.uk/ace/standard/240/cps/a.jpg", "https://ichef.bbci.co.uk/ace/standard/976/cps/a.jpg", 240, None, False), (2, "https://ichef.bbci.co.uk/news/624/x.jpg", "https://ichef.bbci.co.uk/news/976/x.jpg", 624, None, True),
-    (3, "https://ichef.bbci.co.uk/images/ic/320x180/p.jpg", "https://ichef.bbci.co.uk/images/ic/976x976/p.jpg", 320, 180, False), (4, "https://i.guim.co.uk/img/m.jpg?width=140&quality=85", "https://i.guim.co.uk/img/m.jpg?width=140&quality=85", 140, None, False),
-    (5, "https://techmeme.com/i.jpg", "https://techmeme.com/i.jpg", 120, None, False), (6, "https://img.example.com/a.jpg?width=9", "https://img.example.com/a.jpg?width=9", None, None, True),
-]
+W_PX, H_PX = "(page_id % 9 + 1) * 80", "(page_id % 7 + 1) * 60"
+IMAGE_SQL = f"""CASE page_id % 5 WHEN 0 THEN 'https://ichef.bbci.co.uk/ace/standard/' || W || '/cps/' || page_id || '.jpg' WHEN 1 THEN 'https://ichef.bbci.co.uk/news/' || W || '/' || page_id || '.jpg'
+  WHEN 2 THEN 'https://ichef.bbci.co.uk/images/ic/' || W || '/p.jpg' WHEN 3 THEN 'https://i.guim.co.uk/img/m.jpg?width=' || {W_PX} || '&quality=85' ELSE url END"""
 
 
-@query("image_dims", "SELECT k, better, width, height, fits FROM " + sql_values([(r[0], *r[2:]) for r in IMAGE_ROWS], "k, better, width, height, fits"))
+@query("image_dims", f"""WITH d AS (SELECT page_id, {IMAGE_SQL.replace("W ||", "CASE WHEN page_id % 5 = 2 THEN '976x976' ELSE '976' END ||")} AS better, CASE WHEN page_id % 5 < 4 THEN CAST({W_PX} AS INTEGER) END AS width, CASE WHEN page_id % 5 = 2 THEN CAST({H_PX} AS INTEGER) END AS height FROM pages)
+SELECT *, NOT coalesce(width < 320, false) AND NOT coalesce(height < 200, false) AS fits FROM d""")
 def image_dims(spark, sf_dir):
-    rows = values(spark, [r[:2] for r in IMAGE_ROWS], "k int, url string").withColumn("d", images.inferred_dims(F.col("url")))
-    return rows.select("k", images.normalized(F.col("url")).alias("better"), "d.width", "d.height", images.large_enough(F.col("d.width"), F.col("d.height"), 320, 200).alias("fits"))
+    """Addresses that tell a width, both sizes or none."""
+    w, h = (F.expr(x).cast("string") for x in (W_PX, H_PX))
+    way, bbc, n = F.col("page_id") % 5, F.lit("https://ichef.bbci.co.uk/"), F.concat(F.col("page_id").cast("string"), F.lit(".jpg"))
+    url = F.when(way == 0, F.concat(bbc, F.lit("ace/standard/"), w, F.lit("/cps/"), n)).when(way == 1, F.concat(bbc, F.lit("news/"), w, F.lit("/"), n)).when(way == 2, F.concat(bbc, F.lit("images/ic/"), w, F.lit("x"), h, F.lit("/p.jpg")))
+    url = url.when(way == 3, F.concat(F.lit("https://i.guim.co.uk/img/m.jpg?width="), w, F.lit("&quality=85"))).otherwise(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", url.alias("url")).withColumn("d", images.inferred_dims(F.col("url")))
+    return rows.select("page_id", images.normalized(F.col("url")).alias("better"), "d.width", "d.height", images.large_enough(F.col("d.width"), F.col("d.height"), 320, 200).alias("fits"))
 
 
 @query("image_pick", of_articles("SELECT id, CASE WHEN url_to_image = '' THEN 'https://placehold.co/600x400?text=' || source_name ELSE url_to_image END AS image, url_to_image <> '' AND NOT contains(url_to_image, 'placehold.co') AS useful FROM articles"))
@@ -254,26 +256,32 @@ def image_pick(spark, sf_dir):
 
 # --- titles -----------------------------------------------------------------------------------------------------------------------
 
-TITLE_ROWS = [
-    (1, "Harbour-Lindqvist leaves as Tarn coach – Coast News", "Harbour-Lindqvist leaves as Tarn coach", None), (2, "Hail ruins late barley crop | The Farmer", "Hail ruins late barley crop", None),
-    (3, "Ferry line adds 12 ships for summer – Isle News | Travel", "Ferry line adds 12 ships for summer", None), (4, "Up – down days", "Up – down days", None), (5, "Tea | Milk", "Tea | Milk", None), (6, "", "", None),
-    (7, "9/9: Monday Evening – DAILY > Town News", "9/9: Monday Evening", None), (8, "Headline - Part two - The Paper", "Headline - Part two - The Paper", "The Paper"), (9, " - x", " - x", None),
-]
+BEGIN_SQL = "SELECT doc_id, source, trim(regexp_extract(regexp_replace(text, '[^A-Za-z ]', '', 'g'), '^.{0,60}')) AS t FROM documents WHERE source IS NOT NULL"
 
 
-@query("title_clean", "SELECT k, clean, publisher FROM " + sql_values([(r[0], *r[2:]) for r in TITLE_ROWS], "k, clean, publisher"))
-def title_clean(spark, sf_dir):
-    rows = values(spark, [r[:2] for r in TITLE_ROWS], "k int, title string")
-    return rows.select("k", titles.clean(F.col("title")).alias("clean"), titles.publisher(F.col("title")).alias("publisher"))
+def begins(spark, sf_dir):
+    """(doc_id, source, t): the letters that documents begin with."""
+    begin = F.trim(F.regexp_extract(F.regexp_replace("text", "[^A-Za-z ]", ""), "^.{0,60}", 0))
+    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", begin.alias("t")).where("t <> ''")
 
 
-SOURCE_ROWS = [(1, "BBC", "t - x", "feed", "BBC"), (2, "Google News", "Big story - Reuters", "feed", "Reuters"), (3, "https://www.cnn.com/a", "Big story", "feed", "Cnn"), (4, None, "Big story - AP", "Google News", "AP"), (5, "Google News", "Big story", "feed", "Google News")]
+@query("title_clean", f"""SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN t || ' - ' || source ELSE CASE WHEN length(t) > 8 THEN t WHEN doc_id % 4 = 0 THEN t || ' – ' || source WHEN doc_id % 4 = 1 THEN t || ' | ' || source WHEN length(t) > 1 THEN t || ' – News' ELSE t || ' – News | ' || source END END AS clean,
+CASE WHEN doc_id % 4 = 3 THEN source END AS publisher FROM ({BEGIN_SQL}) WHERE t <> ''""")
+def title_clean(spark, sf_dir):
+    """Beginnings of documents with their source behind a dash, a bar, both, or a hyphen."""
+    way = F.col("doc_id") % 4
+    mark = F.when(way == 0, " – ").when(way == 1, " | ").when(way == 2, " – News | ").otherwise(" - ")
+    title = F.concat("t", mark, "source")
+    return begins(spark, sf_dir).select("doc_id", titles.clean(title).alias("clean"), titles.publisher(title).alias("publisher"))
 
 
-@query("publisher_name", "SELECT k, name FROM " + sql_values([(r[0], r[4]) for r in SOURCE_ROWS], "k, name"))
+@query("publisher_name", f"SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN upper(source[1]) || source[2:] WHEN 4 THEN 'Google News' ELSE source END AS name FROM ({BEGIN_SQL}) WHERE t <> ''")
 def publisher_name(spark, sf_dir):
-    rows = values(spark, [r[:4] for r in SOURCE_ROWS], "k int, name string, title string, feed string")
-    return rows.select("k", titles.source_name(F.col("name"), F.col("title"), F.col("feed")).alias("name"))
+    """Items that name their source, whose title does, whose address does, without a name, and with the aggregator's alone."""
+    way = F.col("doc_id") % 5
+    name = F.when(way == 0, F.col("source")).when(way == 2, F.concat(F.lit("https://www."), "source", F.lit(".example/a"))).when(way != 3, "Google News")
+    title = F.when(way.isin(1, 3), F.concat("t", F.lit(" - "), "source")).otherwise(F.col("t"))
+    return begins(spark, sf_dir).select("doc_id", titles.source_name(name, title, F.lit("Google News")).alias("name"))
 
 
 @query("short_hash", r"""SELECT doc_id, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS HUGEINT))), lambda h, c: (h * 31 + c + 2147483648) % 4294967296 - 2147483648 + CASE WHEN (h * 31 + c + 2147483648) % 4294967296 < 0 THEN 4294967296 ELSE 0 END)::BIGINT AS hash FROM documents""")
@@ -284,7 +292,10 @@ def short_hash(spark, sf_dir):
     return rows.where(F.conv("h", 36, 10).cast("long") == F.abs(value)).select("doc_id", value.alias("hash"))
 
 
-@query("cluster_id")
+HASH_SQL = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(TEXT, ''), lambda c: CAST(unicode(c) AS HUGEINT))), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)"
+
+
+@query("cluster_id", of_articles(f"""SELECT cluster_key, 'cluster-' || lower(to_base(CAST(abs({HASH_SQL.replace("TEXT", "array_to_string(ids, '|')")}) AS BIGINT), 36)) AS id, 'cluster-' || array_to_string(ids, '-') AS summary_id FROM (SELECT cluster_key, list(id ORDER BY id) AS ids FROM members GROUP BY ALL)"""))
 def cluster_id(spark, sf_dir):
     return clusters(members(spark, sf_dir)).select("cluster_key", hashing.set_id(F.col("article_ids")).alias("id"), digest.cluster_summary_id(F.col("article_ids"), F.col("cluster_title")).alias("summary_id"))
 
@@ -403,9 +414,9 @@ def unclustered_anti(spark, sf_dir):
     return stories.unclustered(docs, marks).select(F.col("id").alias("doc_id"))
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def customers_without_orders(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("cluster_lookup", of_articles("SELECT cluster_key, pos, id, title FROM members"))
@@ -462,13 +473,12 @@ def expand_members(spark, sf_dir):
     return out.select("cluster_key", "id", F.round("sim", 6).alias("sim"), long(F.col("rank")).alias("rank"))
 
 
-GROUP_ROWS = [(0, ["a", "b"]), (1, ["b", "c"]), (2, ["d"]), (3, ["e", "a"])]
-
-
-@query("llm_groups_apply", "SELECT * FROM (VALUES ('a,b,e', 0), ('b,c', -2), ('d', -3)) v(ids, \"group\")")
+@query("llm_groups_apply", of_articles("""SELECT "group", array_to_string(list(id ORDER BY cluster_key, pos), ',') AS ids FROM (SELECT *, CASE WHEN cluster_key % 3 < 2 THEN cluster_key // 3 ELSE -1 - cluster_key END AS "group" FROM members) GROUP BY ALL"""))
 def llm_groups_apply(spark, sf_dir):
-    found = stories.apply_groups(values(spark, GROUP_ROWS, "cluster_key int, article_ids array<string>"), values(spark, [(0, 0), (0, 3)], "group int, cluster_key int"))
-    return found.select(F.col("group"), F.array_join("ids", ",").alias("ids"))
+    """Of each three clusters the first two belong together."""
+    own = clusters(members(spark, sf_dir))
+    groups = own.where("cluster_key % 3 < 2").select(F.floor(F.col("cluster_key") / 3).alias("group"), "cluster_key")
+    return stories.apply_groups(own, groups).select("group", F.array_join("ids", ",").alias("ids"))
 
 
 # --- enrichment, scores -----------------------------------------------------------------------------------------------------------
@@ -657,15 +667,12 @@ def circuit_breaker(spark, sf_dir):
     return state.breaker(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
 
 
-#: Failures by feed, in minutes of the day: two, a pause and a third; three and one within the pause; three and one after it; three long ago; one.
-FAILURE_ROWS = [("late third", [0, 5, 595]), ("within", [560, 570, 575, 590]), ("after", [480, 485, 490, 580]), ("long ago", [0, 1, 2]), ("one", [3]), ("exactly", [10, 20, 30, 60, 61])]
-FAILURES = [(feed, f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00") for feed, ms in FAILURE_ROWS for m in ms]
-
-
-@query("breaker_cases", breaker_sql("(SELECT feed, CAST(moment AS TIMESTAMP) AS ts FROM " + sql_values(FAILURES, "feed, moment") + ")", "feed", "2024-01-01 10:00:00"))
+@query("breaker_cases", breaker_sql("(SELECT user_id, date_trunc('minute', ts) - INTERVAL (event_id % 5 * 30) MINUTE AS ts FROM events WHERE event_type <> 'view')", "user_id", "2024-01-16"))
 def breaker_cases(spark, sf_dir):
-    rows = values(spark, FAILURES, "feed string, moment string").select("feed", F.col("moment").cast("timestamp_ntz").alias("ts"))
-    return state.breaker(rows, "feed", "ts", F.lit(True), F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
+    """Dense failures on whole minutes, so that pauses end exactly and times coincide, seen from the middle of them."""
+    back = F.make_dt_interval(mins=(F.col("event_id") % 5 * 30).cast("int"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", (F.date_trunc("minute", "ts") - back).alias("ts"))
+    return state.breaker(rows, "user_id", "ts", F.col("event_type") != "view", F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
 
 
 @query("refresh_status", "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'idle' WHEN 'purchase' THEN 'idle' ELSE 'refreshing' END AS state, value > 360 AS stale, 50 + CAST(floor((event_id % 11) / 10.0 * 40) AS BIGINT) AS progress FROM events")
@@ -675,10 +682,10 @@ def refresh_status(spark, sf_dir):
     return rows.select("event_id", "state", "stale", state.progress(F.col("event_id") % 11, F.lit(10)).alias("progress"))
 
 
-@query("backoff_ladder", "SELECT k, CAST(least(5000 * 2 ** (k - 1), 60000) AS BIGINT) AS ms, CASE WHEN k * 40 < 300 THEN 30.0 WHEN k * 40 < 330 THEN 5.0 WHEN k * 40 < 360 THEN 2.0 ELSE 1.0 END::DOUBLE AS idle, CASE WHEN k * 40 < 300 THEN 15.0 WHEN k * 40 < 330 THEN 2.0 WHEN k * 40 < 360 THEN 1.0 ELSE 0.5 END::DOUBLE AS waiting FROM (SELECT unnest(range(1, 11)) AS k)")
+@query("backoff_ladder", "SELECT event_id, CAST(least(5000 * 2 ** (event_id % 10), 60000) AS BIGINT) AS ms, CASE WHEN value < 300 THEN 30.0 WHEN value < 330 THEN 5.0 WHEN value < 360 THEN 2.0 ELSE 1.0 END::DOUBLE AS idle, CASE WHEN value < 300 THEN 15.0 WHEN value < 330 THEN 2.0 WHEN value < 360 THEN 1.0 ELSE 0.5 END::DOUBLE AS waiting FROM events")
 def backoff_ladder(spark, sf_dir):
-    k = F.col("k")
-    return spark.range(1, 11).withColumnRenamed("id", "k").select("k", times.backoff_ms(k, 5000, 60000).alias("ms"), times.idle_minutes(k * 40).alias("idle"), times.idle_minutes(k * 40, True).alias("waiting"))
+    age = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", times.backoff_ms(F.col("event_id") % 10 + 1, 5000, 60000).alias("ms"), times.idle_minutes(age).alias("idle"), times.idle_minutes(age, True).alias("waiting"))
 
 
 # --- summaries --------------------------------------------------------------------------------------------------------------------
@@ -697,13 +704,13 @@ def digest_parse(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", digest.parsed(F.col("text")).alias("d")).select("conv_id", "turn", "d.lede", F.array_join("d.takeaways", "|").alias("takeaways"))
 
 
-JSON_ROWS = [(1, '{"lede": " L. ", "takeaways": ["a", " b ", "", "c", "d"]}', "L.", "a|b|c"), (2, "One. Two! Three? Four.", "One.", "Two!|Three?"), (3, "", "", ""), (4, None, "", ""), (5, "{bad json. Yes.", "{bad json.", "Yes.")]
-
-
-@query("digest_json", "SELECT k, lede, takeaways FROM " + sql_values([(r[0], *r[2:]) for r in JSON_ROWS], "k, lede, takeaways"))
+@query("digest_json", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN trim(coalesce(text, '')) WHEN 1 THEN '{bad ' || role || '.' ELSE '' END AS lede, CASE turn % 3 WHEN 0 THEN role || '|b|c' WHEN 1 THEN 'Yes.|No!' ELSE '' END AS takeaways FROM conversations")
 def digest_json(spark, sf_dir):
-    rows = values(spark, [r[:2] for r in JSON_ROWS], "k int, s string").select("k", digest.parsed(F.col("s")).alias("d"))
-    return rows.select("k", "d.lede", F.array_join("d.takeaways", "|").alias("takeaways"))
+    """Turns as digests in JSON, as something that only begins like it, and missing."""
+    whole = F.to_json(F.struct(F.concat(F.lit(" "), "text", F.lit(" ")).alias("lede"), F.array(F.concat("role", F.lit(" ")), F.lit(" b "), F.lit(""), F.lit("c"), F.lit("d")).alias("takeaways")))
+    s = F.when(F.col("turn") % 3 == 0, whole).when(F.col("turn") % 3 == 1, F.concat(F.lit("{bad "), "role", F.lit(". Yes. No! More.")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", digest.parsed(s).alias("d"))
+    return rows.select("conv_id", "turn", "d.lede", F.array_join("d.takeaways", "|").alias("takeaways"))
 
 
 @query("summary_fallback_article", r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN instr(t, '.') > 41 THEN substring(t, 1, instr(t, '.')) ELSE substring(t, 1, 150) END AS summary FROM c""")
@@ -855,11 +862,11 @@ SELECT cluster_key, array_to_string((list(url_to_image ORDER BY place))[1:4], '
         pictures = once.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url_to_image"))), lambda x: x["url_to_image"]).alias("image_urls"))
         return page.collage(pictures, m).select("cluster_key", F.array_join("urls", " ").alias("urls"))
 
-    @query("image_grid", "SELECT c, i, r, CASE WHEN c = 1 THEN '2x2' WHEN c = 2 THEN CASE WHEN r = 1 THEN '2x1' ELSE '1x2' END WHEN c = 3 THEN CASE WHEN r > 0 THEN CASE WHEN i = 0 THEN '2x1' ELSE '1x1' END WHEN i = 0 THEN '1x2' ELSE '1x1' END ELSE '1x1' END AS cell FROM range(1, 6) a(c), range(0, 5) b(i), range(0, 2) d(r) WHERE i < c")
+    @query("image_grid", "WITH g AS (SELECT doc_id, doc_id % 5 + 1 AS c, doc_id // 5 % (doc_id % 5 + 1) AS i, doc_id % 7 <> 0 AS wide FROM documents) SELECT doc_id, CASE WHEN c = 1 THEN '2x2' WHEN c = 2 THEN CASE WHEN wide THEN '2x1' ELSE '1x2' END WHEN c = 3 THEN CASE WHEN i > 0 THEN '1x1' WHEN wide THEN '2x1' ELSE '1x2' END ELSE '1x1' END AS cell FROM g")
     def image_grid(spark, sf_dir):
-        cells = [(c, i, r) for c in range(1, 6) for i in range(c) for r in range(2)]
-        ratio = F.when(F.col("r") == 1, 1.5).otherwise(1.0)
-        return values(spark, cells, "c long, i long, r long").withColumn("cell", page.grid_cell(F.col("c"), F.col("i"), ratio, ratio))
+        """Articles as cells of grids of one to five images, by the ratio of their own."""
+        n, ratio = F.col("doc_id") % 5 + 1, F.col("image_width") / F.col("image_height")
+        return articles(spark, sf_dir).select("doc_id", page.grid_cell(n, F.floor(F.col("doc_id") / 5) % n, ratio, ratio).alias("cell"))
 
     @query("related_lookup", "SELECT k AS cluster_key, k + 1 AS related_key, doc_n AS related_size FROM (SELECT unnest(range(0, 40)) AS k) JOIN (SELECT doc_id % 37 AS g, count(*) AS doc_n FROM documents GROUP BY ALL) ON g = k + 1")
     def related_lookup(spark, sf_dir):
@@ -877,21 +884,23 @@ SELECT cluster_key, array_to_string((list(url_to_image ORDER BY place))[1:4], '
         c = F.col("text")
         return table(spark, sf_dir, "conversations").select("conv_id", "turn", page.wants_summary(c, True).alias("manual"), page.wants_summary(c, False).alias("auto"), page.has_server_summary(c).alias("server"))
 
-    errors = [(1, "Error 429: slow down", None, None, True), (2, "Spend Limit hit", None, None, True), (3, "x", "rate_limit_exceeded", None, True), (4, "x", None, 429, True), (5, "invalid api key", None, 403, False), (6, None, None, None, False)]
-
-    @query("rate_limit_errors", "SELECT k, limited FROM " + sql_values([(r[0], r[4]) for r in errors], "k, limited"))
+    @query("rate_limit_errors", "SELECT event_id, event_type IN ('error', 'click') OR contains(coalesce(props, ''), '429') OR user_id % 4 = 0 OR event_id % 7 = 0 AS limited FROM events")
     def rate_limit_errors(spark, sf_dir):
-        rows = values(spark, [r[:4] for r in errors], "k int, message string, code string, status int")
-        return rows.select("k", page.is_rate_limit(F.col("message"), F.col("code"), F.col("status")).alias("limited"))
+        """Errors that tell a limit by their message, in either spelling, by a code, a status, or not."""
+        message = F.when(F.col("event_type") == "error", "Error 429: slow down").when(F.col("event_type") == "click", "Spend Limit hit").otherwise(F.col("props"))
+        code, status = F.when(F.col("user_id") % 4 == 0, "rate_limit_exceeded"), F.when(F.col("event_id") % 7 == 0, 429).when(F.col("event_id") % 7 < 3, 403)
+        return table(spark, sf_dir, "events").select("event_id", page.is_rate_limit(message, code, status).alias("limited"))
 
-    @query("llm_valid_clusters", "SELECT k, ok FROM (VALUES (1, true), (2, false), (3, false), (4, false)) v(k, ok)")
+    @query("llm_valid_clusters", of_articles("SELECT cluster_key, cluster_key % 4 < 2 AND arg_min(title, pos) <> '' AND count(*) FILTER (cluster_key % 3 > 0 OR pos = 0) >= 2 AS ok FROM members GROUP BY cluster_key"))
     def llm_valid_clusters(spark, sf_dir):
-        rows = values(spark, [(1, "t", ["a", "b"]), (2, "", ["a", "b"]), (3, "t", ["a"]), (4, None, None)], "k int, title string, ids array<string>")
-        return rows.select("k", page.is_valid_cluster(F.col("title"), F.col("ids")).alias("ok"))
+        """Clusters of which some have lost their title and some all members but one."""
+        title = F.when(F.col("cluster_key") % 4 < 2, F.col("cluster_title")).when(F.col("cluster_key") % 4 == 2, "")
+        ids = F.when(F.col("cluster_key") % 3 == 0, F.slice("article_ids", 1, 1)).otherwise(F.col("article_ids"))
+        return clusters(members(spark, sf_dir)).select("cluster_key", page.is_valid_cluster(title, ids).alias("ok"))
 
-    @query("feed_lookups", f"SELECT source_key, bool_or(lower(category) = 'technology') AS has_tech, bool_or(category = 'World') AS has_world FROM {FLAT_SQL} GROUP BY source_key")
+    @query("feed_lookups", f"SELECT source_key, bool_or(lower(category) = 'technology') AS has_feed, bool_or(category = 'Technology') AS has_category, list(url ORDER BY ord) AS urls FROM {FLAT_SQL} GROUP BY source_key")
     def feed_lookups(spark, sf_dir):
-        return feeds(spark).groupBy("source_key").agg(F.bool_or(F.lower("category") == "technology").alias("has_tech"), F.bool_or(F.col("category") == "World").alias("has_world"))
+        return ingest.lookups(feeds(spark, sf_dir), "Technology")
 
     @query("published_labels", "SELECT event_id, strftime(ts, '%b %-d, %-I:%M %p') AS label, CASE WHEN (epoch_us(TIMESTAMP '2024-01-31') // 1000 - epoch_us(ts) // 1000) / 3.6e6 < 1 THEN 'new' ELSE CAST(floor((epoch_us(TIMESTAMP '2024-01-31') // 1000 - epoch_us(ts) // 1000) / 3.6e6) AS BIGINT) || 'h' END AS age FROM events")
     def published_labels(spark, sf_dir):
@@ -972,12 +981,12 @@ def _answers() -> None:
         out = serving.page_answer(table(spark, sf_dir, "events"), at, F.col("user_id") % 2 == 1, mode, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
         return out.select("event_id", "status", "from_cache", "age_minutes", "retry_after")
 
-    feeds = [(1, "The Title", "About", "https://a.example/f"), (2, "", "About", "https://a.example/f"), (3, None, None, "https://www.b.example/f"), (4, "", "", "junk")]
-
-    @query("feed_title", "SELECT k, title FROM " + sql_values([(1, "The Title"), (2, "About"), (3, "www.b.example"), (4, "Unknown Source")], "k, title"))
+    @query("feed_title", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Feed ' || page_id WHEN 1 THEN 'About ' || page_id WHEN 2 THEN lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) ELSE 'Unknown Source' END AS title FROM pages")
     def feed_title(spark, sf_dir):
-        rows = values(spark, feeds, "k int, name string, about string, url string")
-        return rows.select("k", titles.feed_title(F.col("name"), F.col("about"), F.col("url")).alias("title"))
+        """Pages as feeds with a title, a description, an address, or nothing to go by."""
+        way, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+        name, about = F.when(way == 0, F.concat(F.lit("Feed "), n)).when(way == 1, ""), F.when(way < 2, F.concat(F.lit("About "), n))
+        return table(spark, sf_dir, "pages").select("page_id", titles.feed_title(name, about, F.when(way == 3, "junk").otherwise(F.col("url"))).alias("title"))
 
 
 _answers()

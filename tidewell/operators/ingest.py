@@ -27,6 +27,14 @@ def source_summary(feeds: DataFrame) -> DataFrame:
     return feeds.groupBy("source_key").agg(F.count("*").alias("feeds"), F.count_distinct("category").alias("categories"), F.array_sort(F.collect_set("category")).alias("names"))
 
 
+def lookups(feeds: DataFrame, category: str) -> DataFrame:
+    """(source_key, has_feed, has_category, urls): whether a source has a feed of a category, whatever its case, and exactly so; and its feeds in order."""
+    one = F.col("category")
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda f: f["url"])
+    found = [F.coalesce(F.bool_or(x), F.lit(False)) for x in (F.lower(one) == category.lower(), one == category)]
+    return feeds.groupBy("source_key").agg(found[0].alias("has_feed"), found[1].alias("has_category"), lists.alias("urls"))
+
+
 def without_blocked(rows: DataFrame, blocklist: str, url: Column) -> DataFrame:
     """Rows whose address contains none of the comma-separated texts."""
     blocked = [b.strip() for b in blocklist.split(",") if b.strip()]
