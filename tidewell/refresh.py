@@ -17,7 +17,7 @@ from .params import Params
 from .plans.intake import all_news
 from .plans.stories import Model, ranked_stories
 from .sources.lock import Lock
-from .sources.store import LOG, KeyValue, write_snapshot
+from .sources.store import KeyValue, write_snapshot
 
 STATUS, LOCK_SECONDS, ERROR_SECONDS = "refresh-status", 600, 180
 
@@ -72,7 +72,6 @@ def main(args: list[str] | None = None) -> bool:
     parser.add_argument("--feed-url", help="the column of articles that holds a feed's address")
     got = parser.parse_args(args)
     spark = SparkSession.builder.appName("refresh").getOrCreate()
-    spark.createDataFrame([], LOG).write.mode("append").parquet(got.store)
     return Refresh(spark, KeyValue(spark, got.store, ["main:"]), got.as_of).run(spark.read.parquet(got.articles), got.out, got.as_of, feed_url=got.feed_url)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,31 @@ def file_system(spark: SparkSession, path: str):
     """(file system, path) of the JVM's Hadoop client, for any store that Spark reads."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def put_once(spark: SparkSession, path: str, content: str) -> bool:
+    """Makes a small file with all of its content, unless it is there; whether this call has made it.
+
+    It is written under another name and renamed, which Hadoop's stores refuse if the name is taken; the client of a local folder would replace it, so there it gets its name by a hard link.
+    """
+    fs, at = file_system(spark, path)
+    fs.mkdirs(at.getParent())
+    if fs.getScheme() == "file":
+        target = Path(unquote(urlparse(at.toUri().toString()).path))
+        draft = target.with_name(f"_{uuid.uuid4().hex}")
+        draft.write_text(content, encoding="utf-8")
+        try:
+            os.link(draft, target)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            draft.unlink()
+    _, draft = file_system(spark, f"{at.getParent()}/_{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if not fs.exists(at) and fs.rename(draft, at):
+        return True
+    fs.delete(draft, False)
+    return False
