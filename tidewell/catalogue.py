@@ -13,6 +13,7 @@ from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, article
 from .functions import digest, entities, hashing, images, text, times, titles, topics, urls
 from .operators import enrich, greedy, ingest, merging, ranking, state, stories, tfidf
 from .operators import topics as topic_ops
+from .plans import summaries
 from .sources.scratch import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -990,3 +991,34 @@ def _answers() -> None:
 
 
 _answers()
+
+
+# --- what a model is asked for ----------------------------------------------------------------------------------------------------
+
+
+@query("short_summary", r"""WITH f AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM conversations), s AS (SELECT *, regexp_extract(t, '(.+?[.!?])( |$)', 1) AS one, t[:140] AS cut FROM f)
+SELECT conv_id, turn, CASE WHEN one <> '' THEN one WHEN contains(cut, '.') AND length(cut) - instr(reverse(cut), '.') + 1 > 41 THEN cut[:length(cut) - instr(reverse(cut), '.') + 1] ELSE cut END AS short FROM s""")
+def short_summary(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", summaries.short_summary(F.col("text")).alias("short"))
+
+
+SOURCES_SQL = "'Source: ' || source_name || chr(10) || 'Title: ' || title || chr(10) || 'Summary: ' || description || chr(10) || 'Content: ' || content || chr(10) || 'Published: ' || CAST(published_at AS VARCHAR) || chr(10) || 'URL: ' || url || chr(10) || chr(10)"
+
+
+@query("summary_requests", of_articles(f"""SELECT 'Summary-v2-cluster-cluster-' || array_to_string(list(id ORDER BY id), '-') AS key, 'cluster' AS purpose, cluster_key + 1 AS place, md5(array_to_string((list({SOURCES_SQL} ORDER BY pos))[:50], '--- ' || chr(10))) AS content, array_to_string((list(title ORDER BY pos))[:50], '|') AS titles FROM members WHERE cluster_key < 10 GROUP BY cluster_key
+UNION ALL SELECT 'Summary-v1-article-' || id, 'article', place + 10, md5(content), title FROM (SELECT *, row_number() OVER (ORDER BY published_at DESC, ord) AS place FROM articles) WHERE place <= 15 AND NOT (doc_id % 2 = 0 AND doc_id % 3 > 0)"""))
+def summary_requests(spark, sf_dir):
+    """What the first clusters and the newest articles lack, where the store has every second article's summary and of these each third an empty one."""
+    rows = articles(spark, sf_dir)
+    firsts = clusters(members(spark, sf_dir)).select(F.lit(0).alias("edition"), "cluster_title", "article_ids", (F.col("cluster_key") + 1).alias("rank"), F.lit("").alias("summary"))
+    live = rows.where("doc_id % 2 = 0").select(digest.summary_key("article", F.col("id")).alias("key"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("kept").alias("value"))
+    out = summaries.missing(summaries.requests(firsts, rows), live)
+    return out.select("key", "purpose", "place", F.md5("content").alias("content"), F.array_join("titles", "|").alias("titles"))
+
+
+@query("refresh_trigger", "SELECT event_id, user_id % 3 > 0 AND coalesce(event_type = 'error' OR epoch_us(TIMESTAMP '2024-01-16') // 1000 - epoch_us(ts) // 1000 > 21600000, true) AS starts FROM events")
+def refresh_trigger(spark, sf_dir):
+    """Events as requests in the three modes, for pages stored at their time or, for errors, at none."""
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("cron-only", "request-refresh", "request-generate")]), (F.col("user_id") % 3 + 1).cast("int"))
+    at = F.when(F.col("event_type") != "error", F.col("ts"))
+    return table(spark, sf_dir, "events").select("event_id", summaries.wants_refresh(at, mode, F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")).alias("starts"))

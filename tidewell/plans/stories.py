@@ -37,12 +37,14 @@ class Model:
     """What a language model may do in the plan; each part may be missing, and a deterministic rule stands in its place.
 
     refine and merge are called within an edition (operators.greedy.Refine, Merge). assess gets the clusters of unclear severity among the first of each edition
-    (edition, cluster_key, cluster_title, label, ...) and answers with (cluster_key, level, label) for those it can judge.
+    (edition, cluster_key, cluster_title, article_ids, label, ...) and answers with (cluster_key, level, label) for those it can judge; plans.summaries.severities asks about one at a time. summarise
+    is asked for the summaries of the first stories and articles (plans.summaries.generate) once an edition stands.
     """
 
     refine: greedy.Refine | None = None
     merge: greedy.Merge | None = None
     assess: Callable[[DataFrame], DataFrame] | None = None
+    summarise: Callable[[str, str], str] | None = None
 
 
 def raw_clusters(articles: DataFrame, p: Params = Params(), refine: bool = True, model: Model = Model()) -> DataFrame:
@@ -74,9 +76,9 @@ def ranked_stories(articles: DataFrame, meta: DataFrame, as_of: Column, p: Param
     pictures = saved(enrich.images(shown, once, p))
     scores = ranking.scored(shown.withColumn("pos", F.col("shown")), pictures, meta, as_of, p)
     if model.assess:
-        scores = saved(scores.join(clusters.select("edition", "cluster_key", "cluster_title"), "cluster_key"))
+        scores = saved(scores.join(clusters.select("edition", "cluster_key", "cluster_title", "article_ids"), "cluster_key"))
         answers = model.assess(ranking.to_assess(scores, p.severity_llm_top_n, ["edition"]))
-        scores = ranking.reassessed(scores, answers, p.severity_llm_top_n, p, ["edition"]).drop("edition", "cluster_title")
+        scores = ranking.reassessed(scores, answers, p.severity_llm_top_n, p, ["edition"]).drop("edition", "cluster_title", "article_ids")
     links = saved(stories.related(clusters, members.drop("edition"), articles, p.related_min_shared, p.related_min_length, p.related_min_coherence, p.related_max, scope="edition"))
     named = clusters.withColumn("id", set_id(F.col("article_ids")))
     near = links.join(named.select(F.col("cluster_key").alias("related_key"), F.col("id").alias("related_id")), "related_key")

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims
+from .operators.state import progress
 from .params import Params
+from .plans import summaries
 from .plans.intake import all_news
 from .plans.stories import Model, ranked_stories
+from .sources.scratch import saved
 from .sources.lock import Lock
 from .sources.store import KeyValue, write_snapshot
 
@@ -27,7 +30,7 @@ class Overtaken(Exception):
 
 
 class Refresh:
-    """One run at a time. Stages: started 0, news 10, stories 50, stored 95, complete 100; error on a failure, for three minutes.
+    """One run at a time. Stages: started 0, news 10, stories 50, with a model that writes them summaries 90, stored 95, complete 100; error on a failure, for three minutes.
 
     The lock lies beside the store. States carry the lock's generation, so those of a later run win whatever its as_of.
     """
@@ -49,8 +52,12 @@ class Refresh:
             self.say("started:0")
             news = all_news(articles, "source_name", p, feed_url).withColumn("edition", F.lit(0).cast("long"))
             self.say("news:10")
-            stories = ranked_stories(news, dims.category_meta(self.spark), self.now, p, model)
+            stories = saved(ranked_stories(news, dims.category_meta(self.spark), self.now, p, model))
             self.say("stories:50")
+            if model.summarise:
+                asked = stories.withColumn("summary", F.lit(None).cast("string"))  # the titles there stand in for a summary
+                done = summaries.generate(self.store, asked, news, model.summarise, self.now, p)
+                self.say(f"summaries:{done.agg(progress(F.count('*'), F.count('*'))).first()[0]}")
             if not self.lock.holds():
                 raise Overtaken(edition)
             write_snapshot(stories, out, edition)
@@ -72,7 +79,11 @@ def main(args: list[str] | None = None) -> bool:
     parser.add_argument("--feed-url", help="the column of articles that holds a feed's address")
     got = parser.parse_args(args)
     spark = SparkSession.builder.appName("refresh").getOrCreate()
-    return Refresh(spark, KeyValue(spark, got.store, ["main:"]), got.as_of).run(spark.read.parquet(got.articles), got.out, got.as_of, feed_url=got.feed_url)
+    store = KeyValue(spark, got.store, ["main:"])
+    made = Refresh(spark, store, got.as_of).run(spark.read.parquet(got.articles), got.out, got.as_of, feed_url=got.feed_url)
+    if made:
+        store.fold(F.lit(got.as_of).cast("timestamp"))
+    return made
 
 
 if __name__ == "__main__":
