@@ -88,3 +88,12 @@ def test_a_late_owner_is_overtaken(spark, tmp_path):
     assert next_one.acquire() and not slow.holds() and next_one.holds()
     slow.release()
     assert next_one.taken()  # the late owner lets go of its own generation only
+
+
+def test_a_model_writes_summaries_before_the_edition_is_stored(spark, store, articles, tmp_path):
+    run = refresh.Refresh(spark, store, AS_OF)
+    assert run.run(articles, f"{tmp_path}/out", AS_OF, model=refresh.Model(summarise=lambda purpose, content: f"a summary of {purpose}"))
+    kept = {r["key"]: r["value"] for r in store.get(F.lit(AS_OF).cast("timestamp")).collect()}
+    ids = latest_snapshot(spark, f"{tmp_path}/out").first()["article_ids"]
+    assert kept["Summary-v2-cluster-cluster-" + "-".join(sorted(ids))] == "a summary of cluster" and kept["Summary-v1-article-a3"] == "a summary of article"
+    assert {"stories:50", "summaries:90", "stored:95"} <= {r["value"] for r in store.log().collect()}

@@ -88,3 +88,18 @@ def test_every_item_is_read_or_quarantined(spark, tmp_path):
     articles = lambda rows: sorted((r["ord"], r["id"]) for r in feeds.to_articles(rows, F.lit("World"), F.lit("Paper"), F.lit("https://p.example"), as_of().cast("timestamp")).collect())
     once, again = articles(good), articles(feeds.items(spark, str(tmp_path)).repartition(7))
     assert once == again and len(once) == 5 and [i.rsplit("-", 1)[1] for _, i in once] == ["0", "1", "0", "2", "0"]
+
+
+def test_outcomes_are_counted_while_reading(spark, tmp_path):
+    """They equal a second scan's."""
+    files = {"a.xml": RSS.encode(), "b.xml": BAD.encode("latin-1"), "c.xml": ATOM.encode(), "d.xml": b"\n", "e.xml": b"<!DOCTYPE html><html>blocked</html>", "f.xml": b"<rss><channel></channel></rss>", "g.xml": b'<?xml encoding="nonsense"?><item/>', "h.xml": b"<item><title>open"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    good, bad, counts = feeds.counted(spark, str(tmp_path))
+    assert (counts["feeds"], counts["items"], counts["rejects"]) == (len(files), good.count(), bad.count())
+    assert counts["feeds_ok"] == good.select("feed_file").distinct().count() == 3
+    kinds = {r["k"]: r["count"] for r in bad.groupBy(F.split("reason", ":")[0].alias("k")).count().collect()}
+    names = {"not closed": "not_closed", "malformed": "malformed", "encoding": "encoding", "empty": "empty", "a page, not a feed": "not_a_feed", "no items": "no_items"}
+    assert {names[k]: n for k, n in kinds.items()} == {n: counts[n] for n in names.values() if counts[n]}
+    failed = {r["feed_file"].rsplit("/", 1)[1]: r["reason"] for r in feeds.failed_feeds(good, bad).collect()}
+    assert set(failed) == {"d.xml", "e.xml", "f.xml", "g.xml", "h.xml"} and failed["e.xml"] == "a page, not a feed" and failed["h.xml"] == "not closed"

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -36,7 +36,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 FRAGMENT = re.compile(r"<(?:item|entry)(?:\s[^<>]*)?/>|<(item|entry)(?=[\s>])(?:<!\[CDATA\[.*?\]\]>|[^<]++|<(?!/?\1[\s>/]))*(</\1\s*>)?", re.S)
 PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
 ENTITY = re.compile(r"<!\[CDATA\[.*?\]\]>|&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)(\w+);", re.S)
-READ = f"feed_file string, item int, {ITEM}, reason string, raw string"
+READ = f"feed_file string, item int, {ITEM}, reason string, raw string, opens boolean"
 
 
 def _element(fragment: str) -> ElementTree.Element:
@@ -73,21 +73,23 @@ def _fields(e: ElementTree.Element) -> dict:
 
 
 def parsed(path: str, content: bytes | None) -> Iterator[dict]:
-    """A READ row for each item of a feed file, with the reason where it can't be used; a file without items gives one row, of item -1."""
+    """A READ row for each item of a feed file, with the reason where it can't be used; a file without items gives one row, of item -1. `opens` marks the first item that can be used."""
     told = re.search(rb"<\?xml[^>]*encoding=[\"']([\w.-]+)", (content or b"")[:200])
     try:
         text = (content or b"").decode(told.group(1).decode() if told else "utf-8-sig")
     except (LookupError, UnicodeDecodeError) as e:
         yield {"feed_file": path, "item": -1, "reason": f"encoding: {e}"[:200]}
         return
-    number = -1
+    number, opens = -1, True
     for number, m in enumerate(FRAGMENT.finditer(text)):
         row = {"feed_file": path, "item": number}
         if m.group(1) and not m.group(2):
             yield row | {"reason": "not closed", "raw": m.group()}
             continue
         try:
-            yield row | _fields(_element(m.group()))
+            usable = _fields(_element(m.group()))
+            yield row | usable | {"opens": opens}
+            opens = False
         except ElementTree.ParseError as e:
             yield row | {"reason": f"malformed: {e}", "raw": m.group()}
     if number < 0:
@@ -118,12 +120,33 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
     return files.join(order, F.col("path") == F.col("_file")).select("path", "content", "feed_no")
 
 
-def quarantined(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects) of feed files, read once: items with feed_file, feed_no and item, their place in the feed; rejects with feed_file, item, reason and raw."""
+def outcomes() -> list[Column]:
+    """Aggregates over READ rows: feeds, those with a usable item, usable items, rejects, and rejects by what is wrong. Each feed has one row of item 0 or below."""
+    wrong = F.coalesce(F.split("reason", ":")[0], F.lit(""))
+    kinds = {"not_closed": "not closed", "malformed": "malformed", "encoding": "encoding", "empty": "empty", "not_a_feed": "a page, not a feed", "no_items": "no items"}
+    each = [F.count_if(wrong == said).alias(name) for name, said in kinds.items()]
+    return [F.count_if(F.col("item") <= 0).alias("feeds"), F.count_if("opens").alias("feeds_ok"), F.count_if(F.col("reason").isNull()).alias("items"), F.count_if(F.col("reason").isNotNull()).alias("rejects"), *each]
+
+
+def counted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(items, rejects, counts) of feed files, read once: items with feed_file, feed_no and item, their place in the feed; rejects with feed_file, item, reason and raw; outcomes(), taken while the items are written."""
     files = saved(landed(spark, path))
     order = files.select(F.col("path").alias("feed_file"), "feed_no")
-    rows = saved(read_items(files))
-    return rows.where("reason is null").drop("reason", "raw").join(order, "feed_file"), rows.where("reason is not null").select("feed_file", "item", "reason", "raw")
+    seen, counts = Observation(), outcomes()
+    rows = saved(read_items(files).observe(seen, *counts))
+    usable = rows.where("reason is null").drop("reason", "raw", "opens").join(order, "feed_file")
+    return usable, rows.where("reason is not null").select("feed_file", "item", "reason", "raw"), {k: int(v or 0) for k, v in seen.get.items()}
+
+
+def quarantined(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The items and rejects of feed files; counted() also tells how many there were."""
+    return counted(spark, path)[:2]
+
+
+def failed_feeds(items: DataFrame, rejects: DataFrame) -> DataFrame:
+    """(feed_file, rejects, reason) of the feeds without a usable item, with the first reason."""
+    own = rejects.join(items.select("feed_file").distinct(), "feed_file", "left_anti")
+    return own.groupBy("feed_file").agg(F.count("*").alias("rejects"), F.min_by("reason", "item").alias("reason"))
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
