@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.operators import greedy, merging
+from tidewell.operators import greedy, leading, merging
 from tidewell.params import Params
 
 WORDS = ["olympics", "gold", "swim", "market", "stock", "storm", "election", "vote", "iran", "talks"]
@@ -94,12 +94,12 @@ def test_entities():
     assert "paris_2024" in found("Athletes head to Paris 2024 for the Games") and not found("") and not found("all lower case here")
 
 
-def test_grouped_map_runs_each_edition_alone(spark):
+def test_editions_stay_apart(spark):
     rows = [(e, f"{e}-{k}", "storm vote market" if k % 2 else "olympics gold swim", "", "", k, k) for e in range(3) for k in range(6)]
     df = spark.createDataFrame(rows, "edition long, id string, title string, description string, content string, published_at long, ord long")
-    out = greedy.preclustered(df, Params()).collect()
+    out = leading.preclustered(df, Params()).collect()
     assert len(out) == 6 and all({i.split("-")[0] for i in r["article_ids"]} == {str(r["edition"])} for r in out)
-    kept = merging.merged_by_title(greedy.preclustered(df)).select(F.explode("article_ids").alias("i")).distinct().count()
+    kept = merging.merged_by_title(leading.preclustered(df)).select(F.explode("article_ids").alias("i")).distinct().count()
     assert kept == 18
 
 

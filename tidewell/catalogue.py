@@ -11,7 +11,7 @@ from . import dims
 from .dims import STOPWORDS
 from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, articles_of, as_of, clusters, members, table
 from .functions import digest, entities, hashing, images, text, times, titles, topics, urls
-from .operators import enrich, greedy, ingest, merging, ranking, state, stories, tfidf
+from .operators import enrich, greedy, ingest, leading, merging, ranking, state, stories, tfidf
 from .operators import topics as topic_ops
 from .plans import summaries
 from .sources.scratch import saved
@@ -750,7 +750,7 @@ def timed(rows):
 
 @query("precluster")
 def precluster(spark, sf_dir):
-    return greedy.preclustered(timed(editions(spark, sf_dir)))
+    return leading.preclustered(timed(editions(spark, sf_dir)))
 
 
 def seeds(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Passes over clusters whose outcome depends on their order, one article or cluster after the other: leader clustering, splitting, a model's part, and the merges.
 
-Leader clustering and a model's calls run within one edition: a batch of bounded size (its limit is Params.news_global_limit); splitting runs within one cluster. These are groups of a
-grouped map and run side by side. A group beyond the bound is refused rather than cut. The merges state what `merging` does in rounds of joins, for a few clusters at hand.
+A model's calls run within one edition: a batch of bounded size (its limit is Params.news_global_limit); splitting runs within one cluster. These are groups of a grouped map and run side by
+side. A group beyond the bound is refused rather than cut. Leader clustering and the merges state what `leading` and `merging` do with editions of any size, for a few articles or clusters at hand.
 """
 
 from __future__ import annotations
@@ -221,15 +221,6 @@ def _clusters(pdf: pd.DataFrame) -> list[tuple[str, list[str]]]:
     return [(t or "", list(ids)) for t, ids in zip(pdf.sort_values("cluster_key")["cluster_title"], pdf.sort_values("cluster_key")["article_ids"])]
 
 
-def preclustered(articles: DataFrame, p: Params = Params()) -> DataFrame:
-    """CLUSTERS from articles (edition, id, title, description, content, published_at as a number, ord)."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _out(key[0], lead(_rows(pdf), p.precluster_threshold, p.precluster_min_size, p.precluster_max_group))
-
-    return articles.select("edition", *ARTICLE).groupBy("edition").applyInPandas(run, CLUSTERS)
-
-
 def _apply(clusters: DataFrame, articles: DataFrame, step: Callable[[list, list[dict]], list]) -> DataFrame:
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _out(key[0], step(_clusters(left), _rows(right)))

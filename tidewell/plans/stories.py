@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import set_id
 from ..functions.text import doc_text, headlines
-from ..operators import enrich, greedy, merging, ranking, stories, tfidf
+from ..operators import enrich, greedy, leading, merging, ranking, stories, tfidf
 from ..params import Params
 from ..sources.scratch import saved
 
 
 def _keyed(clusters: DataFrame) -> DataFrame:
     """One number for an edition's cluster, so that clusters of all editions go through the relational operators together."""
-    return clusters.withColumn("local_key", F.col("cluster_key")).withColumn("cluster_key", F.col("edition") * greedy.MOST + F.col("local_key"))
+    return clusters.withColumn("local_key", F.col("cluster_key")).withColumn("cluster_key", F.col("edition") * (1 << 32) + F.col("local_key"))
 
 
 def expanded(clusters: DataFrame, articles: DataFrame, p: Params) -> DataFrame:
@@ -50,7 +50,7 @@ class Model:
 def raw_clusters(articles: DataFrame, p: Params = Params(), refine: bool = True, model: Model = Model()) -> DataFrame:
     """greedy.CLUSTERS for articles with `edition`: seeds, refinement, merges, split, expansion, split, merge. Without refine: the seeds."""
     timed = articles.withColumn("at", F.col("published_at")).withColumn("published_at", F.unix_micros(F.col("published_at").cast("timestamp")))
-    seeds = greedy.preclustered(timed, p)
+    seeds = leading.preclustered(timed, p)
     if not refine:
         return seeds
     told = saved(greedy.asked_of(seeds, timed, p, model.refine) if model.refine else merging.chunked(seeds, timed, p))
