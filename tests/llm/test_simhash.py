@@ -183,3 +183,53 @@ def test_frequent_shingles_go_last_and_lose_no_pair(make, monkeypatch):
     monkeypatch.setattr(simhash, "MOST_FREQUENT", 20)
     assert len(simhash.frequent_shingles(make(rows), "text", 5)[0]) <= 20
     assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want
+
+
+def joined_rows(spark, run):
+    """run()'s result, and the most rows that a join made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before, out, most = store.executionsCount(), run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList(before, store.executionsCount() - before)
+    for k in range(done.size()):
+        at = done.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            found = [n.metrics().apply(i) for i in range(n.metrics().size())] if "Join" in n.name() else []
+            made = [values.get(m.accumulatorId()) for m in found if m.name() == "number of output rows"]
+            most = max([most, *(int(v.get().replace(",", "")) for v in made if v.isDefined())])
+    return out, most
+
+
+def test_large_group_of_near_copies_makes_no_rows_for_its_pairs(spark, make):
+    """Texts near one another of which many reach the similarity with few or none: joins make far fewer rows than there are pairs."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(200):
+        text = list(base)
+        for p in rng.sample(range(150), rng.randint(1, 6)):
+            text[p] = f"e{i}x{p}"
+        rows.append((i, " ".join(text)))
+    _, want = least_of_groups(rows)
+    assert 20 < len(want) < 180
+    kept, most = joined_rows(spark, lambda: {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()})
+    assert kept == want and 200 <= most < 200 * 199 // 2
+
+
+def test_sketches_lose_no_pair(make, monkeypatch):
+    """Sketches far too short, and every token crowded; sketches differ in no more bits than sets in shingles."""
+    rng = random.Random(14)
+    for _ in range(50):
+        one = simhash.shingle_set(" ".join(rng.choices("abcdefgh", k=rng.randint(0, 300))), 5)
+        other = simhash.shingle_set(" ".join(rng.choices("abcdefgh", k=rng.randint(0, 300))), 5)
+        bits = sum(int(x).bit_count() for x in (simhash.sketch_of(one) ^ simhash.sketch_of(other)).view("<u8"))
+        assert bits <= len(set(one.tolist()) ^ set(other.tolist()))
+    rows = list(enumerate(families(8, 15)))
+    _, want = least_of_groups(rows)
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    for size, back in ((64, 1), (512, 50)):
+        monkeypatch.setattr(simhash, "SKETCH", size)
+        monkeypatch.setattr(simhash, "BACK", back)
+        assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want

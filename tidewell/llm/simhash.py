@@ -163,6 +163,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVERY, MOST_FREQUENT, ROUNDS, FEW, SMALL = 8, 1_000_000, 6, 20, 500_000
 #: Slack of the candidate filters, so that rounding never loses a pair.
 SLACK = 1e-6
+#: across_pairs(): the rows under a token that are paired without a look at their sketches; the bits of a sketch, a power of two; how many tokens back a pair
+#: is looked for that has met before. They only steer the work as well.
+CROWD, SKETCH, BACK = 8, 512, 8
 
 
 def shingle_set(text: str | None, words_per_shingle: int) -> np.ndarray:
@@ -175,9 +178,14 @@ def set_of(joined: bytes, starts: list[int], stops: list[int]) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), dtype="<u4", count=len(stops)).view("<i4"))
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits: for each rest of the hashes, whether an odd number of them has it. A shingle that only one of two sets holds flips one bit, so sketches differ in no more bits than the sets do in shingles."""
+    return np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
+def _lists(parts: list[np.ndarray], of: pa.DataType = pa.int32()) -> pa.Array:
     offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], of))
 
 
 def shingle_hashes(col, words_per_shingle: int):
@@ -207,19 +215,21 @@ def prefix_of(s: np.ndarray, similarity: float, frequent: np.ndarray, step: np.n
 
 
 def heads(col, words_per_shingle: int, similarity: float, frequent: np.ndarray, step: np.ndarray):
-    """struct<fp, size, prefix>: a text's fingerprint, the number of its distinct shingles and prefix_of() them."""
+    """struct<fp, size, prefix, sketch>: a text's fingerprint, the number of its distinct shingles, prefix_of() and sketch_of() them."""
 
-    @F.arrow_udf("struct<fp: long, size: int, prefix: array<int>>")
+    @F.arrow_udf("struct<fp: long, size: int, prefix: array<int>, sketch: array<long>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts_of(batches):
-            prints, sizes, prefixes = [], [], []
+            prints, sizes, prefixes, sketches = [], [], [], []
             for text in part:
                 found = shingles(text.as_py(), words_per_shingle)
                 own = set_of(*found)
                 prints.append(print_of(*found))
                 sizes.append(len(own))
                 prefixes.append(prefix_of(own, similarity, frequent, step).copy())
-            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(prefixes)], ["fp", "size", "prefix"])
+                sketches.append(sketch_of(own))
+            columns = [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(prefixes), _lists(sketches, pa.int64())]
+            yield pa.StructArray.from_arrays(columns, ["fp", "size", "prefix", "sketch"])
 
     return run(col)
 
@@ -290,27 +300,52 @@ def likely_pairs(met: DataFrame, roots: DataFrame, similarity: float, turn: int)
     return counts.groupBy("node").agg(F.max(F.struct("c", "other")).alias("p")).select("node", "p.other")
 
 
-def across_pairs(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _sketches_fit(a, b, m, n, similarity: float):
+    """Sets of m and n shingles that reach the similarity differ in so many shingles at most, and their sketches in no more bits."""
+    bits = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return bits <= (m + n) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(SLACK)
+
+
+def crowded_pairs(own: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): two nodes of different parts under one token of (token, node, size, i, part) whose sizes and sketches fit, each a struct of node, size and i.
+
+    The largest part under a token is held against the others and never against itself. A pair is left out under a token if both nodes have another one in common among the last
+    BACK before it: under the first one that they share it is always found. So texts that are near each other, but not near enough, make no rows, and others a few.
+    """
+    before = F.collect_list("token").over(Window.partitionBy("node").orderBy("i").rowsBetween(-BACK, -1))
+    largest = own.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "part")).alias("l")).select("token", F.col("l.part").alias("largest"))
+    each = own.withColumn("before", before).join(largest, "token").withColumn("rest", F.col("part") != F.col("largest")).join(sketches, "node")
+    each = saved(each.select("token", "part", "rest", "before", "sketch", F.struct("node", "size", "i").alias("me")))
+    a, b = each.where("rest").drop("rest"), each
+    a, b = (df.select("token", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token"]) for df, side in ((a, "a"), (b, "b")))
+    m, n = F.col("me_a.size"), F.col("me_b.size")
+    fits = (F.col("part_a") != F.col("part_b")) & (~F.col("rest_b") | (F.col("part_a") < F.col("part_b"))) & _sizes_fit(m, n, similarity)
+    fits = fits & _sketches_fit(F.col("sketch_a"), F.col("sketch_b"), m, n, similarity) & ~F.arrays_overlap("before_a", "before_b")
+    a, b = a.withColumnRenamed("token", "token_a"), b.withColumnRenamed("token", "token_b")
+    found = saved(a.join(b, (F.col("token_a") == F.col("token_b")) & fits).select(F.col("me_a").alias("a"), F.col("me_b").alias("b")))
+    dropped(each)
+    return found
+
+
+def across_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(node, other): all pairs that share a token of their prefixes and may reach the similarity, but those that roots (node, root) has linked already.
 
-    Sizes must fit, and what stands from the first shared token on in both sets must be able to make up the shared part; so must the tokens that the two prefixes share
-    and all that stand behind the prefix that ends first.
-    Nodes of one part under a token are one row until it meets another part, so a group of copies costs no pairs among itself.
+    Sizes and the sketches of (node, sketch) must fit, and what stands from the first shared token on in both sets must be able to make up the shared part.
+    Under a token of CROWD rows at most each row meets all others; under any other, crowded_pairs() looks at sizes and sketches before it makes a row.
     """
-    own = saved(_parted(met, roots))
-    several = own.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("token")
-    own = saved(own.join(several, "token"))
-    parts = saved(own.groupBy("token", "part").agg(F.min("size").alias("lo"), F.max("size").alias("hi")))
-    a, b = (parts.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "lo", "hi")]) for side in "ab")
-    low = F.lit(similarity)
-    both = a.join(b, "token").where("part_a < part_b").where((F.col("hi_a") >= F.col("lo_b") * low - F.lit(SLACK)) & (F.col("hi_b") >= F.col("lo_a") * low - F.lit(SLACK)))
-    one, other = (own.select("token", F.col("part").alias(f"part_{side}"), F.struct("node", "size", "i").alias(side)) for side in "ab")
-    each = both.select("token", "part_a", "part_b").join(one, ["token", "part_a"]).join(other, ["token", "part_b"]).where(_sizes_fit(F.col("a.size"), F.col("b.size"), similarity))
-    each = each.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
-    pairs = each.agg(F.count("*").alias("c"), F.max("a.size").alias("m"), F.max("b.size").alias("n"), F.min("a.i").alias("i"), F.min("b.i").alias("j"))
+    own = saved(_parted(met, roots).select("token", "node", "size", "i", "part"))
+    several = saved(own.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("c")).where("x <> y").select("token", "c"))
+    few = own.join(several.where(F.col("c") <= CROWD).select("token"), "token")
+    one, other = (few.select("token", F.col("part").alias(f"part_{side}"), F.struct("node", "size", "i").alias(side)) for side in "ab")
+    each = one.join(other, "token").where("part_a < part_b").where(_sizes_fit(F.col("a.size"), F.col("b.size"), similarity)).select("a", "b")
+    each = each.unionByName(crowded_pairs(own.join(several.where(F.col("c") > CROWD).select("token"), "token"), sketches, similarity))
+    each = each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+    pairs = each.agg(F.max("a.size").alias("m"), F.max("b.size").alias("n"), F.min("a.i").alias("i"), F.min("b.i").alias("j"))
     needed = (F.col("m") + F.col("n")) * F.lit(similarity / (1 + similarity)) - F.lit(SLACK)
-    first, behind = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")), F.ceil(F.greatest("m", "n") * low - F.lit(SLACK)) - 1
-    return pairs.where(((first >= needed) & (F.col("c") + behind >= needed)) | (F.col("m") + F.col("n") == 0)).select("node", "other")
+    pairs = saved(pairs.where((F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed) | (F.col("m") + F.col("n") == 0)).select("node", "other", "m", "n"))
+    dropped(own, several)
+    a, b = sketches.select("node", F.col("sketch").alias("sketch_a")), sketches.select(F.col("node").alias("other"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(a, "node").join(b, "other").where(_sketches_fit(F.col("sketch_a"), F.col("sketch_b"), F.col("m"), F.col("n"), similarity)).select("node", "other")
 
 
 def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -365,7 +400,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
         roots = merged(roots, found)
         if found.count() * FEW <= pairs.count():
             break
-    roots = merged(roots, checked(saved(across_pairs(met, roots, similarity))))
+    roots = merged(roots, checked(saved(across_pairs(met, roots, own.select("node", "sketch"), similarity))))
     dropped(met)
     grouped = saved(nodes.join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root")))
     stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias(key)))
