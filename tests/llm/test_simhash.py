@@ -77,6 +77,20 @@ def test_long_path_of_links(spark):
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
 
 
+def test_stars_take_no_rounds(spark, monkeypatch):
+    """Edges that are stars already are written and looked at once, others once more after their last round; the roots are those of a plain search."""
+    tables, write = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df: tables.append(df.columns) or write(df))
+    rng = random.Random(15)
+    stars = [(10 * k, 10 * k + j) for k in range(-20, 20) for j in range(1, 8)]
+    loose = [(a, b) for a, b in (sorted(rng.sample(range(1000, 1060), 2)) for _ in range(40))]
+    for edges, most in ((stars, 2), ([], 2), (stars + loose + [(5, 5)], 14)):
+        tables.clear()
+        got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(rng.sample(edges, len(edges)), "a long, b long")).collect()}
+        assert got == components({n for a, b in edges if a != b for n in (a, b)}, edges)
+        assert len(tables) <= most
+
+
 def test_odd_rows(odd, empty):
     rows = simhash.near_groups(odd).collect()
     assert len(rows) == 9 and {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, parts_of, saved, table
+from .common import dropped, fresh, parts_of, saved, swept, table
 
 BITS, SEGMENTS = 4, 8
 WIDTH = 64 // SEGMENTS
@@ -115,25 +115,24 @@ def links(prints: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over the undirected edges (a, b), for every node of an edge.
 
-    Alternates large-star and small-star until nothing changes, so the rounds grow with the logarithm of the longest path.
-    Each round is written to the shared folder.
+    Alternates large-star and small-star until only stars are left, so the rounds grow with the logarithm of the longest path; stars take none.
+    Each round is written to the shared folder. The table of least neighbours that a round begins with tells whether it is needed, and is the result if not.
     """
-    edges, before = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))  # as a table, so that a hub's edges can be split in the join
-        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        both = edges.select("u", "v", F.lit(1).alias("up")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("up")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), ((F.sum("up") > 0) & (F.count("*") > 1)).alias("open"))  # open: has a smaller neighbour and another one
+        least = saved(least)  # as a table, so that a hub's edges can be split in the join
+        if not least.agg(F.count_if("open")).first()[0]:
+            dropped(edges)
+            return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        large = saved(both.drop("up").join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("p"), F.col("m").alias("q")), F.struct(F.col("v").alias("p"), F.col("m").alias("q")))).alias("e"))
         now = saved(small.select(F.col("e.p").alias("u"), F.col("e.q").alias("v")).where("u <> v").distinct())
         dropped(edges, least, large, low)
-        edges, after = now, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
+        edges = now
+    raise RuntimeError("components did not settle")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
@@ -393,15 +392,18 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
         dropped(wanted, sets)
         return found
 
-    roots = saved(components(checked(saved(print_pairs(own.select("node", "fp"))))))
+    roots = components(checked(saved(print_pairs(own.select("node", "fp")))))
     for turn in range(ROUNDS):
+        swept(docs.sparkSession)
         pairs = saved(likely_pairs(met, roots, similarity, turn))
         found = checked(pairs)
         roots = merged(roots, found)
         if found.count() * FEW <= pairs.count():
             break
+    swept(docs.sparkSession)
     roots = merged(roots, checked(saved(across_pairs(met, roots, own.select("node", "sketch"), similarity))))
     dropped(met)
+    swept(docs.sparkSession)
     grouped = saved(nodes.join(roots, "node", "left").select("node", "o", F.coalesce("root", "node").alias("root")))
     stay = saved(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias(key)))
     gone = saved(rows.select(F.col("row").alias(key)).distinct().join(stay, key, "left_anti"))
