@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import spelling
 
@@ -94,3 +95,13 @@ def test_odd_rows(odd, empty, make):
     assert result(spelling.variants(odd)) == plain(rows)
     clash = make([(1, "lantern lantern lanterns lanterns", "s", "x", 3)], ", word string, n long")
     assert result(spelling.variants(clash)) == plain([(1, "lantern lantern lanterns lanterns")])
+
+
+def test_deletions_are_not_broadcast(spark):
+    """Deletions are several times as many as words, and Spark sizes them like the words."""
+    vocab = spark.range(2_000).select("id", F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("end")).alias("word"), F.lit(3).alias("n"))
+    found = spelling.nearby(vocab)
+    assert found.count()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

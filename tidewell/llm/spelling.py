@@ -85,12 +85,15 @@ def keys(vocab: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def nearby(vocab: DataFrame) -> DataFrame:
-    """(id, n_near, best): of each word that has near ones, their number and the best one's id."""
+    """(id, n_near, best): of each word that has near ones, their number and the best one's id.
+
+    Deletions are several times as many as words, which Spark doesn't count when it sizes them, so the hint keeps their join a merge.
+    """
     wild, less, own = keys(vocab)
     group = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # as many rows as letters at most
     grouped = wild.select("id", F.count("*").over(group).alias("size"), F.first("id").over(group).alias("first"), F.nth_value("id", 2).over(group).alias("second")).where("size > 1")
     replaced = grouped.select("id", (F.col("size") - 1).alias("near"), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("best"))
-    links = less.select(F.col("id").alias("longer"), "key").join(own.select(F.col("id").alias("shorter"), "key"), "key").select("longer", "shorter")
+    links = less.select(F.col("id").alias("longer"), "key").join(own.select(F.col("id").alias("shorter"), "key").hint("merge"), "key").select("longer", "shorter")
     ends = F.explode(F.array(F.struct(F.col("longer").alias("id"), F.col("shorter").alias("best")), F.struct(F.col("shorter").alias("id"), F.col("longer").alias("best")))).alias("e")
     parted = links.select(ends).select("e.id", F.lit(1).cast("long").alias("near"), "e.best")
     return replaced.unionByName(parted).groupBy("id").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
