@@ -247,3 +247,12 @@ def test_sketches_lose_no_pair(make, monkeypatch):
         monkeypatch.setattr(simhash, "SKETCH", size)
         monkeypatch.setattr(simhash, "BACK", back)
         assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    """A fingerprint becomes a key for each table, which Spark sizes like the fingerprints: 20,000 of them look small and make 1,400,000 rows."""
+    prints = spark.range(20_000).select(F.xxhash64("id").alias("fp"))
+    found = simhash.links(prints)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

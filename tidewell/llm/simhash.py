@@ -100,12 +100,13 @@ def _chain_ok(diffs):
 def links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints in column fp that differ in at most BITS bits.
 
-    Fingerprints are few bytes and become many keys, so they are dealt out to all tasks first.
+    Fingerprints are few bytes and become many keys, so they are dealt out to all tasks first. Spark sizes what explode() makes as if each row stayed one, so it
+    would broadcast keys by the size of the fingerprints; the hint keeps the join a merge.
     """
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = prints.select("fp").repartition(tasks, "fp").select("fp", F.posexplode(F.array(*[_key(F.col("fp"), m) for m in TABLES])).alias("t", "key"))
     a, b = keyed.select("t", "key", F.col("fp").alias("a")), keyed.select("t", "key", F.col("fp").alias("b"))
-    pairs = a.join(b, ["t", "key"]).where("a < b").withColumn("x", F.col("a").bitwiseXOR(F.col("b")))
+    pairs = a.join(b.hint("merge"), ["t", "key"]).where("a < b").withColumn("x", F.col("a").bitwiseXOR(F.col("b")))
     diffs = [F.bit_count(F.col("x").bitwiseAND(F.lit(_segment_mask(s)).cast("long"))) for s in range(SEGMENTS)]
     agree = sum((F.when(d == 0, 1 << s).otherwise(0) for s, d in enumerate(diffs)), F.lit(0))
     first = F.element_at(F.array(*[F.lit(t) for t in FIRST_TABLE]), agree + 1)
