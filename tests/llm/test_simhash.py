@@ -256,3 +256,19 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_dedup_broadcasts_no_keys_of_fingerprints(make, monkeypatch):
+    """The pipeline's search over fingerprints, whose links go to components() first."""
+    plans, real = [], simhash.components
+
+    def seen(edges):
+        edges.collect()
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    rows = list(enumerate(families(8, 15)))
+    _, want = least_of_groups(rows)
+    assert {r["doc_id"] for r in simhash.near_dedup(make(rows)).collect()} == want
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
