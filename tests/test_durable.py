@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import catalogue
 from tidewell.streaming import durable, events
 
 EVENTS = "event_id long, user_id long, event_type string, ts timestamp, value double"
@@ -96,3 +97,15 @@ def test_a_batch_that_was_written_but_not_committed_is_replaced(spark, source, t
     for commit in Path(f"{folder}/progress/a/commits").iterdir():
         commit.unlink() if commit.is_file() else shutil.rmtree(commit)
     assert ids(durable.once_only(rows(), key, order, folder, "a")) == want and len(want) == 3
+
+
+def test_tables_in_folders_come_as_streams(spark, tmp_path):
+    """A table may be a folder of files: its stream has the rows of all of them, and nothing of its neighbours."""
+    docs, pages = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "pages"))
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(5).write.parquet(f"{tmp_path}/more_documents.parquet")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_articles_once", "stream_velocity"):
+        got, want = (sorted(map(tuple, catalogue.QUERIES[name](spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert got == want and got

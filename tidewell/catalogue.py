@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import dims
 from .dims import STOPWORDS
-from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, articles_of, as_of, clusters, members, table
+from .fixtures import AS_OF, CLUSTERS, HOST_SQL, KEY_SQL, SQL, articles, articles_of, as_of, clusters, members, table, table_stream
 from .functions import digest, entities, hashing, images, text, times, titles, topics, urls
 from .operators import enrich, greedy, ingest, leading, merging, ranking, state, stories, tfidf
 from .operators import topics as topic_ops
@@ -829,9 +829,7 @@ def stream_articles_once(spark, sf_dir):
     from .sources.scratch import new_folder
     from .streaming import durable
 
-    schema = table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    rows = ingest.titled(articles_of(docs, spark, sf_dir)).drop("content", "description")
+    rows = ingest.titled(articles_of(table_stream(spark, sf_dir, "documents"), spark, sf_dir)).drop("content", "description")
     key, order = canonical_key(F.col("url"), F.col("source_url"), F.col("title")), [F.desc_nulls_last("published_at"), F.col("ord")]
     folder = new_folder(spark, "articles")
     durable.once_only(rows, key, order, folder, "first")

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..fixtures import table_stream
+
 
 def read_events(spark: SparkSession, sf_dir: str, late: str = "1 day") -> DataFrame:
     """The events as a stream, with event times."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def unique(events: DataFrame, *keys: str) -> DataFrame:
