@@ -68,21 +68,39 @@ def jaccards(sets: DataFrame, value: str, least: float = 0.0) -> DataFrame:
     return pairs.withColumn("jaccard", F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).select("a", "b", "shared", "jaccard")
 
 
+#: near_sets(): about so many clusters of equal sets are paired in one row. It only steers the work.
+CHUNK = 512
+
+
 def near_sets(sets: DataFrame, value: str, least: float) -> DataFrame:
     """(a, b, shared, jaccard), a < b, of a similarity of at least `least` > 0, exactly.
 
-    Values have one order, rare ones first. Sets that are so much alike share one of the first of each, as many as may be missing and one more, so that only these meet; frequent values hardly do.
+    Equal sets are one in the search. Values have one order, rare ones first. Sets that are so much alike share one of the first of each, as many as may be missing and one more, and are met under the first
+    that they share, where what stands from there on must make up the shared part; frequent values hardly do. The clusters of each pair of sets come at the end, in chunks that are dealt out,
+    so that many equal sets cost as much as the rows that they give and a large group lies in no single task.
     """
-    rate = sets.groupBy(value).agg(F.count("*").alias("df"))
-    lists = sets.join(rate, value).groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("df", value))).alias("s"))
-    lists = saved(lists.select("cluster_key", F.transform("s", lambda x: x[value]).alias("s")))
-    head = lists.select("cluster_key", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * least - 1e-9) + 1).cast("int"))).alias("v"))
-    a, b = head.select("v", F.col("cluster_key").alias("a"), F.col("n").alias("na")), head.select("v", F.col("cluster_key").alias("b"), F.col("n").alias("nb"))
-    sized = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
-    pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
-    both = pairs.join(lists.select(F.col("cluster_key").alias("a"), F.col("s").alias("sa")), "a").join(lists.select(F.col("cluster_key").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("n"))
-    return both.withColumn("jaccard", F.col("shared") / (F.col("n") - F.col("shared"))).where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+    own = saved(sets.groupBy("cluster_key").agg(F.array_sort(F.collect_set(value)).alias("s")))
+    kinds = saved(own.groupBy("s").agg(F.min("cluster_key").alias("kind"), F.count("*").alias("times")))
+    each = kinds.select("kind", F.explode("s").alias("v"))
+    rated = each.join(each.groupBy("v").agg(F.count("*").alias("df")), "v").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
+    lists = saved(rated.select("kind", F.transform("s", lambda x: x["v"]).alias("s")))
+    head = lists.select("kind", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * least - 1e-9) + 1).cast("int"))).alias("i", "v"))
+    one, other = (head.select("v", F.col("kind").alias(k), F.col("n").alias(f"n{k}"), F.col("i").alias(f"i{k}")) for k in "xy")
+    shared = (F.col("nx") + F.col("ny")) * (least / (1 + least)) - 1e-9
+    fits = (F.least("nx", "ny") >= least * F.greatest("nx", "ny") - 1e-9) & (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= shared)
+    pairs = one.join(other.hint("merge"), "v").where((F.col("x") < F.col("y")) & fits).select("x", "y").distinct()
+    both = pairs.join(lists.select(F.col("kind").alias("x"), F.col("s").alias("sx")), "x").join(lists.select(F.col("kind").alias("y"), F.col("s").alias("sy")), "y")
+    both = both.select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("shared"), (F.size("sx") + F.size("sy")).alias("n"))
+    both = both.withColumn("jaccard", F.col("shared") / (F.col("n") - F.col("shared"))).where(F.col("jaccard") >= least).drop("n")
+    alike = kinds.where("times > 1").select(F.col("kind").alias("x"), F.col("kind").alias("y"), F.size("s").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"))
+    found = both.unionByName(alike)
+    members = own.join(kinds, "s").select("kind", "cluster_key", F.pmod(F.xxhash64("cluster_key"), F.ceil(F.col("times") / CHUNK)).alias("chunk"))
+    members = saved(members.groupBy("kind", "chunk").agg(F.collect_list("cluster_key").alias("keys")))
+    left, right = (members.select(F.col("kind").alias(k), F.col("chunk").alias(f"c{k}"), F.col("keys").alias(f"k{k}")) for k in "xy")
+    met = found.join(left, "x").join(right, "y").where("x <> y or cx <= cy").withColumn("own", (F.col("x") == F.col("y")) & (F.col("cx") == F.col("cy")))
+    met = met.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("shared", "jaccard", "own", "ky", F.explode("kx").alias("p"))
+    met = met.select("shared", "jaccard", "own", "p", F.explode("ky").alias("q")).where("not own or p < q")
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "jaccard")
 
 
 def sampled_pairs(pairs: DataFrame, members: DataFrame, sample: int = 20) -> DataFrame:
